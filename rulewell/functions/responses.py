@@ -44,13 +44,12 @@ def labelled_lines(response: Column | str, fields: dict[str, str]) -> Column:
     label is removed wherever it occurs in that line, and an absent label gives null.
     """
     lines = F.transform(F.split(strip(response), "\n"), strip)
-    out = []
-    for label, field in fields.items():
-        last = F.try_element_at(
-            F.filter(lines, lambda line, label=label: line.startswith(label)), F.lit(-1)
-        )
-        out.append(strip(F.replace(last, F.lit(label), F.lit(""))).alias(field))
-    return F.struct(*out)
+
+    def value(label: str) -> Column:
+        last = F.try_element_at(F.filter(lines, lambda line: line.startswith(label)), F.lit(-1))
+        return strip(F.replace(last, F.lit(label), F.lit("")))
+
+    return F.struct(*[value(label).alias(field) for label, field in fields.items()])
 
 
 def result_fields(response: Column | str, fields: dict[str, str], error: Column | str | None = None) -> list[Column]:

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x1c-\x1f]"
 NON_SPACE = r"[^\s\x1c-\x1f]"
@@ -78,7 +79,7 @@ def mask_contacts(c: Column | str) -> Column:
     return F.regexp_replace(masked, PHONE_PATTERN, "<PHONE>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(texts: pd.Series) -> pd.Series:
     """Compatibility-decompose and drop what has no ASCII form (no built-in function does this)."""
     return texts.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
