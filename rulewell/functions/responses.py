@@ -45,11 +45,15 @@ def labelled_lines(response: Column | str, fields: dict[str, str]) -> Column:
     """
     lines = F.transform(F.split(strip(response), "\n"), strip)
 
-    def value(label: str) -> Column:
-        last = F.try_element_at(F.filter(lines, lambda line: line.startswith(label)), F.lit(-1))
+    def value(rows: Column, label: str) -> Column:
+        last = F.try_element_at(F.filter(rows, lambda line: line.startswith(label)), F.lit(-1))
         return strip(F.replace(last, F.lit(label), F.lit("")))
 
-    return F.struct(*[value(label).alias(field) for label, field in fields.items()])
+    # Going through a one-element array binds the line list, so that it is split once, not per label.
+    bound = F.transform(
+        F.array(lines), lambda rows: F.struct(*[value(rows, label).alias(field) for label, field in fields.items()])
+    )
+    return F.get(bound, F.lit(0))
 
 
 def result_fields(response: Column | str, fields: dict[str, str], error: Column | str | None = None) -> list[Column]:
@@ -69,8 +73,8 @@ def result_fields(response: Column | str, fields: dict[str, str], error: Column
 def yes_no(response: Column | str) -> Column:
     """Yes when a word yes/y occurs, else No when no/n occurs, else null."""
     c = column(response)
-    return F.when(F.regexp_like(c, F.lit(r"(?i)\b(yes|y)\b")), F.lit("Yes")).when(
-        F.regexp_like(c, F.lit(r"(?i)\b(no|n)\b")), F.lit("No")
+    return F.when(F.regexp_like(c, F.lit(r"(?iU)\b(yes|y)\b")), F.lit("Yes")).when(
+        F.regexp_like(c, F.lit(r"(?iU)\b(no|n)\b")), F.lit("No")
     )
 
 

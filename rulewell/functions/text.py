@@ -1,21 +1,24 @@
 """Text expressions with Unicode whitespace semantics.
 
-Spark's ``trim`` removes spaces only and ``\\s`` is ASCII-only, so the patterns switch on
-``(?U)`` and add the four separator control characters that also count as whitespace.
+Plain ``trim`` removes spaces only and ``\\s`` is ASCII-only: stripping names its characters, and the
+patterns switch on ``(?U)`` and add the four separator control characters that count as whitespace.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# The characters that count as whitespace.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"[\s\x1c-\x1f]"
 NON_SPACE = r"[^\s\x1c-\x1f]"
-WORD = r"[\p{L}\p{N}_]{2,}"
+NON_WORD = r"[^\p{L}\p{N}_]+"
 
 URL_PATTERN = r"""(?i)(?:https?://|www\.)[^\s<>"']+"""
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -27,13 +30,12 @@ def column(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(column(c), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(column(c), F.lit(SPACES))
 
 
 def strip_chars(c: Column | str, chars: str) -> Column:
     """Remove runs of any of ``chars`` from both ends."""
-    cls = f"[{re.escape(chars)}]"
-    return F.regexp_replace(column(c), rf"^{cls}+|{cls}+\z", "")
+    return F.trim(column(c), F.lit(chars))
 
 
 def as_text(c: Column | str) -> Column:
@@ -47,7 +49,8 @@ def capitalize(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(as_text(c), F.lit(f"(?U){NON_SPACE}+"))
+    bare = strip(as_text(c))
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"(?U){SPACE}+")))
 
 
 def has_text(c: Column | str) -> Column:
@@ -66,7 +69,7 @@ def concat_collapse(*cols: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Lower-cased tokens of two or more word characters."""
-    return F.regexp_extract_all(F.lower(column(c)), F.lit(WORD), F.lit(0))
+    return F.filter(F.split(F.lower(column(c)), NON_WORD), lambda w: F.length(w) >= 2)
 
 
 def distinct_words(c: Column | str) -> Column:

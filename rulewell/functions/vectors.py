@@ -17,11 +17,16 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(column(v), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def _divide(v: Column, scale: Column) -> Column:
+    # Zipping with a repeated array evaluates the divisor once per row; inside a transform it
+    # would be evaluated once per element.
+    return F.zip_with(v, F.array_repeat(scale, F.size(v)), lambda x, s: x.cast("double") / s)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """Unit length; an all-zero vector stays as it is."""
     length = norm(v)
-    scale = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return F.transform(column(v), lambda x: x.cast("double") / scale)
+    return _divide(column(v), F.when(length == 0, F.lit(1.0)).otherwise(length))
 
 
 def truncate_renorm(v: Column | str, dims: int) -> Column:
@@ -35,10 +40,10 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def softmax(logits: Column | str) -> Column:
-    top = F.array_max(column(logits))
-    exps = F.transform(column(logits), lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+    logits = column(logits)
+    tops = F.array_repeat(F.array_max(logits), F.size(logits))
+    exps = F.zip_with(logits, tops, lambda x, top: F.exp(x - top))
+    return _divide(exps, F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x))
 
 
 def argmax(v: Column | str) -> Column:

@@ -99,12 +99,14 @@ def nearest(
     dims: int | None = None,
     digits: int = 6,
     block_rows: int = BLOCK_ROWS,
+    sizes_from: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, corpus_id, *carry, similarity, rank): each query's ``k`` best corpus rows.
 
     ``within`` names the query and corpus column that must be equal. Ties go to the smaller corpus
     id; a group with fewer than ``k`` rows gives fewer. ``carry`` copies small corpus columns.
-    Vectors are ARRAY columns, or STRUCT<indices, values> with ``dims`` given.
+    Vectors are ARRAY columns, or STRUCT<indices, values> with ``dims`` given. ``sizes_from`` are
+    cheaper tables with the same rows (and group columns) to count instead of the inputs.
     """
     q = queries.select(
         (F.col(within[0]) if within else F.lit(0)).alias("__g"),
@@ -118,9 +120,15 @@ def nearest(
         *carry,
     ).filter(F.col("__g").isNotNull())
 
-    def spread(df: DataFrame, other: DataFrame, id_column: str, mine: str, theirs: str) -> DataFrame:
+    if sizes_from is None:
+        q_rows, c_rows = q, c
+    else:
+        groups = [F.col(name) for name in within] if within else [F.lit(0), F.lit(0)]
+        q_rows, c_rows = (df.select(g.alias("__g")) for df, g in zip(sizes_from, groups))
+
+    def place(df: DataFrame, rows: DataFrame, others: DataFrame, id_column: str, mine: str, theirs: str) -> DataFrame:
         """Own block by hash of the id, and one copy per block of the other side."""
-        counts = [_blocks(df, "__own", block_rows, within), _blocks(other, "__other", block_rows, within)]
+        counts = [_blocks(rows, "__own", block_rows, within), _blocks(others, "__other", block_rows, within)]
         if within:
             sized = df.join(counts[0].join(counts[1], "__g"), "__g")
         else:
@@ -129,8 +137,8 @@ def nearest(
         across = F.explode(F.sequence(F.lit(0), F.greatest(F.col("__other"), F.lit(1)) - 1))
         return sized.withColumn(mine, own).withColumn(theirs, across).drop("__own", "__other")
 
-    left = spread(q, c, "__qid", "__qb", "__cb")
-    right = spread(c, q, "__cid", "__cb", "__qb")
+    left = place(q, q_rows, c_rows, "__qid", "__qb", "__cb")
+    right = place(c, c_rows, q_rows, "__cid", "__cb", "__qb")
     schema = T.StructType(
         [
             T.StructField(query_id, q.schema["__qid"].dataType),

@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewell.functions.stopwords import ENGLISH
-from rulewell.functions.text import words
+from rulewell.functions.text import NON_WORD, words
 from rulewell.operators.nearest import nearest
+from rulewell.operators.parallel import spread
+from rulewell.session import written
 
 
 def _terms(text: str, stop_words: Sequence[str]) -> Column:
-    return F.filter(words(text), lambda w: ~w.isin(*stop_words)) if stop_words else words(text)
+    if not stop_words:
+        return words(text)
+    pieces = F.split(F.lower(F.col(text)), NON_WORD)
+    return F.filter(pieces, lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
 
 
 def fit_vocabulary(
@@ -72,10 +77,12 @@ def tfidf_vectors(
 
 
 def best_match(
-    rows: DataFrame, clean: DataFrame, key: str, clean_key: str, vector: str = "vector", dims: int | None = None
+    rows: DataFrame, clean: DataFrame, key: str, clean_key: str, vector: str = "vector", **options
 ) -> DataFrame:
     """(key, clean_key, max_similarity): the closest clean row, first one on ties."""
-    found = nearest(rows, clean, 1, query_id=key, query_vector=vector, corpus_id=clean_key, corpus_vector=vector, dims=dims)
+    found = nearest(
+        rows, clean, 1, query_id=key, query_vector=vector, corpus_id=clean_key, corpus_vector=vector, **options
+    )
     return found.select(key, clean_key, F.col("similarity").alias("max_similarity"))
 
 
@@ -90,11 +97,13 @@ def tfidf_best_match(
     stop_words: Sequence[str] = ENGLISH,
 ) -> DataFrame:
     """Best clean match of every row by TF-IDF fitted on both sets together."""
+    rows, clean = spread(rows), spread(clean)
     both = clean.select(F.col(clean_text).alias("__text")).unionByName(rows.select(F.col(text).alias("__text")))
-    vocabulary = fit_vocabulary(both, "__text", max_features, stop_words)
+    vocabulary = written(fit_vocabulary(both, "__text", max_features, stop_words), "vocabulary")
     left = tfidf_vectors(rows, key, text, vocabulary, stop_words)
     right = tfidf_vectors(clean, clean_key, clean_text, vocabulary, stop_words)
-    return best_match(left, right, key, clean_key, dims=max_features)
+    # One vector per row: the blocks are sized from the rows instead of the vectors' plans.
+    return best_match(left, right, key, clean_key, dims=max_features, sizes_from=(rows, clean))
 
 
 def similar_to_clean(matches: DataFrame, threshold: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulewell.functions import labels, text
 from rulewell.operators import cleaning
+from rulewell.operators.parallel import spread
 from rulewell.operators.reshape import signed_values
 from rulewell.schemas import EXAMPLE_COLUMNS, TRAINING_COLUMNS
 from rulewell.workload.registry import query
@@ -187,7 +188,7 @@ def scrub(t: Tables) -> DataFrame:
     docs = t.given("documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("c"))
     pages = t.given("pages")
     sides = [pages.select(F.lit(kind).alias("kind"), F.col("page_id").alias("id"), F.col(kind).alias("c")) for kind in ("url", "html")]
-    return docs.unionAll(sides[0]).unionAll(sides[1]).select("kind", "id", text.scrub("c").alias("cleaned"))
+    return spread(docs.unionAll(sides[0]).unionAll(sides[1])).select("kind", "id", text.scrub("c").alias("cleaned"))
 
 
 @query(

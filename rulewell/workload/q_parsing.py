@@ -65,8 +65,8 @@ def results(t: Tables) -> DataFrame:
 @query(
     "f06_yes_no",
     sql(
-        r"""select row_id, case when regexp_matches(answer, '(?i)\b(yes|y)\b') then 'Yes'
-        when regexp_matches(answer, '(?i)\b(no|n)\b') then 'No' end as said from answers"""
+        r"""select row_id, case when regexp_matches(answer, '(?i)(^|[^\p{L}\p{N}_])(yes|y)($|[^\p{L}\p{N}_])') then 'Yes'
+        when regexp_matches(answer, '(?i)(^|[^\p{L}\p{N}_])(no|n)($|[^\p{L}\p{N}_])') then 'No' end as said from answers"""
     ),
 )
 def yes_no(t: Tables) -> DataFrame:

@@ -276,8 +276,8 @@ def best_config(t: Tables) -> DataFrame:
     sql(
         rf"""select total_rows, valid_rows, standardised_rows, tp, fp, fn, tn, {_RATIOS} from (select count(*) as total_rows,
         count(*) filter (where answer <> '') as valid_rows, count(*) filter (where answer <> '' and said is not null) as standardised_rows,
-        {_cells_sql('truth', "case when answer <> '' then said end")} from (select answer, case when regexp_matches(answer, '(?i)\b(yes|y)\b') then 1
-        when regexp_matches(answer, '(?i)\b(no|n)\b') then 0 end as said, case when trim(violates_rule) in ('True', 'Yes') then 1
+        {_cells_sql('truth', "case when answer <> '' then said end")} from (select answer, case when regexp_matches(answer, '(?i)(^|[^\p{{L}}\p{{N}}_])(yes|y)($|[^\p{{L}}\p{{N}}_])') then 1
+        when regexp_matches(answer, '(?i)(^|[^\p{{L}}\p{{N}}_])(no|n)($|[^\p{{L}}\p{{N}}_])') then 0 end as said, case when trim(violates_rule) in ('True', 'Yes') then 1
         when trim(violates_rule) in ('False', 'No') then 0 end as truth from answers) x) z"""
     ),
 )

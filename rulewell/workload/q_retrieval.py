@@ -9,6 +9,7 @@ from rulewell.functions import vectors
 from rulewell.functions.stopwords import ENGLISH
 from rulewell.operators import retrieval, sampling, similarity
 from rulewell.operators.nearest import nearest
+from rulewell.operators.parallel import spread
 from rulewell.plans.classify import RetrievalSettings, classify, query_prompts, retrieval_corpus
 from rulewell.workload.q_reshape import corpus_sql
 from rulewell.workload.registry import query
@@ -72,7 +73,7 @@ _TFIDF = (
 def tfidf(t: Tables) -> DataFrame:
     rules = t.given("benchmark").select(F.lit("rule").alias("side"), F.col("item_id").alias("id"), "text")
     docs = t.given("documents").select(F.lit("document").alias("side"), F.col("doc_id").alias("id"), "text")
-    both = rules.unionByName(docs).select(F.struct("side", "id").alias("key"), "text")
+    both = spread(rules.unionByName(docs)).select(F.struct("side", "id").alias("key"), "text")
     vocabulary = similarity.fit_vocabulary(both, "text")
     terms = similarity.tfidf_vectors(both, "key", "text", vocabulary)
     entry = F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e")
@@ -155,7 +156,8 @@ RERANKED = r"""bags as (select doc_id, list_distinct(regexp_extract_all(lower(te
 
 
 def _resolved(t: Tables, fallback: bool = True) -> DataFrame:
-    rules = retrieval.resolve_rules(t.query_rules, t.corpus_rules, fallback=fallback)
+    name = "resolved" if fallback else "resolved_exact"
+    rules = t.stored(name, lambda: retrieval.resolve_rules(t.query_rules, t.corpus_rules, fallback=fallback))
     return retrieval.attach_rules(t.asked, rules)
 
 
@@ -165,7 +167,7 @@ def _candidates(t: Tables, k: int = 20) -> DataFrame:
 
 def documents_by_id(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Word sets of the documents, once as query texts and once as corpus texts."""
-    docs = t.given("documents").select("doc_id", retrieval.word_keys("text").alias("words"))
+    docs = spread(t.given("documents")).select("doc_id", retrieval.word_keys("text").alias("words"))
     return (
         docs.select(F.col("doc_id").alias("query_id"), F.col("words").alias("query_text")),
         docs.select(F.col("doc_id").alias("row_id"), F.col("words").alias("doc_text")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulewell.functions.prompts import short_prompt
 from rulewell.operators import retrieval, scoring
+from rulewell.operators.parallel import spread
 from rulewell.workload.q_retrieval import CANDIDATES, RERANKED, _resolved, documents_by_id
 from rulewell.workload.registry import query
 from rulewell.workload.stubs import DigestModel, length_generator
@@ -73,7 +74,7 @@ def generate_batches(t: Tables) -> DataFrame:
 )
 def embed_texts(t: Tables) -> DataFrame:
     vector = scoring.embed_texts("text", scoring.hashed_word_embedder(64))
-    docs = t.given("documents").select("doc_id", vector.alias("v"))
+    docs = spread(t.given("documents")).select("doc_id", vector.alias("v"))
     slots = docs.select("doc_id", F.posexplode("v").alias("slot", "w")).filter(F.col("w") > 0)
     return slots.select("doc_id", "slot", F.round("w", 6).alias("weight"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewell.operators.numbering import number_rows
+from rulewell.operators.parallel import spread
 from rulewell.session import scratch_folder
 
 SQL_VIEWS = """
@@ -130,7 +131,7 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = self.scratch(name)
-            build().write.parquet(path)
+            spread(build(), like=self.given("documents")).write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
