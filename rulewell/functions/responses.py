@@ -87,7 +87,8 @@ def probability(response: Column | str) -> Column:
     tail = F.substring_index(column(response), "### Response:", -1)
     number = F.regexp_extract(tail, r"(\d+\.?\d*)", 1).try_cast("double")
     scaled = F.when(number > 1.0, number / 100.0).otherwise(number)
-    return F.coalesce(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    # least/greatest skip nulls, so a missing number is handled before the clamp.
+    return F.when(number.isNull(), F.lit(0.5)).otherwise(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
 
 
 def token_probability(tokens: Column | str, token: str) -> Column:

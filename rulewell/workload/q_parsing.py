@@ -81,7 +81,7 @@ def contains_yes(t: Tables) -> DataFrame:
 @query(
     "f08_extract_probability",
     sql(
-        r"""select row_id, round(coalesce(least(greatest(case when x > 1 then x / 100 else x end, 0.0), 1.0), 0.5), 6) as probability
+        r"""select row_id, round((case when x is null then 0.5 else least(greatest(case when x > 1 then x / 100 else x end, 0.0), 1.0) end), 6) as probability
         from (select row_id, try_cast(regexp_extract(string_split(scored_text, '### Response:')[-1], '(\d+\.?\d*)', 1) as double) as x
         from answers) z"""
     ),

@@ -238,7 +238,7 @@ def coverage_summary(t: Tables) -> DataFrame:
 @query(
     "j06_threshold",
     sql(
-        r"""select row_id, cast(coalesce(least(greatest(case when x > 1 then x / 100 else x end, 0.0), 1.0), 0.5) >= 0.5 as int) as decision
+        r"""select row_id, cast((case when x is null then 0.5 else least(greatest(case when x > 1 then x / 100 else x end, 0.0), 1.0) end) >= 0.5 as int) as decision
         from (select row_id, try_cast(regexp_extract(string_split(scored_text, '### Response:')[-1], '(\d+\.?\d*)', 1) as double) as x
         from answers) z"""
     ),
