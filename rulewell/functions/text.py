@@ -77,8 +77,16 @@ def distinct_words(c: Column | str) -> Column:
 
 
 def mask_contacts(c: Column | str) -> Column:
-    masked = F.regexp_replace(column(c), URL_PATTERN, "<URL>")
-    masked = F.regexp_replace(masked, EMAIL_PATTERN, "<EMAIL>")
+    """URLs, e-mail addresses and phone numbers become ``<URL>``, ``<EMAIL>`` and ``<PHONE>``.
+
+    A plain substring test decides first whether a text can hold a URL or an address at all: those
+    two patterns retry inside every word and most texts have neither.
+    """
+    text = column(c)
+    maybe_url = F.contains(text, F.lit("://")) | F.contains(F.lower(text), F.lit("www."))
+    masked = F.when(maybe_url, F.regexp_replace(text, URL_PATTERN, "<URL>")).otherwise(text)
+    maybe_email = F.contains(masked, F.lit("@"))
+    masked = F.when(maybe_email, F.regexp_replace(masked, EMAIL_PATTERN, "<EMAIL>")).otherwise(masked)
     return F.regexp_replace(masked, PHONE_PATTERN, "<PHONE>")
 
 

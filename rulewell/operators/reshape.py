@@ -39,18 +39,16 @@ def community_rule_pairs(
     is never built to draw from it. Both tables carry a unique numeric ``key``.
     """
     spark = communities.sparkSession
-    n_rules = rules.agg(F.count(F.lit(1))).scalar()
+    sizes = {"__subs": communities.agg(F.count(F.lit(1))).scalar(), "__rules": rules.agg(F.count(F.lit(1))).scalar()}
     if n is None:
-        pairs = communities.agg(F.count(F.lit(1))).collect()[0][0] * rules.agg(F.count(F.lit(1))).collect()[0][0]
-        draws = spark.range(pairs).withColumn("p", F.col("id"))
+        pairs = communities.count() * rules.count()
+        draws = spark.range(pairs).withColumns(sizes).withColumn("__p", F.col("id"))
     else:
-        total = communities.agg(F.count(F.lit(1))).scalar() * n_rules
-        step = F.when(total % WALK_PRIME == 0, F.lit(WALK_OTHER)).otherwise(F.lit(WALK_PRIME))
-        walk = F.pmod((F.pmod(step, total) * F.col("id")) % total + F.lit(seed), total)
-        draws = spark.range(n).filter(F.col("id") < total).withColumn("p", walk)
-    draws = draws.select(
-        F.col("id").alias("pair_id"), F.expr("p").alias("__p"), n_rules.alias("__rules")
-    ).selectExpr("pair_id", "__p div __rules AS __c", "__p % __rules AS __r")
+        draws = spark.range(n).withColumns(sizes).withColumn("__all", F.col("__subs") * F.col("__rules"))
+        step = F.when(F.col("__all") % WALK_PRIME == 0, F.lit(WALK_OTHER)).otherwise(F.lit(WALK_PRIME))
+        walk = F.pmod((F.pmod(step, F.col("__all")) * F.col("id")) % F.col("__all") + F.lit(seed), F.col("__all"))
+        draws = draws.filter(F.col("id") < F.col("__all")).withColumn("__p", walk)
+    draws = draws.selectExpr("id AS pair_id", "__p div __rules AS __c", "__p % __rules AS __r")
     left = _numbered(communities, key).withColumnRenamed("__n", "__c").drop(key)
     right = _numbered(rules, key).withColumnRenamed("__n", "__r").drop(key)
     return draws.join(left, "__c").join(right, "__r").drop("__c", "__r")

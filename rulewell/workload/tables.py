@@ -162,20 +162,21 @@ class Tables:
     def _build_wide(self) -> DataFrame:
         rows, id_ = self.comments, F.col("row_id")
 
-        def numbered(df: DataFrame, key: str, text: str, into: str) -> tuple[DataFrame, F.Column]:
-            listed = number_rows(df, key, into=f"__{into}").select(f"__{into}", F.col(text).alias(into))
-            return listed, df.agg(F.count(F.lit(1))).scalar()
-
-        def attach(df: DataFrame, source: DataFrame, key: str, text: str, into: str, shift: int) -> DataFrame:
-            listed, n = numbered(source, key, text, into)
-            return df.withColumn(f"__{into}", (id_ + shift) % n).join(listed, f"__{into}").drop(f"__{into}")
-
-        bad, good = rows.filter("rule_violation = 1"), rows.filter("rule_violation = 0")
-        out = attach(rows.withColumnRenamed("body", "test_comment"), self.rules, "rule_id", "rule", "rule", 0)
-        out = attach(out, bad, "row_id", "body", "positive_example_1", 0)
-        out = attach(out, bad, "row_id", "body", "positive_example_2", 1)
-        out = attach(out, good, "row_id", "body", "negative_example_1", 0)
-        out = attach(out, good, "row_id", "body", "negative_example_2", 1)
+        def listed(name: str, df: DataFrame, key: str, text: str) -> DataFrame:
+            # Numbered once and written, as the positives and negatives are attached twice each.
+            return self.stored(name, lambda: number_rows(df, key, into="n").select("n", F.col(text).alias("text")))
+
+        def attach(df: DataFrame, donors: DataFrame, into: str, shift: int) -> DataFrame:
+            size = donors.agg(F.count(F.lit(1))).scalar()
+            slots = donors.select(F.col("n").alias(f"__{into}"), F.col("text").alias(into))
+            return df.withColumn(f"__{into}", (id_ + shift) % size).join(slots, f"__{into}").drop(f"__{into}")
+
+        bad = listed("positives", rows.filter("rule_violation = 1"), "row_id", "body")
+        good = listed("negatives", rows.filter("rule_violation = 0"), "row_id", "body")
+        rules = listed("rules", self.rules, "rule_id", "rule")
+        out = attach(rows.withColumnRenamed("body", "test_comment"), rules, "rule", 0)
+        out = attach(attach(out, bad, "positive_example_1", 0), bad, "positive_example_2", 1)
+        out = attach(attach(out, good, "negative_example_1", 0), good, "negative_example_2", 1)
         yes = F.col("rule_violation") == 1
 
         def spelled(one: str, zero: str):
