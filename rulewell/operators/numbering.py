@@ -3,11 +3,13 @@
 A plain ``row_number()`` over an unpartitioned (or hot) window runs in one task. Here rows are cut
 into ordered buckets, the buckets are counted, a prefix sum over the bucket counts gives each
 bucket its offset, and ``row_number()`` runs inside the buckets only. The prefix sum is over at
-most ``coarse * fine`` rows per group whatever the table size.
+most 4096 rows per group whatever the table size.
 """
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +17,29 @@ from rulewell.functions.sampling_keys import hash_key
 
 _BUCKET, _LEVEL, _BOUNDS, _OFFSET, _HASH = "__bucket", "__level", "__bounds", "__offset", "__hash"
 
+# Sampled keys per bucket when the bucket bounds are estimated.
+SAMPLE_PER_BUCKET = 200
+_MILLIARD = 1_000_000_000
+
+
+def _side(df: DataFrame) -> int:
+    """Buckets per level: about two buckets per shuffle partition, 64 x 64 at most."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(64, max(4, ceil(sqrt(2 * partitions))))
+
 
 def _quantile_bucketed(df: DataFrame, key: str, side: int) -> DataFrame:
     """Add an order-preserving bucket in [0, side*side): a two-level search among quantiles.
 
-    The quantiles are a lazily computed scalar subquery of side*side-1 values.
+    The quantiles are a lazily computed scalar subquery of side*side-1 values over a hash sample
+    of bounded size, so that merging the partial sketches stays cheap for any number of tasks.
+    Bounds only decide how even the buckets are, never the numbers.
     """
     steps = [i / (side * side) for i in range(1, side * side)]
-    bounds = df.agg(F.percentile_approx(key, steps, 10000)).scalar()
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    share = F.lit(float(SAMPLE_PER_BUCKET * side * side * _MILLIARD)) / rows
+    sample = df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(_MILLIARD)) < share)
+    bounds = sample.agg(F.percentile_approx(key, steps, 10000)).scalar()
     held = df.withColumn(_BOUNDS, bounds)
     coarse = F.array(*[F.get(F.col(_BOUNDS), F.lit(i * side - 1)) for i in range(1, side)])
 
@@ -40,17 +57,18 @@ def number_rows(
     into: str = "rn",
     within: tuple[str, ...] = (),
     total: str | None = None,
-    side: int = 8,
+    side: int | None = None,
 ) -> DataFrame:
     """Add the zero-based position of each row by a unique numeric ``key``, optionally per group.
 
     ``total`` names a column for the group's row count. ``side`` squared is the number of buckets.
     """
-    return _number(_quantile_bucketed(df, key, side), [F.col(key)], into, within, total)
+    bucketed = _quantile_bucketed(df, key, side or _side(df))
+    return _number(bucketed, [F.col(key)], into, within, total)
 
 
 def number_rows_by_hash(
-    df: DataFrame, key: str, seed: int, into: str = "rn", total: str | None = None, digits: int = 2
+    df: DataFrame, key: str, seed: int, into: str = "rn", total: str | None = None, digits: int = 3
 ) -> DataFrame:
     """Zero-based position in the seeded random order; buckets are digest prefixes, hence even."""
     hashed = df.withColumn(_HASH, hash_key(key, seed))

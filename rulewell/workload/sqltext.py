@@ -27,7 +27,7 @@ def hash_sql(key: str, seed: int) -> str:
 
 
 def hash_int_sql(key: str, seed: int) -> str:
-    return f"cast(concat('0x', substr({hash_sql(key, seed)}, 1, 7)) as bigint)"
+    return f"cast(concat('0x', substr({hash_sql(key, seed)}, 1, 15)) as bigint)"
 
 
 def dot_sql(a: str, b: str) -> str:
