@@ -55,11 +55,16 @@ def keep_first(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str]
     An aggregate rather than a ranked window: duplicates are folded before the shuffle, so a key
     held by a third of the table costs one row per task.
     """
-    named = {f"__key{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)}
-    row = F.struct(*[F.col(c) for c in df.columns])
+    # Columns that are keys come back from the grouping, so long texts travel once.
+    plain = [k for k in keys if isinstance(k, str)]
+    computed = [k.alias(f"__key{i}") for i, k in enumerate(keys) if not isinstance(k, str)]
+    rest = [c for c in df.columns if c not in plain]
+    if not rest:
+        return df.select(*plain).distinct()
+    row = F.struct(*[F.col(c) for c in rest])
     rank = F.struct(*[F.col(c) for c in order])
-    kept = df.groupBy(*[c.alias(n) for n, c in named.items()]).agg(F.min_by(row, rank).alias("__row"))
-    return kept.select("__row.*")
+    kept = df.groupBy(*plain, *computed).agg(F.min_by(row, rank).alias("__row"))
+    return kept.select(*[F.col(c) if c in plain else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
 def first_seen(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
