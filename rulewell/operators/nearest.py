@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 _CHUNK_CELLS = 4_000_000
 
 

@@ -41,7 +41,7 @@ def result(df):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [8192, 50, 17])
+@pytest.mark.parametrize("block_rows", [4096, 50, 17])
 @pytest.mark.parametrize("grouped", [False, True])
 def test_blocks_do_not_change_the_result(points, block_rows, grouped):
     df, vectors, rules = points
