@@ -161,13 +161,18 @@ def _heads(docs: DataFrame, ranges: int) -> list[int]:
     Each is the largest number of its range; at most ``ranges`` numbers reach the driver.
     """
     numbers = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
-    steps = [i / ranges for i in range(1, ranges + 1)]
-    cuts = numbers.agg(F.percentile_approx("doc_id", steps, 20 * ranges).alias("c"), F.max("doc_id").alias("m")).first()
-    return sorted({*(cuts["c"] or []), cuts["m"]} - {None})
+    steps = [i / ranges for i in range(1, ranges)]
+    found = numbers.agg(F.percentile_approx("doc_id", steps, 20 * ranges).alias("c")).first() if steps else None
+    cuts = sorted({*((found and found["c"]) or [])})
+    # Quantiles of large numbers are rounded; the largest number of each range is exact.
+    tops = numbers.groupBy(_range_of(F.col("doc_id"), cuts).alias("r")).agg(F.max("doc_id").alias("top"))
+    return sorted(r["top"] for r in tops.collect())
 
 
 def _range_of(doc_id: Column, heads: list[int]) -> Column:
     """The place of the range whose largest number is the first head >= doc_id; two short searches."""
+    if not heads:
+        return F.lit(0)
     side = isqrt(len(heads)) + 1
     coarse = F.array(*map(F.lit, heads[side - 1 :: side])).cast("array<long>")
     level = F.size(F.filter(coarse, lambda h: h < doc_id))
