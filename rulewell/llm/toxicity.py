@@ -29,8 +29,10 @@ from rulewell.llm.common import fit_sigmoid, fold, labelled_sample, sigmoid
 BUCKET_BITS = 17
 DIMENSIONS = 12
 SIZES = (3, 4, 5)
-WINDOW_WORDS = 6
+WINDOW_WORDS = 4
 THRESHOLD = 0.7
+LEAST_TEXTS, PRIOR_TEXTS = 4, 5.0
+EPOCHS, RATE, DOUBT = 6, 0.05, 0.1
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 _SLICE = 1 << 19
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -116,26 +118,30 @@ def window_means(total: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Embeddings and softmax under one loss; Adam steps on batches of windows."""
+    """Embeddings and softmax under one loss, moved together on batches of windows."""
 
     def __init__(self, seed: int = 11):
         self.draw = np.random.default_rng(seed)
         self.embedding = self.draw.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
         self.softmax = self.draw.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
-        self._moments = [
-            (np.zeros_like(p), np.zeros_like(p)) for p in (self.embedding, self.softmax, self.bias)
-        ]
-        self._step = 0
+        self.known = np.ones(1 << BUCKET_BITS, np.float32)
+        self._moments = [np.zeros_like(p) for p in (self.embedding, self.softmax, self.bias)]
+
+    def start(self, guess: np.ndarray, known: np.ndarray) -> None:
+        """Let the first dimension begin with what counting says; training moves all of them."""
+        self.embedding[:, 0] += guess.astype(np.float32)
+        self.softmax[0] += np.array([-0.5, 0.5], np.float32)
+        self.known = known
 
     def table(self) -> np.ndarray:
-        return self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])
+        return (self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])) * self.known
 
     def step(self, windows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float) -> None:
         lengths = np.array([len(w) for w in windows])
         flat, owner = np.concatenate(windows), np.repeat(np.arange(len(windows)), lengths)
         mean = np.zeros((len(windows), DIMENSIONS), np.float32)
-        np.add.at(mean, owner, self.embedding[flat])
+        np.add.at(mean, owner, self.embedding[flat] * self.known[flat, None])
         mean /= lengths[:, None]
         logits = mean @ self.softmax + self.bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -144,16 +150,35 @@ class Trainer:
         error = p * (weight / weight.sum())[:, None]
         back = (error @ self.softmax.T) / lengths[:, None]
         grad = np.zeros_like(self.embedding)
-        np.add.at(grad, flat, back[owner])
-        self._adam([(self.embedding, grad), (self.softmax, mean.T @ error), (self.bias, error.sum(axis=0))], rate)
+        np.add.at(grad, flat, back[owner] * self.known[flat, None])
+        moves = [(self.embedding, grad, 1.0), (self.softmax, mean.T @ error, 1.0), (self.bias, error.sum(axis=0), 0.2)]
+        self._move(moves, rate)
+
+    def _move(self, pairs: list[tuple[np.ndarray, np.ndarray, float]], rate: float) -> None:
+        """Momentum steps, scaled as a whole so that the largest coordinate moves by ``rate``.
 
-    def _adam(self, pairs: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
-        self._step += 1
-        for (value, grad), (first, second) in zip(pairs, self._moments, strict=True):
-            first += 0.1 * (grad - first)
-            second += 0.01 * (grad * grad - second)
-            scale = rate * np.sqrt(1 - 0.99**self._step) / (1 - 0.9**self._step)
-            value -= (scale * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
+        Unlike a scale per coordinate, this leaves subwords of single texts behind those of many.
+        """
+        for (value, grad, share), moment in zip(pairs, self._moments, strict=True):
+            moment *= 0.9
+            moment += grad
+            value -= (share * rate * moment / (float(np.abs(moment).max()) + 1e-12)).astype(np.float32)
+
+
+def _first_guess(docs: list[_Document], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds, known) per bucket: how much more often toxic texts have a subword than clean ones.
+
+    Shares of texts are pulled towards the overall share as if PRIOR_TEXTS more texts had it; buckets
+    that fewer than LEAST_TEXTS texts have stay unknown, they would only learn single labels.
+    """
+    count = np.zeros((2, 1 << BUCKET_BITS))
+    for doc, label in zip(docs, y, strict=True):
+        count[label][np.unique(doc.bucket)] += 1
+    overall = count.sum(axis=0) / max(1, len(docs))
+    sizes = np.array([[(y == 0).sum()], [(y == 1).sum()]])
+    share = (count + PRIOR_TEXTS * overall + 1e-9) / (sizes + PRIOR_TEXTS)
+    known = count.sum(axis=0) >= LEAST_TEXTS
+    return np.log(share[1] / share[0]) * known, known.astype(np.float32)
 
 
 class _Document:
@@ -172,7 +197,7 @@ class _Document:
         return self.bucket[self.bounds[at] : self.bounds[min(at + WINDOW_WORDS, self.n_words)]]
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 11) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: int = 11) -> ToxicityModel:
     """Fit on texts; with fewer than two classes the score is the smoothed base rate.
 
     A fifth of the texts is held back from the embeddings and fixes the sigmoid.
@@ -185,20 +210,24 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 11) -
     trainer = Trainer(seed)
     draw = trainer.draw
     kept = np.flatnonzero((draw.random(len(y)) >= 0.2) & np.array([d.n_words > 0 for d in docs]))
+    trainer.start(*_first_guess([docs[i] for i in kept], y[kept]))
     weight_of = np.where(y == 1, len(y) / (2.0 * max(1, y.sum())), len(y) / (2.0 * max(1, (1 - y).sum())))
+    epochs = EPOCHS if epochs is None else epochs
+    batch = min(128, max(16, len(kept) // 16))
     for epoch in range(epochs):
-        rate = 0.02 * (1 - epoch / epochs) + 0.001
+        rate = RATE * (1 - epoch / epochs)
         order = draw.permutation(kept)
-        for start in range(0, len(order), 128):
+        for start in range(0, len(order), batch):
             table = trainer.table()
             windows, target, weight = [], [], []
-            for i in order[start : start + 128]:
+            for i in order[start : start + batch]:
                 scores = docs[i].windows(table)
                 picked = [int(scores.argmax())]
+                agrees = sigmoid((scores[picked[0]] + trainer.bias[1] - trainer.bias[0]) * (2 * y[i] - 1))
+                if epoch and agrees < DOUBT:
+                    continue  # after the first round a label that all else speaks against is noise
                 if y[i] == 0:
                     picked += draw.integers(0, len(scores), 3).tolist()
-                elif epoch < 2:  # before any window stands out, all of a toxic text's are candidates
-                    picked += draw.integers(0, len(scores), 3).tolist()
                 for at in picked:
                     windows.append(docs[i].window(at))
                     target.append(y[i])
