@@ -23,7 +23,7 @@ def lower_ascii(text: Column | str) -> Column:
 
 def split_words(text: Column) -> Column:
     """Non-empty runs of characters that are not ASCII white space; null gives no words."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{BLANK}+"))
 
 

@@ -15,19 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewell.llm.common import split_words
+from rulewell.session import written
 
 # Frequent function words by language; a word of two languages is one histogram bin.
 COMMON_WORDS = {
-    "de": "der die und das ist von zu mit".split(),
-    "en": "the of and to in is that for".split(),
-    "es": "de la que el en los un por".split(),
-    "fr": "de la et le les des en que".split(),
+    "de": "der die und das ist".split(),
+    "en": "the of and to in".split(),
+    "es": "de la que el en".split(),
+    "fr": "de la et le les".split(),
 }
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
 OTHER = "other"
 # Largest distances to the nearest reference that still pass, and the sizes from which they count.
-MAX_CLASS_DISTANCE, MIN_CHARS = 0.25, 200
-MAX_WORD_DISTANCE, MIN_WORDS = 0.6, 50
+MAX_CLASS_DISTANCE, MIN_CHARS = 0.2, 200
+MAX_WORD_DISTANCE, MIN_WORDS = 0.35, 50
 # Fixed values of the base rule: least words, and the share of repeated words in percent.
 LEAST_WORDS, MAX_REPEATED = 50, 50
 
@@ -64,25 +65,23 @@ def base_counts(docs: DataFrame) -> DataFrame:
     ).drop("lines", "h")
 
 
-def repeated_places(windows: Column) -> Column:
-    """Sorted places of the windows that occur twice or more: equal neighbours in hash order."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    m = F.size(windows) - 1
-    twins = F.zip_with(
-        F.slice(placed, 1, m), F.slice(placed, 2, m), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i))
-    )
-    return F.sort_array(F.array_distinct(F.flatten(F.array_compact(twins))))
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """base_counts with n_repeat_words; only texts with a repeated window are sorted.
 
-    Each place covers three words, or as many as there are up to the next place.
+    Windows are sorted by hash; equal neighbours give the places of the windows that occur twice or
+    more; each place covers three words, or as many as there are up to the next place.
     """
     counted = base_counts(docs)
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    places = F.when(repeats, repeated_places(F.col("windows"))).otherwise(F.array().cast("array<int>"))
-    placed = counted.withColumn("places", places).drop("windows")
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<int>")
+    held = counted.withColumn("placed", F.when(repeats, placed)).drop("windows")
+    m = F.size("placed") - 1
+    twins = F.zip_with(
+        F.slice("placed", 1, m), F.slice("placed", 2, m), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i))
+    )
+    places = F.sort_array(F.array_distinct(F.flatten(F.array_compact(twins))))
+    found = held.withColumn("places", F.when(F.col("placed").isNull(), none).otherwise(places)).drop("placed")
     gaps = F.zip_with(
         F.slice("places", 1, F.size("places") - 1),
         F.slice("places", 2, F.size("places") - 1),
@@ -90,7 +89,7 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     covered = F.aggregate(gaps, F.lit(3), lambda total, gap: total + gap)
     n = F.when(F.size("places") == 0, F.lit(0)).otherwise(covered)
-    return placed.withColumn("n_repeat_words", n.cast("long")).drop("places")
+    return found.withColumn("n_repeat_words", n.cast("long")).drop("places")
 
 
 def _histograms(rows: DataFrame) -> DataFrame:
@@ -108,22 +107,27 @@ def _histograms(rows: DataFrame) -> DataFrame:
     counts = counts.select(
         "*", F.transform(F.array(*bins, rest), lambda x: x.cast("double")).alias("classes"), place.alias("__place")
     )
-    common = [F.size(F.filter("__place", lambda p, k=k: p == k + 1)) for k in range(len(VOCABULARY))]
+
+    def count_of(k: int) -> Column:
+        return F.size(F.filter("__place", lambda p: p == k + 1))
+
+    common = [count_of(k) for k in range(len(VOCABULARY))]
     others = F.col("n_words") - F.size("__place")
     counted = F.transform(F.array(*[c.cast("long") for c in common], others), lambda x: x.cast("double"))
     return counts.withColumn("common", counted).drop("__place", "__upper", "__digit", "__stop")
 
 
-def references(docs: DataFrame) -> dict[str, dict[str, list[float]]]:
-    """Histogram shares per language over the whole table; one row per language of COMMON_WORDS,
-    and one for all others, reaches the driver."""
-    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), split_words(F.col("text")).alias("words"))
-    counted = _histograms(_sized(rows))
+def references(measures: DataFrame) -> dict[str, dict[str, list[float]]]:
+    """Histogram shares per language over the documents of the whole table that are long enough and
+    not full of symbols; one row per language of COMMON_WORDS, and one for all others, reaches the
+    driver."""
+    fit = (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
+    fit = fit & (100 * F.col("n_symbols") <= F.col("n_chars"))
     language = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise(F.lit(OTHER))
     sizes = {"classes": 6, "common": len(VOCABULARY) + 1}
     sums = [F.sum(F.get(name, F.lit(k))).alias(f"{name}_{k}") for name, size in sizes.items() for k in range(size)]
     found: dict[str, dict[str, list[float]]] = {name: {} for name in sizes}
-    for row in counted.groupBy(language.alias("lang")).agg(*sums).collect():
+    for row in measures.where(fit).groupBy(language.alias("lang")).agg(*sums).collect():
         for name, size in sizes.items():
             counts = [row[f"{name}_{k}"] or 0.0 for k in range(size)]
             if sum(counts) > 0:
@@ -151,8 +155,9 @@ def judged(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail the base rule. A distance is 0 below the minimum
     length, or while there is no reference. Repeated rows are judged alike; other columns are left out.
     """
-    found = references(docs)
-    rows = _histograms(measured(docs))
+    # The text is read once: its measures, a few hundred bytes a document, are written and read again.
+    rows = written(_histograms(measured(docs)).drop("text", "words"), "measures")
+    found = references(rows)
 
     def nearest(counts: str, total: Column, enough: Column) -> Column:
         known = [distance(F.col(counts), total, r) for _, r in sorted(found[counts].items())]
