@@ -1,36 +1,46 @@
-"""Exact nearest neighbours by inner product, as a blocked join.
-
-Both sides are cut into blocks of a bounded number of rows by a hash of their id, per group when
-the search is restricted to a group. Every (query block, corpus block) pair meets in one task,
-which multiplies the two matrices and emits only each query's best ``k``; a second pass merges the
-partial lists. A group of any size therefore spreads over (its blocks) x (the other side's blocks)
-tasks of equal cost, and no task holds more than two blocks. Similarities are rounded before they
-are ranked so that the result does not depend on the blocking.
+"""Exact nearest neighbours by inner product, over a grid of query blocks and corpus streams.
+
+The queries of a group are cut into blocks that fit in memory; the corpus is cut only as far as the
+wanted number of tasks asks for it. One grid cell is one query block against one corpus part: the
+block is held, the part streams past it in Arrow batches, and a running best ``k`` is all that is
+kept. With more query blocks than tasks no query is copied at all, and the corpus is copied once per
+query block. A group of any size spreads over its cells. Partial lists are merged by a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 4096
+from rulewell.session import written
+
+# Queries held by one task, and corpus rows below which a part is not cut further.
+BLOCK_ROWS, LEAST_PART = 32_768, 4096
+# Decimal digits that the order of a sum cannot change; similarities are ranked on them.
+DIGITS = 12
 _CHUNK_CELLS = 4_000_000
+_CELL = ["__g", "__a", "__b"]
 
 
-def _dense(array: pa.ChunkedArray, dims: int | None) -> np.ndarray:
+def _dense(array: pa.ChunkedArray | pa.Array, dims: int | None) -> np.ndarray:
     """Matrix from a list column, or from a struct<indices, values> column of ``dims`` width."""
-    merged = array.combine_chunks()
+    merged = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
     merged = merged.chunk(0) if isinstance(merged, pa.ChunkedArray) else merged
     if not pa.types.is_struct(merged.type):
+        lengths = pc.list_value_length(merged).to_numpy(zero_copy_only=False)
+        if len(lengths) and lengths.min() != lengths.max():
+            raise ValueError(f"vectors of unequal length: {lengths.min()} to {lengths.max()}")
         flat = merged.flatten().to_numpy(zero_copy_only=False)
         return flat.astype(np.float64).reshape(len(merged), -1)
     indices, values = merged.field("indices"), merged.field("values")
-    lengths = np.diff(indices.offsets.to_numpy())
     out = np.zeros((len(merged), dims))
-    rows = np.repeat(np.arange(len(merged)), lengths)
+    rows = np.repeat(np.arange(len(merged)), pc.list_value_length(indices).to_numpy(zero_copy_only=False))
     out[rows, indices.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
     return out
 
@@ -45,44 +55,95 @@ def _best(similar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     k = min(k, similar.shape[1])
     floor = np.partition(similar, similar.shape[1] - k, axis=1)[:, similar.shape[1] - k]
     rows, cols = np.nonzero((similar >= floor[:, None]) & np.isfinite(similar))
-    order = np.lexsort((cols, -similar[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - starts < k
-    return rows[keep], cols[keep]
-
-
-def _block_search(k: int, digits: int, exclude_self: bool, dims: int | None, names: dict[str, str], carry: list[str]):
-    def search(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        columns = [names["query_id"], names["corpus_id"], *carry]
-        corpus = corpus.sort_by("__cid")
-        picked_q, picked_c, scores = [], [], []
-        if queries.num_rows and corpus.num_rows:
-            right = _dense(corpus["__cvec"], dims)
-            ids = corpus["__cid"].to_numpy() if exclude_self else None
-            step = max(1, _CHUNK_CELLS // max(right.shape))
-            for at in range(0, queries.num_rows, step):
-                part = queries.slice(at, step)
-                similar = _round_half_up(_dense(part["__qvec"], dims) @ right.T, digits)
-                if exclude_self:
-                    similar[part["__qid"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                rows, cols = _best(similar, k)
-                picked_q.append(rows + at)
-                picked_c.append(cols)
-                scores.append(similar[rows, cols])
-        empty = np.zeros(0, dtype=np.int64)
-        left = queries.take(np.concatenate(picked_q) if picked_q else empty)
-        right_rows = corpus.take(np.concatenate(picked_c) if picked_c else empty)
-        values = np.concatenate(scores) if scores else np.zeros(0)
-        arrays = [left["__qid"], right_rows["__cid"], *[right_rows[c] for c in carry], pa.array(values, pa.float64())]
-        return pa.table(arrays, names=[*columns, "similarity"])
-
-    return search
-
-
-def _blocks(df: DataFrame, name: str, block_rows: int, grouped: tuple[str, str] | None) -> DataFrame:
-    count = F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)
-    return df.groupBy("__g").agg(count) if grouped else df.agg(count)
+    return _cut(rows, cols, similar[rows, cols], k)
+
+
+def _cut(rows: np.ndarray, order: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries (rows, order) that are among the k best of their row."""
+    kept = _cut_places(rows, order, scores, k)
+    return rows[kept], order[kept]
+
+
+def _cut_places(rows: np.ndarray, order: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    place = np.lexsort((order, -scores, rows))
+    sorted_rows = rows[place]
+    starts = np.searchsorted(sorted_rows, sorted_rows)
+    return place[np.arange(len(place)) - starts < k]
+
+
+class _CellSearch:
+    """One grid cell: its queries, and the best corpus rows seen so far for each of them."""
+
+    def __init__(self, k: int, dims: int | None, exclude: bool, columns: list[str], digits: int):
+        self.k, self.dims, self.exclude, self.columns, self.digits = k, dims, exclude, columns, digits
+        self.held: list[pa.Table] = []
+        self.queries: pa.Table | None = None
+        self.rows = self.order = np.zeros(0, np.int64)
+        self.scores = np.zeros(0)
+        self.taken: pa.Table | None = None
+        self.seen = 0
+
+    def add(self, part: pa.Table) -> None:
+        is_query = part["__side"].to_numpy() == 0
+        n = int(is_query.sum())  # queries are sorted before the corpus
+        if n:
+            self.held.append(part.slice(0, n))
+        if n < part.num_rows and self.held:
+            self._stream(part.slice(n))
+
+    def _stream(self, corpus: pa.Table) -> None:
+        if self.queries is None:
+            self.queries = pa.concat_tables(self.held)
+            self.left = _dense(self.queries["__vec"], self.dims)
+            self.own = self.queries["__self"].to_numpy() if self.exclude else None
+        right = _dense(corpus["__vec"], self.dims)
+        if right.shape[1] != self.left.shape[1]:
+            raise ValueError(f"vectors of unequal length: {self.left.shape[1]} and {right.shape[1]}")
+        ids = corpus["__self"].to_numpy() if self.exclude else None
+        step = max(1, _CHUNK_CELLS // max(1, len(right)))
+        found_rows, found_cols, found_scores = [self.rows], [self.order], [self.scores]
+        for at in range(0, len(self.left), step):
+            similar = _round_half_up(self.left[at : at + step] @ right.T, self.digits)
+            if self.exclude:
+                similar[self.own[at : at + step, None] == ids[None, :]] = -np.inf
+            rows, cols = _best(similar, self.k)
+            found_rows.append(rows + at)
+            found_cols.append(cols + self.seen)
+            found_scores.append(similar[rows, cols])
+        rows, order, scores = (np.concatenate(x) for x in (found_rows, found_cols, found_scores))
+        kept = _cut_places(rows, order, scores, self.k)
+        old = len(self.order)
+        picked = corpus.select(self.columns).take(pa.array(order[kept[kept >= old]] - self.seen))
+        before = self.taken.take(pa.array(kept[kept < old])) if self.taken is not None else picked.slice(0, 0)
+        self.taken = pa.concat_tables([before, picked])
+        place = np.concatenate([kept[kept < old], kept[kept >= old]])
+        self.rows, self.order, self.scores = rows[place], order[place], scores[place]
+        self.seen += corpus.num_rows
+
+    def result(self, names: list[str]) -> pa.RecordBatch | None:
+        if self.taken is None or not len(self.rows):
+            return None
+        ids = self.queries["__qid"].take(pa.array(self.rows))
+        columns = [ids, *[self.taken[c] for c in self.columns], pa.array(self.scores, pa.float64())]
+        return pa.table(columns, names=names).combine_chunks().to_batches()[0]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """(a new cell begins, rows) for runs of one cell in a stream sorted by cell."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        change = np.zeros(table.num_rows - 1, bool)
+        for key in _CELL:
+            values = batch.column(key)
+            change |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            key = tuple(batch.column(c)[lo].as_py() for c in _CELL)
+            yield key != last, table.slice(lo, hi - lo)
+            last = key
 
 
 def nearest(
@@ -95,9 +156,9 @@ def nearest(
     corpus_vector: str = "embedding",
     within: tuple[str, str] | None = None,
     carry: tuple[str, ...] = (),
-    exclude_self: bool = False,
+    exclude_self: bool | tuple[str, str] = False,
     dims: int | None = None,
-    digits: int = 6,
+    digits: int = DIGITS,
     block_rows: int = BLOCK_ROWS,
     sizes_from: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
@@ -105,40 +166,39 @@ def nearest(
 
     ``within`` names the query and corpus column that must be equal. Ties go to the smaller corpus
     id; a group with fewer than ``k`` rows gives fewer. ``carry`` copies small corpus columns.
-    Vectors are ARRAY columns, or STRUCT<indices, values> with ``dims`` given. ``sizes_from`` are
-    cheaper tables with the same rows (and group columns) to count instead of the inputs.
+    ``exclude_self`` leaves out corpus rows that stem from the query's own row: those with the same
+    id, or with the same value in the named (query, corpus) columns. Vectors are ARRAY columns, or
+    STRUCT<indices, values> with ``dims`` given; rows without a vector or a group take no part, and
+    vectors of unequal length raise. ``sizes_from`` are cheaper tables with the same rows (and group
+    columns) to count instead of the inputs.
     """
+    own = exclude_self if isinstance(exclude_self, tuple) else (query_id, corpus_id)
     q = queries.select(
         (F.col(within[0]) if within else F.lit(0)).alias("__g"),
         F.col(query_id).alias("__qid"),
-        F.col(query_vector).alias("__qvec"),
-    ).filter(F.col("__g").isNotNull())
+        F.col(query_vector).alias("__vec"),
+        (F.col(own[0]) if exclude_self else F.lit(0)).alias("__self"),
+    ).filter(F.col("__g").isNotNull() & F.col("__vec").isNotNull())
     c = corpus.select(
         (F.col(within[1]) if within else F.lit(0)).alias("__g"),
         F.col(corpus_id).alias("__cid"),
-        F.col(corpus_vector).alias("__cvec"),
+        F.col(corpus_vector).alias("__vec"),
+        (F.col(own[1]) if exclude_self else F.lit(0)).alias("__self"),
         *carry,
-    ).filter(F.col("__g").isNotNull())
-
-    if sizes_from is None:
-        q_rows, c_rows = q, c
-    else:
-        groups = [F.col(name) for name in within] if within else [F.lit(0), F.lit(0)]
-        q_rows, c_rows = (df.select(g.alias("__g")) for df, g in zip(sizes_from, groups))
-
-    def place(df: DataFrame, rows: DataFrame, others: DataFrame, id_column: str, mine: str, theirs: str) -> DataFrame:
-        """Own block by hash of the id, and one copy per block of the other side."""
-        counts = [_blocks(rows, "__own", block_rows, within), _blocks(others, "__other", block_rows, within)]
-        if within:
-            sized = df.join(counts[0].join(counts[1], "__g"), "__g")
-        else:
-            sized = df.withColumn("__own", counts[0].scalar()).withColumn("__other", counts[1].scalar())
-        own = F.pmod(F.xxhash64(id_column), F.col("__own")).cast("int")
-        across = F.explode(F.sequence(F.lit(0), F.greatest(F.col("__other"), F.lit(1)) - 1))
-        return sized.withColumn(mine, own).withColumn(theirs, across).drop("__own", "__other")
-
-    left = place(q, q_rows, c_rows, "__qid", "__qb", "__cb")
-    right = place(c, c_rows, q_rows, "__cid", "__cb", "__qb")
+    ).filter(F.col("__g").isNotNull() & F.col("__vec").isNotNull())
+    q_rows, c_rows = sizes_from or (queries, corpus)
+    grid = _grid(q_rows, c_rows, within, block_rows)
+
+    def placed(df: DataFrame, id_column: str, mine: str, theirs: str, side: int) -> DataFrame:
+        sized = df.join(grid, "__g")
+        block = F.pmod(F.xxhash64(id_column), F.col(f"{mine}s")).cast("int")
+        across = F.explode(F.sequence(F.lit(0), F.col(f"{theirs}s") - 1))
+        spread = sized.withColumn(mine, block).withColumn(theirs, across).withColumn("__side", F.lit(side))
+        return spread.drop("__as", "__bs")
+
+    both = placed(q, "__qid", "__a", "__b", 0).unionByName(placed(c, "__cid", "__b", "__a", 1), allowMissingColumns=True)
+    columns = ["__cid", *carry]
+    names = [query_id, corpus_id, *carry, "similarity"]
     schema = T.StructType(
         [
             T.StructField(query_id, q.schema["__qid"].dataType),
@@ -147,8 +207,43 @@ def nearest(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    search = _block_search(k, digits, exclude_self, dims, {"query_id": query_id, "corpus_id": corpus_id}, list(carry))
-    keys = ["__g", "__qb", "__cb"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
+    exclude = bool(exclude_self)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = None
+        for new, part in _cells(batches):
+            if new:
+                if cell is not None and (done := cell.result(names)) is not None:
+                    yield done
+                cell = _CellSearch(k, dims, exclude, columns, digits)
+            cell.add(part)
+        if cell is not None and (done := cell.result(names)) is not None:
+            yield done
+
+    ordered = both.repartition(*_CELL).sortWithinPartitions(*_CELL, "__side", "__cid")
+    partial = ordered.mapInArrow(search, schema)
     order = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(corpus_id))
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _grid(queries: DataFrame, corpus: DataFrame, within: tuple[str, str] | None, block_rows: int) -> DataFrame:
+    """(__g, __as, __bs): into how many query blocks and corpus parts each group is cut.
+
+    Counted once and written, one row per group. Tasks go to groups by their share of all products.
+    """
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = within or (None, None)
+
+    def counted(df: DataFrame, name: str | None, into: str) -> DataFrame:
+        group = F.col(name) if name else F.lit(0)
+        rows = df.select(group.alias("__g")).filter(F.col("__g").isNotNull())
+        return rows.groupBy("__g").agg(F.count(F.lit(1)).alias(into))
+
+    sizes = counted(queries, names[0], "nq").join(counted(corpus, names[1], "nc"), "__g")
+    sizes = written(sizes, "sizes")
+    work = F.col("nq").cast("double") * F.col("nc")
+    total = sizes.agg(F.sum(work)).scalar()
+    blocks = F.ceil(F.col("nq") / block_rows)
+    wanted = F.ceil(F.lit(float(tasks)) * work / total / blocks)
+    parts = F.greatest(F.lit(1), F.least(wanted, F.ceil(F.col("nc") / LEAST_PART)))
+    return sizes.select("__g", blocks.cast("int").alias("__as"), parts.cast("int").alias("__bs"))

@@ -26,7 +26,7 @@ def points(spark):
 
 def brute(vectors, k, rules=None, exclude_self=False):
     out = {}
-    similar = np.round(vectors @ vectors.T, 6)
+    similar = np.round(vectors @ vectors.T, 12)
     for q in range(len(vectors)):
         ids = [c for c in range(len(vectors)) if (rules is None or rules[c] == rules[q]) and not (exclude_self and c == q)]
         out[q] = sorted(ids, key=lambda c: (-similar[q, c], c))[:k]
@@ -41,9 +41,10 @@ def result(df):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [4096, 50, 17])
+@pytest.mark.parametrize("block_rows,least_part", [(4096, 4096), (50, 30), (17, 7)])
 @pytest.mark.parametrize("grouped", [False, True])
-def test_blocks_do_not_change_the_result(points, block_rows, grouped):
+def test_blocks_do_not_change_the_result(points, block_rows, least_part, grouped, monkeypatch):
+    monkeypatch.setattr("rulewell.operators.nearest.LEAST_PART", least_part)
     df, vectors, rules = points
     queries = df.withColumnRenamed("row_id", "query_id")
     got = nearest(
@@ -62,6 +63,41 @@ def test_short_groups_give_fewer_rows_and_nested_results(points):
     assert all(wide[q][:3] == found for q, found in small.items())
 
 
+def test_small_arrow_batches_give_the_same(spark, points):
+    df, vectors, rules = points
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = result(nearest(df.withColumnRenamed("row_id", "query_id"), df, 9, within=("rule", "rule"), block_rows=20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(vectors, 9, rules)
+
+
+def test_close_neighbours_are_ranked_on_all_digits(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0 + 1e-8, 0.0])]
+    corpus = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [r.row_id for r in nearest(asked, corpus, 2).orderBy("rank").collect()] == [2, 1]
+
+
+def test_own_rows_are_left_out_by_source(spark):
+    corpus = spark.createDataFrame([(8, 1, [1.0]), (9, 1, [1.0]), (16, 2, [0.5])], "row_id long, source long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0]), (8, [1.0])], "query_id long, embedding array<double>")
+    got = result(nearest(asked, corpus, 3, exclude_self=("query_id", "source")))
+    assert got == {1: [16], 8: [8, 9, 16]}
+
+
+def test_ragged_and_null_vectors(spark):
+    kind = "row_id long, embedding array<double>"
+    good = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], kind)
+    asked = good.withColumnRenamed("row_id", "query_id")
+    assert result(nearest(asked, good, 5)) == {1: [1, 3], 3: [3, 1]}
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], kind).coalesce(1)
+    for left, right in ((asked, ragged), (ragged.withColumnRenamed("row_id", "query_id"), good)):
+        with pytest.raises(Exception, match="unequal length"):
+            nearest(left, right, 1).collect()
+
+
 def test_sparse_vectors(spark):
     rows = [(0, ([0, 2], [0.6, 0.8])), (1, ([], [])), (2, ([2], [1.0]))]
     kind = "row_id long, embedding struct<indices:array<int>,values:array<double>>"
@@ -133,3 +169,42 @@ def test_classify_finds_the_twin(spark):
     assert [got[i].decision for i in (1, 2)] == [1, 0]
     assert got[1].rule_match_type == "exact" and got[3].rule_match_type.startswith("similar")
     assert got[1].num_retrieved == 1 and got[1].reranked
+
+
+def test_classify_on_a_retrieval_corpus_equals_brute_force(spark):
+    """The README's call: corpus and queries from one table, checked against plain Python."""
+    import hashlib
+    import random
+    import re
+
+    from rulewell.plans.classify import query_prompts, retrieval_corpus
+
+    draw = random.Random(5)
+    vocabulary = "spam link buy cheap photo lovely garden kind rude insult help thanks".split()
+    say = lambda: " ".join(draw.choices(vocabulary, k=6))
+    names = "row_id long, subreddit string, rule string, body string, rule_violation int, positive_example_1 string, negative_example_1 string, positive_example_2 string, negative_example_2 string"
+    rows = [(i, "s", f"r{i % 3}", say(), i % 2, say(), say(), say(), say()) for i in range(40)]
+    train = spark.createDataFrame(rows, names)
+    test = spark.createDataFrame([(100 + r[0], *r[1:4], None, *r[5:]) for r in rows[:10]], names)
+    corpus = retrieval_corpus(train, test)
+    held = corpus.collect()
+    assert len({r.row_id for r in held}) == len(held)
+    queries = query_prompts(train).select(F.col("row_id").alias("query_id"), "rule", "body")
+    got = {r.row_id: r for r in classify(queries, corpus, RetrievalSettings(retrieval_k=7, top_k=3, exclude_self=True)).collect()}
+    assert len(got) == 40
+    tokens = lambda text: re.findall(r"\w{2,}", text.lower())
+
+    def vector(text):
+        v = np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64 for w in tokens(text)], minlength=64)
+        return v / np.linalg.norm(v)
+
+    for q in queries.collect():
+        near = [(-round(float(vector(q.body) @ vector(c.body)), 12), c.row_id, c) for c in held if c.rule == q.rule and c.source_row != q.query_id]
+        near = sorted(near, key=lambda x: x[:2])[:7]
+        mine = set(tokens(q.body))
+        scored = sorted((-len(mine & set(tokens(c.body))) / len(mine), s, i, c.value) for s, i, c in near)[:3]
+        score = sum((0.5 * -s + 0.5 * -r) * value for r, s, _, value in scored)
+        assert got[q.query_id].rule_violation == pytest.approx(score, abs=1e-8)
+    doubled = corpus.withColumn("row_id", F.col("source_row"))
+    with pytest.raises(ValueError, match="unique"):
+        classify(queries, doubled)
