@@ -2,53 +2,55 @@
 
 A plain ``row_number()`` over an unpartitioned (or hot) window runs in one task. Here rows are cut
 into ordered buckets, the buckets are counted, a prefix sum over the bucket counts gives each
-bucket its offset, and ``row_number()`` runs inside the buckets only. The prefix sum is over at
-most 4096 rows per group whatever the table size.
+bucket its offset, and ``row_number()`` runs inside the buckets only. The prefix sum is over one
+row per bucket (and group).
 """
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from math import ceil, log, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewell.functions.sampling_keys import hash_key
 
-_BUCKET, _LEVEL, _BOUNDS, _OFFSET, _HASH = "__bucket", "__level", "__bounds", "__offset", "__hash"
+_BUCKET, _LEVEL, _OFFSET, _HASH = "__bucket", "__level", "__offset", "__hash"
 
 # Sampled keys per bucket when the bucket bounds are estimated.
 SAMPLE_PER_BUCKET = 200
+# Rows of a bucket from which on more buckets are made; MOST_SIDE squared bounds what is collected.
+BUCKET_ROWS, MOST_SIDE = 5_000_000, 256
 _MILLIARD = 1_000_000_000
 
 
-def _side(df: DataFrame) -> int:
-    """Buckets per level: about two buckets per shuffle partition, 64 x 64 at most."""
+def _side(df: DataFrame, rows: int) -> int:
+    """Buckets per level: two per shuffle partition, and more while a bucket would pass BUCKET_ROWS."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(64, max(4, ceil(sqrt(2 * partitions))))
+    return min(MOST_SIDE, max(4, ceil(sqrt(max(2 * partitions, rows / BUCKET_ROWS)))))
 
 
-def _quantile_bucketed(df: DataFrame, key: str, side: int) -> DataFrame:
+def _quantile_bucketed(df: DataFrame, key: str, side: int | None) -> DataFrame:
     """Add an order-preserving bucket in [0, side*side): a two-level search among quantiles.
 
-    The quantiles are a lazily computed scalar subquery of side*side-1 values over a hash sample
-    of bounded size, so that merging the partial sketches stays cheap for any number of tasks.
-    Bounds only decide how even the buckets are, never the numbers.
+    The rows are counted and the quantiles of a hash sample of bounded size are taken once, before
+    the plan that uses them, so every part of that plan sees the same bounds. Bounds only decide how
+    even the buckets are, never the numbers.
     """
+    rows = df.count()
+    side = side or _side(df, rows)
     steps = [i / (side * side) for i in range(1, side * side)]
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    share = F.lit(float(SAMPLE_PER_BUCKET * side * side * _MILLIARD)) / rows
-    sample = df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(_MILLIARD)) < share)
-    bounds = sample.agg(F.percentile_approx(key, steps, 10000)).scalar()
-    held = df.withColumn(_BOUNDS, bounds)
-    coarse = F.array(*[F.get(F.col(_BOUNDS), F.lit(i * side - 1)) for i in range(1, side)])
+    share = float(SAMPLE_PER_BUCKET * side * side * _MILLIARD) / max(1, rows)
+    sample = df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(_MILLIARD)) < F.lit(share))
+    bounds = sorted(sample.agg(F.percentile_approx(key, steps, 10000).alias("b")).first()["b"] or [0] * len(steps))
+    coarse = F.array(*[F.lit(bounds[i * side - 1]) for i in range(1, side)])
 
     def below(values: Column) -> Column:
         return F.size(F.filter(values, lambda b: b < F.col(key)))
 
-    leveled = held.withColumn(_LEVEL, below(coarse))
-    fine = F.slice(_BOUNDS, F.col(_LEVEL) * side + 1, side - 1)
-    return leveled.withColumn(_BUCKET, F.col(_LEVEL) * side + below(fine)).drop(_BOUNDS, _LEVEL)
+    leveled = df.withColumn(_LEVEL, below(coarse))
+    fine = F.slice(F.array(*map(F.lit, bounds)), F.col(_LEVEL) * side + 1, side - 1)
+    return leveled.withColumn(_BUCKET, F.col(_LEVEL) * side + below(fine)).drop(_LEVEL)
 
 
 def number_rows(
@@ -63,14 +65,15 @@ def number_rows(
 
     ``total`` names a column for the group's row count. ``side`` squared is the number of buckets.
     """
-    bucketed = _quantile_bucketed(df, key, side or _side(df))
+    bucketed = _quantile_bucketed(df, key, side)
     return _number(bucketed, [F.col(key)], into, within, total)
 
 
 def number_rows_by_hash(
-    df: DataFrame, key: str, seed: int, into: str = "rn", total: str | None = None, digits: int = 3
+    df: DataFrame, key: str, seed: int, into: str = "rn", total: str | None = None, digits: int | None = None
 ) -> DataFrame:
     """Zero-based position in the seeded random order; buckets are digest prefixes, hence even."""
+    digits = digits or max(3, ceil(log(max(1, df.count() / BUCKET_ROWS), 16)))
     hashed = df.withColumn(_HASH, hash_key(key, seed))
     bucketed = hashed.withColumn(_BUCKET, F.substring(_HASH, 1, digits))
     return _number(bucketed, [F.col(_HASH), F.col(key)], into, (), total).drop(_HASH)

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Session option: deal inputs out to so many partitions. Unset, scans stay as they are split.
+INPUT_PARTITIONS = "spark.rulewell.inputPartitions"
 
-def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """Deal rows out to all cores when the input is small enough to arrive in too few tasks.
 
-    Parsing, tokenising and Python work then run everywhere although the scan had one split (one
-    row group, or a multi-line CSV file). The size estimate decides: from one full split per core
-    upwards the scan is parallel enough and nothing is shuffled. ``like`` is the table to estimate
-    when ``df`` comes out of joins, whose estimates are not usable.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to the number of partitions that the caller has set, if any.
+
+    For inputs whose scan cannot be split (one row group, a multi-line CSV file) in front of parsing,
+    tokenising and Python work. Sizes of tables play no part.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

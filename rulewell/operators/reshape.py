@@ -13,13 +13,9 @@ from rulewell.functions.sampling_keys import hash_int
 from rulewell.functions.text import has_text
 from rulewell.operators.cleaning import keep_first
 from rulewell.operators.numbering import number_rows
+from rulewell.operators.sampling import sample_n
 from rulewell.schemas import EXAMPLE_COLUMNS
 
-# Multiplier of the seeded walk over all (community, rule) pairs: a prime above 2^31.
-WALK_PRIME = 2_654_435_761
-WALK_OTHER = 2_147_483_647
-
-
 def stack(*frames: DataFrame) -> DataFrame:
     """UNION ALL by column name."""
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -34,21 +30,18 @@ def community_rule_pairs(
 ) -> DataFrame:
     """``n`` distinct (community, rule) pairs, or every pair when ``n`` is null or too large.
 
-    Pair number p stands for (p div rules, p mod rules). A sample visits p = (a*i + seed) mod
-    pairs for i < n, which cannot repeat as ``a`` is coprime to the number of pairs: the product
-    is never built to draw from it. Both tables carry a unique numeric ``key``.
+    Pair number p stands for (p div rules, p mod rules). A sample is the ``n`` pair numbers with the
+    smallest seeded digests: every set of pairs is equally likely, whatever the sizes of the tables.
+    Pairs are numbers until they are drawn, so no joined product is built. Both tables carry a unique
+    numeric ``key``.
     """
     spark = communities.sparkSession
-    sizes = {"__subs": communities.agg(F.count(F.lit(1))).scalar(), "__rules": rules.agg(F.count(F.lit(1))).scalar()}
-    if n is None:
-        pairs = communities.count() * rules.count()
-        draws = spark.range(pairs).withColumns(sizes).withColumn("__p", F.col("id"))
-    else:
-        draws = spark.range(n).withColumns(sizes).withColumn("__all", F.col("__subs") * F.col("__rules"))
-        step = F.when(F.col("__all") % WALK_PRIME == 0, F.lit(WALK_OTHER)).otherwise(F.lit(WALK_PRIME))
-        walk = F.pmod((F.pmod(step, F.col("__all")) * F.col("id")) % F.col("__all") + F.lit(seed), F.col("__all"))
-        draws = draws.filter(F.col("id") < F.col("__all")).withColumn("__p", walk)
-    draws = draws.selectExpr("id AS pair_id", "__p div __rules AS __c", "__p % __rules AS __r")
+    n_rules = rules.count()
+    pairs = communities.count() * n_rules
+    draws = spark.range(pairs)
+    if n is not None:
+        draws = sample_n(draws, n, "id", seed)
+    draws = draws.selectExpr("id AS pair_id", f"id div {max(1, n_rules)} AS __c", f"id % {max(1, n_rules)} AS __r")
     left = _numbered(communities, key).withColumnRenamed("__n", "__c").drop(key)
     right = _numbered(rules, key).withColumnRenamed("__n", "__r").drop(key)
     return draws.join(left, "__c").join(right, "__r").drop("__c", "__r")
