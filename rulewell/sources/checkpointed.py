@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulewell.session import written
 
-def _done(spark: SparkSession, path: str) -> DataFrame | None:
+
+SLOTS = 256
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{path}/done").select("batch_id").distinct()
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -19,33 +25,32 @@ def _done(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def pending_rows(df: DataFrame, path: str) -> DataFrame:
-    """Rows of batches not yet stored under ``path``."""
-    done = _done(df.sparkSession, path)
-    return df if done is None else df.join(done, "batch_id", "left_anti")
+    """Rows of batches not yet recorded as done under ``path``."""
+    done = _read(df.sparkSession, f"{path}/done")
+    return df if done is None else df.join(done.select("batch_id").distinct(), "batch_id", "left_anti")
 
 
 def process_batches(
-    df: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, wave: int = 1000
+    df: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, slots: int = SLOTS
 ) -> DataFrame:
-    """Process rows by their numeric ``batch_id`` and store the output per batch; returns all output.
+    """Process rows by their ``batch_id`` and store the output; returns all recorded output.
 
-    Batches go in waves of ``wave`` ids, each one distributed job, so a lost job costs one wave.
-    A wave's rows are written first (replacing what a broken run left) and its ids are recorded
-    after that, so a re-run repeats exactly the batches that were not recorded.
+    One pass: the pending input is written once, so that what is processed and what is recorded are
+    the same rows; the output goes to a folder of its own run, in ``slots`` hash folders of the batch
+    number; last the numbers of the input's batches are recorded together with the run's name, so a
+    batch without output is done as well. What a broken run left behind has no record and is never
+    read. Any kind of batch number will do, however sparse.
     """
     spark = df.sparkSession
-    todo = pending_rows(df, path)
-    low, high = todo.agg(F.min("batch_id"), F.max("batch_id")).first()
-    if low is not None:
-        for start in range(int(low), int(high) + 1, wave):
-            rows = todo.filter(F.col("batch_id").between(start, start + wave - 1))
-            (
-                process(rows)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(f"{path}/rows")
-            )
-            written = spark.read.parquet(f"{path}/rows").filter(F.col("batch_id").between(start, start + wave - 1))
-            written.select("batch_id").distinct().write.mode("append").parquet(f"{path}/done")
-    return spark.read.parquet(f"{path}/rows")
+    todo = written(pending_rows(df, path), "pending")
+    if not todo.isEmpty():
+        run = uuid.uuid4().hex
+        slot = F.pmod(F.xxhash64("batch_id"), F.lit(slots)).cast("int")
+        out = process(todo).withColumns({"run": F.lit(run), "slot": slot})
+        out.write.mode("append").partitionBy("run", "slot").parquet(f"{path}/rows")
+        ids = todo.select("batch_id").distinct().withColumn("run", F.lit(run))
+        ids.write.mode("append").parquet(f"{path}/done")
+    rows, done = _read(spark, f"{path}/rows"), _read(spark, f"{path}/done")
+    if rows is None or done is None:
+        return process(todo).limit(0)
+    return rows.join(done.select("run").distinct(), "run", "left_semi").drop("run", "slot")
