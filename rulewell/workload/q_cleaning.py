@@ -152,18 +152,25 @@ def _words(c: str) -> str:
     return rf"len(regexp_extract_all(coalesce({c}, 'nan'), '\S+'))"
 
 
+# Every text column of the training table.
+ALL_TEXTS = ["subreddit", "rule", *EXAMPLE_COLUMNS, "test_comment", "violates_rule"]
+
+
 @query(
     "b13_word_count",
-    sql(f"select row_id, {', '.join(f'{_words(c)} as {c}_word_count' for c in _TEXTS)} from wide"),
+    sql(f"select row_id, {', '.join(f'{_words(c)} as {c}_word_count' for c in ALL_TEXTS)} from wide"),
 )
 def word_count(t: Tables) -> DataFrame:
-    counted = cleaning.add_word_counts(t.wide, _TEXTS)
-    return counted.select("row_id", *[f"{c}_word_count" for c in _TEXTS])
+    counted = cleaning.add_word_counts(t.wide, ALL_TEXTS)
+    return counted.select("row_id", *[f"{c}_word_count" for c in ALL_TEXTS])
 
 
-@query("b14_max_words", sql(f"select row_id, rule, test_comment from wide where {_words('rule')} <= 120 and {_words('test_comment')} <= 120"))
+@query(
+    "b14_max_words",
+    sql(f"select row_id, rule, test_comment from wide where {' and '.join(f'{_words(c)} <= 120' for c in ALL_TEXTS)}"),
+)
 def max_words(t: Tables) -> DataFrame:
-    return cleaning.max_words(t.wide, ["rule", "test_comment"]).select("row_id", "rule", "test_comment")
+    return cleaning.max_words(t.wide, ALL_TEXTS).select("row_id", "rule", "test_comment")
 
 
 @query("b15_min_words", sql(f"select row_id from wide where {' and '.join(f'{_words(c)} >= 1' for c in _TEXTS)}"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from rulewell.functions import responses
 from rulewell.operators import evaluation, profiling, retrieval, sampling
 from rulewell.operators.reshape import melt_scores, unpivot_with_main
-from rulewell.schemas import EXAMPLE_COLUMNS
-from rulewell.workload.q_cleaning import _BOOL, _words
+from rulewell.workload.q_cleaning import _BOOL, ALL_TEXTS, _words
 from rulewell.workload.q_parsing import _RESULTS, result_rows
 from rulewell.workload.q_reshape import _IDS, _KEEP, _MAIN, _MELTED, _MODELS, _long_sql
 from rulewell.workload.q_retrieval import (
@@ -20,10 +19,10 @@ from rulewell.workload.q_retrieval import (
     not_found,
 )
 from rulewell.workload.registry import SQL, query
+from rulewell.workload.sqltext import RATIOS as _RATIOS
+from rulewell.workload.sqltext import cells_sql as _cells_sql
 from rulewell.workload.tables import Tables, sql
 
-_TEXTS = (*EXAMPLE_COLUMNS, "test_comment")
-
 
 @query("i01_value_counts", sql("select violates_rule, count(*) as count from wide where violates_rule is not null group by 1"))
 def value_counts(t: Tables) -> DataFrame:
@@ -60,12 +59,12 @@ def distinct_count(t: Tables) -> DataFrame:
         (case when hi = lo then 0.01 else (hi - lo) / 100 end))) as int) as bin, count(*) as frequency
         from (select *, min(w) over (partition by column_name) as lo, max(w) over (partition by column_name) as hi from (
         """
-        + " union all ".join(f"select '{c}' as column_name, {_words(c)} as w from wide" for c in _TEXTS)
+        + " union all ".join(f"select '{c}' as column_name, {_words(c)} as w from wide" for c in ALL_TEXTS)
         + ") x) y group by 1, 2"
     ),
 )
 def histogram(t: Tables) -> DataFrame:
-    return profiling.word_histogram(t.wide, _TEXTS)
+    return profiling.word_histogram(t.wide, ALL_TEXTS)
 
 
 @query(
@@ -88,13 +87,17 @@ def generation_summary(t: Tables) -> DataFrame:
 @query(
     "i06_clarity_counts",
     sql(
-        """select count(*) filter (where response like '%' || chr(10) || 'Clarity Tag: Clear' || chr(10) || '%') as clear,
-        count(*) filter (where response like '%' || chr(10) || 'Clarity Tag: Unclear' || chr(10) || '%') as unclear from responses"""
+        """select row_id, clear, unclear from (select row_id, response, count(*) filter (where response like '%' || chr(10) || 'Clarity Tag: Clear' || chr(10) || '%') over () as clear,
+        count(*) filter (where response like '%' || chr(10) || 'Clarity Tag: Unclear' || chr(10) || '%') over () as unclear from responses) z where response like '%' || chr(10) || 'Clarity Tag: Unclear' || chr(10) || '%' order by row_id limit 5"""
     ),
 )
 def clarity_counts(t: Tables) -> DataFrame:
-    parsed = t.responses.select(responses.labelled_lines("response", responses.RULE_FORMAT).alias("p")).select("p.*")
-    return profiling.clarity_counts(parsed)
+    """The counts, beside the first few rows that were found unclear."""
+    labelled = responses.labelled_lines("response", responses.RULE_FORMAT).alias("p")
+    parsed = t.responses.select("row_id", labelled).select("row_id", "p.*")
+    counts = profiling.clarity_counts(parsed)
+    sample = profiling.unclear_rows(parsed, "row_id").select("row_id")
+    return sample.withColumns({c: counts.select(c).scalar() for c in counts.columns})
 
 
 @query(
@@ -147,14 +150,6 @@ def similarity_reduction(t: Tables) -> DataFrame:
     return report.withColumn("reduction_percent", F.round("reduction_percent", 6))
 
 
-def _cells_sql(truth: str, prediction: str) -> str:
-    pairs = (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))
-    return ", ".join(f"count(*) filter (where {truth} = {a} and {prediction} = {b}) as {n}" for n, a, b in pairs)
-
-
-_RATIOS = """round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) as accuracy,
- round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall,
- round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1"""
 _METRICS = ("accuracy", "precision", "recall", "f1")
 
 

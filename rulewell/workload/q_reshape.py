@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewell.functions import templates
 from rulewell.functions.labels import strict
 from rulewell.functions.prompts import fewshot_block
 from rulewell.operators import reshape, sampling
-from rulewell.operators.numbering import number_rows_by_hash
 from rulewell.plans.classify import retrieval_corpus
 from rulewell.schemas import EXAMPLE_COLUMNS
+from rulewell.session import written
 from rulewell.workload.registry import query
 from rulewell.workload.sqltext import hash_int_sql, hash_sql, render_sql, scrub_sql
 from rulewell.workload.tables import Tables, sql
@@ -19,11 +19,23 @@ from rulewell.workload.tables import Tables, sql
 
 @query(
     "c01_shuffle",
-    sql(f"select doc_id as row_id, row_number() over (order by {hash_sql('doc_id', 21)}) - 1 as position from documents"),
+    sql(
+        f"""select doc_id, md5(text) as text_md5, lang, source, n_chars,
+        row_number() over (order by {hash_sql('doc_id', 21)}) - 1 as position from documents"""
+    ),
 )
 def shuffle(t: Tables) -> DataFrame:
-    ids = t.given("documents").select(F.col("doc_id").alias("row_id"))
-    return number_rows_by_hash(ids, "row_id", 21, into="position")
+    """Whole rows in shuffled order; the position of a row follows from the order of the partitions."""
+    docs = t.given("documents").withColumn("text_md5", F.md5("text")).drop("text")
+    shuffled = sampling.shuffle(docs, "doc_id", 21)
+    # Rows of a range-sorted table keep their order inside a partition; numbers of partitions ascend.
+    placed = shuffled.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    stored = written(placed, "shuffled")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
+    offsets = first.select("part", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = stored.join(offsets, "part").withColumn("position", F.col("offset") + F.col("at") - F.col("low"))
+    return numbered.select("doc_id", "text_md5", "lang", "source", "n_chars", "position")
 
 
 @query("c02_sample_n", sql(f"select row_id, subreddit, body from snip order by {hash_sql('row_id', 42)}, row_id limit 200"))
@@ -47,12 +59,11 @@ def head_slice(t: Tables) -> DataFrame:
     return sampling.head(t.train.select("row_id", "test_comment"), 24, "row_id")
 
 
-def _walk_sql(n: int, seed: int) -> str:
-    prime, other = reshape.WALK_PRIME, reshape.WALK_OTHER
-    return f"""select i as pair_id, p // nr as ci, p % nr as ri from (
-      select i, nr, (((case when m % {prime} = 0 then {other} else {prime} end) % m) * i % m + {seed}) % m as p from (
-        select unnest(range({n})) as i) d, (select (select count(*) from communities) * (select count(*) from rules) as m,
-        (select count(*) from rules) as nr) s where i < m) w"""
+def drawn_pairs_sql(n: int, seed: int) -> str:
+    """Pair numbers with the smallest digests, as (pair_id, ci, ri)."""
+    return f"""select p as pair_id, p // nr as ci, p % nr as ri from (select unnest(range(
+      (select count(*) from communities) * (select count(*) from rules))) as p) d, (select count(*) as nr from rules) s
+      order by {hash_sql('p', seed)} limit {n}"""
 
 
 _NUMBERED = "cn as (select subreddit, row_number() over (order by id) - 1 as cnum from communities)"
@@ -61,7 +72,7 @@ _NUMBERED = "cn as (select subreddit, row_number() over (order by id) - 1 as cnu
 @query(
     "d01_cross_combos",
     sql(
-        f"select pair_id, subreddit, rule from ({_walk_sql(500, 21)}) d join cn on cn.cnum = d.ci join rules r on r.n = d.ri",
+        f"select pair_id, subreddit, rule from ({drawn_pairs_sql(500, 21)}) d join cn on cn.cnum = d.ci join rules r on r.n = d.ri",
         _NUMBERED,
     ),
 )
@@ -200,7 +211,8 @@ def corpus_sql() -> str:
 
 @query("d09_corpus_from_train_and_test", sql("select row_id, source_rank, rule, body, rule_violation, value from text_corpus", corpus_sql()))
 def corpus_from_train_and_test(t: Tables) -> DataFrame:
-    return retrieval_corpus(t.train.withColumnRenamed("test_comment", "body"), t.test)
+    rows = retrieval_corpus(t.train.withColumnRenamed("test_comment", "body"), t.test)
+    return rows.select(F.col("source_row").alias("row_id"), "source_rank", "rule", "body", "rule_violation", "value")
 
 
 _IDS = ("train_dataset", "pred_model_type", "scoring_dataset")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulewell.functions import vectors
 from rulewell.functions.stopwords import ENGLISH
-from rulewell.operators import retrieval, sampling, similarity
+from rulewell.operators import evaluation, retrieval, sampling, similarity
 from rulewell.operators.nearest import nearest
 from rulewell.operators.parallel import spread
 from rulewell.plans.classify import RetrievalSettings, classify, query_prompts, retrieval_corpus
+from rulewell.session import written
+from rulewell.sources import csvfiles
 from rulewell.workload.q_reshape import corpus_sql
 from rulewell.workload.registry import query
-from rulewell.workload.sqltext import dot_sql, scrub_sql
+from rulewell.workload.sqltext import RATIOS, cells_sql, dot_sql, scrub_sql
 from rulewell.workload.tables import Tables, sql
 
 
@@ -84,7 +87,7 @@ def tfidf(t: Tables) -> DataFrame:
 
 _BEST = f"""{_TFIDF}, best as (select doc_id, item_id, max_similarity from (select d.doc_id, b.item_id, coalesce(s.sim, 0.0) as max_similarity,
   row_number() over (partition by d.doc_id order by coalesce(s.sim, 0.0) desc, b.item_id) as r
-  from documents d cross join benchmark b left join (select x.id as doc_id, y.id as item_id, round(sum(x.weight * y.weight), 6) as sim
+  from documents d cross join benchmark b left join (select x.id as doc_id, y.id as item_id, round(sum(x.weight * y.weight), 12) as sim
   from tfidf x join tfidf y using (term_id) where x.side = 'document' and y.side = 'rule' group by all) s
   on s.doc_id = d.doc_id and s.item_id = b.item_id) z where r = 1)"""
 
@@ -96,16 +99,17 @@ def best_matches(t: Tables) -> DataFrame:
 
 @query(
     "h05_max_similarity_filter",
-    sql("select b.*, k.text as clean_rule from best b join benchmark k using (item_id) where max_similarity >= 0.3", _BEST),
+    sql("select b.doc_id, b.item_id, round(max_similarity, 6) as max_similarity, k.text as clean_rule from best b join benchmark k using (item_id) where max_similarity >= 0.3", _BEST),
 )
 def max_similarity_filter(t: Tables) -> DataFrame:
-    kept = similarity.similar_to_clean(best_matches(t), 0.3)
+    kept = similarity.similar_to_clean(best_matches(t), 0.3).withColumn("max_similarity", _shown("max_similarity"))
     return kept.join(t.given("benchmark").withColumnRenamed("text", "clean_rule"), "item_id")
 
 
-@query("c05_nlargest", sql("select doc_id, item_id, max_similarity from best order by max_similarity desc, doc_id limit 5", _BEST))
+@query("c05_nlargest", sql("select doc_id, item_id, round(max_similarity, 6) as max_similarity from best order by best. max_similarity desc, doc_id limit 5", _BEST))
 def nlargest(t: Tables) -> DataFrame:
-    return sampling.n_largest(best_matches(t), 5, "max_similarity", "doc_id")
+    top = sampling.n_largest(best_matches(t), 5, "max_similarity", "doc_id")
+    return top.withColumn("max_similarity", _shown("max_similarity"))
 
 
 _GLOBAL = f"""near as (select query_id, row_id, value, similarity, rank from (select q.query_id, c.row_id, (c.value + 1) // 2 as value,
@@ -114,14 +118,19 @@ _GLOBAL = f"""near as (select query_id, row_id, value, similarity, rank from (se
  from asked q join corpus c on c.row_id <> q.query_id) z where rank <= 20)"""
 
 
+def _shown(name: str = "similarity") -> Column:
+    """Similarities are ranked on all digits and shown on six."""
+    return F.round(name, 6).alias(name)
+
+
 def _global(t: Tables) -> DataFrame:
     flagged = t.corpus.withColumn("value", (F.col("value") == 1).cast("int"))
     return nearest(t.asked, flagged, 20, carry=("value",), exclude_self=True)
 
 
-@query("h06_global_topk", sql("select query_id, row_id, similarity, rank from near", _GLOBAL))
+@query("h06_global_topk", sql("select query_id, row_id, round(similarity, 6) as similarity, rank from near", _GLOBAL))
 def global_topk(t: Tables) -> DataFrame:
-    return _global(t).select("query_id", "row_id", "similarity", "rank")
+    return _global(t).select("query_id", "row_id", _shown(), "rank")
 
 
 @query(
@@ -179,9 +188,9 @@ def _reranked(t: Tables) -> DataFrame:
     return retrieval.rerank(_candidates(t), queries, texts, 4)
 
 
-@query("h08_rule_topk", sql("select query_id, row_id, value, similarity, rank from candidates where rank <= 10", CANDIDATES))
+@query("h08_rule_topk", sql("select query_id, row_id, value, round(similarity, 6) as similarity, rank from candidates where rank <= 10", CANDIDATES))
 def rule_topk(t: Tables) -> DataFrame:
-    return _candidates(t, 10).select("query_id", "row_id", "value", "similarity", "rank")
+    return _candidates(t, 10).select("query_id", "row_id", "value", _shown(), "rank")
 
 
 @query("h09_similar_rule_fallback", sql("select * from resolved", RESOLVED))
@@ -213,11 +222,10 @@ def not_found(t: Tables) -> DataFrame:
 
 @query(
     "h11_rerank_topk",
-    sql("select query_id, row_id, value, similarity, round(rerank_score, 6) as rerank_score, final_rank from reranked", f"{CANDIDATES}, {RERANKED}"),
+    sql("select query_id, row_id, value, round(similarity, 6) as similarity, round(rerank_score, 6) as rerank_score, final_rank from reranked", f"{CANDIDATES}, {RERANKED}"),
 )
 def rerank_topk(t: Tables) -> DataFrame:
-    kept = _reranked(t).withColumn("rerank_score", F.round("rerank_score", 6))
-    return kept.select("query_id", "row_id", "value", "similarity", "rerank_score", "final_rank")
+    return _reranked(t).select("query_id", "row_id", "value", _shown(), _shown("rerank_score"), "final_rank")
 
 
 def vote_sql(source: str, score: str) -> str:
@@ -238,10 +246,10 @@ def fused_vote(t: Tables) -> DataFrame:
 @query(
     "h14_retrieve_detail",
     sql(
-        """select p.query_id, p.matched_rule, p.rule_match_type, x.listed, n.num_examples_in_rule, true as reranked,
-        cast(20 as int) as retrieval_k, cast(x.k as int) as final_k from placed_queries p join (select query_id, count(*) as k,
+        """select p.query_id, p.matched_rule, p.rule_match_type, x.listed, coalesce(n.num_examples_in_rule, 0) as num_examples_in_rule, true as reranked,
+        cast(20 as int) as retrieval_k, cast(coalesce(x.k, 0) as int) as final_k from placed_queries p left join (select query_id, count(*) as k,
         string_agg(concat(cast(row_id as varchar), ':', cast(value as varchar)), ',' order by final_rank) as listed from reranked
-        group by query_id) x using (query_id) join (select rule as matched_rule, count(*) as num_examples_in_rule from corpus group by rule) n
+        group by query_id) x using (query_id) left join (select rule as matched_rule, count(*) as num_examples_in_rule from corpus group by rule) n
         using (matched_rule)""",
         f"{CANDIDATES}, {RERANKED}",
     ),
@@ -252,52 +260,76 @@ def retrieve_detail(t: Tables) -> DataFrame:
     return detail.withColumn("listed", F.array_join(entry, ",")).drop("examples")
 
 
+TASK = "Given a comment, find comments that the same rule was applied to"
+_ASKED_RULE = "case when row_id % 10 = 3 then concat('Unlisted: ', rule) else rule end"
+_INSTRUCT = f"concat('Instruct: {TASK}', chr(10), 'Query: ', {{}})"
+
 _FLAGSHIP = rf"""{corpus_sql()},
  texts as (select 'c' as side, row_id * 8 + source_rank as id, rule, body, value from text_corpus union all
-  select 'q', row_id, rule, {scrub_sql("concat('r/', subreddit, chr(10), 'Comment: ', test_comment)")}, rule_violation from train),
- words as (select side, id, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]{{2,}}')) as w from texts),
+  select 'q', row_id, {_ASKED_RULE}, {scrub_sql("concat('r/', subreddit, chr(10), 'Comment: ', test_comment)")}, rule_violation from train),
+ encoded as (select side, cast(id as varchar) as id, {_INSTRUCT.format('body')} as body from texts union all
+  select 'r', rule, {_INSTRUCT.format("concat('rule: ', rule)")} from (select distinct rule from texts) r),
+ words as (select side, id, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]{{2,}}')) as w from encoded),
  slots as (select side, id, cast(concat('0x', substr(md5(w), 1, 4)) as bigint) % 64 as slot, cast(count(*) as double) as n from words group by all),
- dense as (select t.side, t.id, list(coalesce(s.n, 0) order by g.slot) as v from texts t cross join (select unnest(range(64)) as slot) g
+ dense as (select t.side, t.id, list(coalesce(s.n, 0) order by g.slot) as v from encoded t cross join (select unnest(range(64)) as slot) g
   left join slots s on s.side = t.side and s.id = t.id and s.slot = g.slot group by t.side, t.id),
  unit as (select side, id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-300)) as v from dense),
+ known as (select distinct rule from texts where side = 'c'),
+ unknown as (select distinct rule from texts where side = 'q' and rule not in (select rule from known)),
+ matched as (select rule as query_rule, rule as matched_rule, 'exact' as rule_match_type from known union all
+  select query_rule, matched_rule, concat('similar (similarity: ', format('{{:.3f}}', s), ')') from (select u.rule as query_rule,
+  k.rule as matched_rule, {dot_sql('a.v', 'b.v')} as s, row_number() over (partition by u.rule order by {dot_sql('a.v', 'b.v')} desc, k.rule) as r
+  from unknown u cross join known k join unit a on a.side = 'r' and a.id = u.rule join unit b on b.side = 'r' and b.id = k.rule) z where r = 1),
  bags as (select side, id, list_distinct(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]{{2,}}')) as ws from texts),
  found as (select * from (select *, row_number() over (partition by query_id order by similarity desc, cid) as rank from (
-  select q.id as query_id, c.id as cid, c.value, round(list_inner_product(u.v, w.v), 6) as similarity from texts q
-  join texts c on c.rule = q.rule and c.side = 'c' and q.side = 'q' join unit u on u.side = 'q' and u.id = q.id
-  join unit w on w.side = 'c' and w.id = c.id) x) y where rank <= 100),
+  select q.id as query_id, c.id as cid, c.value, {dot_sql('u.v', 'w.v')} as similarity from texts q
+  join matched m on m.query_rule = q.rule join texts c on c.rule = m.matched_rule and c.side = 'c' and q.side = 'q'
+  join unit u on u.side = 'q' and u.id = cast(q.id as varchar) join unit w on w.side = 'c' and w.id = cast(c.id as varchar)) x) y where rank <= 100),
  best4 as (select * from (select *, row_number() over (partition by query_id order by rerank desc, similarity desc, cid) as fr from (
   select f.*, len(list_intersect(a.ws, b.ws)) / greatest(len(a.ws), 1) as rerank from found f
   join bags a on a.side = 'q' and a.id = f.query_id join bags b on b.side = 'c' and b.id = f.cid) x) y where fr <= 4),
- flagship as (select t.row_id, t.rule as matched_rule, v.s, v.n, t.rule_violation as truth from train t join (
+ flagship as (select t.row_id, m.matched_rule, m.rule_match_type, round(v.s, 6) as rule_violation, case when v.s >= 0 then 1 else 0 end as decision,
+  cast(v.n as int) as num_retrieved, t.rule_violation as truth from (select *, {_ASKED_RULE} as asked_rule from train) t
+  join matched m on m.query_rule = t.asked_rule join (
   select query_id, round(sum((0.999 * similarity + 0.001 * rerank) * value), 9) as s, count(*) as n from best4 group by query_id) v
-  on v.query_id = t.row_id)"""
+  on v.query_id = t.row_id),
+ metrics as (select {RATIOS} from (select {cells_sql('truth', 'decision')} from flagship) z)"""
 
 
 def flagship_decisions(t: Tables) -> DataFrame:
-    """Decisions for every labelled comment against the corpus of labelled and sampled rows."""
-    train = t.train.withColumnRenamed("test_comment", "body")
+    """Decisions for every labelled comment against the corpus of labelled and sampled rows.
 
-    def corpus_rows() -> DataFrame:
-        unique_id = F.col("row_id") * 8 + F.col("source_rank")
-        return retrieval_corpus(train, t.test).select(unique_id.alias("row_id"), "rule", "body", "value")
+    One comment in ten asks for a rule that the corpus does not have.
+    """
+    train = t.train.withColumnRenamed("test_comment", "body")
+    asked = F.when(F.col("row_id") % 10 == 3, F.concat(F.lit("Unlisted: "), F.col("rule"))).otherwise(F.col("rule"))
 
     def query_rows() -> DataFrame:
-        return query_prompts(train).select(F.col("row_id").alias("query_id"), "rule", "body")
+        return query_prompts(train).select(F.col("row_id").alias("query_id"), asked.alias("rule"), "body")
 
     # The scrubbed texts are read by the embedder and by the reranker: write them once.
-    corpus, queries = t.stored("text_corpus", corpus_rows), t.stored("text_queries", query_rows)
-    settings = RetrievalSettings(similarity_weight=0.999, rerank_weight=0.001)
+    corpus = t.stored("text_corpus", lambda: retrieval_corpus(train, t.test))
+    queries = t.stored("text_queries", query_rows)
+    settings = RetrievalSettings(similarity_weight=0.999, rerank_weight=0.001, instruction=TASK)
     return classify(queries, corpus, settings)
 
 
 @query(
     "h15_end_to_end_classify",
     sql(
-        """select row_id, round(s, 6) as rule_violation, case when s >= 0 then 1 else 0 end as decision, matched_rule,
-        'exact' as rule_match_type, cast(n as int) as num_retrieved, true as reranked, truth from flagship""",
+        """select row_id, rule_violation, decision, decision as submitted, matched_rule, rule_match_type, num_retrieved,
+        true as reranked, truth, accuracy, precision, recall, f1 from flagship cross join metrics""",
         _FLAGSHIP,
     ),
 )
 def end_to_end_classify(t: Tables) -> DataFrame:
+    """Decisions, the submission file read back, and the scores of the whole run on every row."""
     truth = t.train.select("row_id", F.col("rule_violation").alias("truth"))
-    return _rounded(flagship_decisions(t)).join(truth, "row_id")
+    judged = written(_rounded(flagship_decisions(t)).join(truth, "row_id"), "decisions")
+    path = t.scratch("submission")
+    csvfiles.write_submission(judged, path, decision="decision")
+    submission = csvfiles.csv_scan(t.spark, path, T.StructType.fromDDL("row_id long, rule_violation int"))
+    both = judged.join(submission.withColumnRenamed("rule_violation", "submitted"), "row_id")
+    scores = evaluation.binary_metrics(judged, "truth", "decision")
+    names = ("accuracy", "precision", "recall", "f1")
+    return both.withColumns({c: F.round(scores.select(c).scalar(), 6) for c in names})

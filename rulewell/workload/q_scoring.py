@@ -81,10 +81,11 @@ def embed_texts(t: Tables) -> DataFrame:
 
 @query(
     "g05_rerank_pairs",
-    sql("select query_id, row_id, similarity, round(rerank_score, 6) as rerank_score, final_rank from reranked", f"{CANDIDATES}, {RERANKED}"),
+    sql("select query_id, row_id, round(similarity, 6) as similarity, round(rerank_score, 6) as rerank_score, final_rank from reranked", f"{CANDIDATES}, {RERANKED}"),
 )
 def rerank_pairs(t: Tables) -> DataFrame:
     found = retrieval.rule_candidates(_resolved(t), t.corpus, 20, exclude_self=True)
     queries, texts = documents_by_id(t)
     best = retrieval.rerank(found, queries, texts, 4)
-    return best.select("query_id", "row_id", "similarity", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
+    shown = [F.round(c, 6).alias(c) for c in ("similarity", "rerank_score")]
+    return best.select("query_id", "row_id", *shown, "final_rank")

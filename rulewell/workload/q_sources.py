@@ -14,6 +14,7 @@ from rulewell.schemas import GENERATION_COLUMNS, GENERATION_RENAMED, TRAINING, T
 from rulewell.sources import checkpointed, corpus, csvfiles
 from rulewell.streaming.ingest import ingest_available
 from rulewell.workload.registry import query
+from rulewell.workload.sqltext import dot_sql
 from rulewell.workload.tables import Tables, sql
 
 _TRAINING_SQL = ", ".join(TRAINING_COLUMNS)
@@ -85,18 +86,21 @@ def submission_sink(t: Tables) -> DataFrame:
 @query(
     "a07_corpus_store",
     sql(
-        """select query_id, row_id, similarity from (select a.row_id as query_id, b.row_id,
-        round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) as similarity,
-        row_number() over (partition by a.row_id order by round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) desc, b.row_id) as r
-        from corpus a join corpus b on a.rule = b.rule) z where r <= 5"""
+        f"""select query_id, row_id, round(s, 6) as similarity from (select a.row_id as query_id, b.row_id, {dot_sql('a.embedding', 'b.embedding')} as s,
+        row_number() over (partition by a.row_id order by {dot_sql('a.embedding', 'b.embedding')} desc, b.row_id) as r
+        from corpus a join corpus b on a.rule = b.rule where a.rule in ('rule 1', 'rule 4')) z where r <= 5"""
     ),
 )
 def corpus_store(t: Tables) -> DataFrame:
     path = t.scratch("corpus")
     corpus.save_corpus(t.corpus, path)
-    stored = corpus.load_corpus(t.spark, path)
-    queries = t.corpus.select(F.col("row_id").alias("query_id"), F.col("rule").alias("matched_rule"), "embedding")
-    return rule_candidates(queries, stored, 5).select("query_id", "row_id", "similarity")
+    # Fresh questions about two rules: only those rules' buckets of the stored corpus are read.
+    rules = ["rule 1", "rule 4"]
+    stored = corpus.load_corpus(t.spark, path, rules)
+    asked = t.corpus.filter(F.col("rule").isin(rules))
+    queries = asked.select(F.col("row_id").alias("query_id"), F.col("rule").alias("matched_rule"), "embedding")
+    found = rule_candidates(queries, stored, 5)
+    return found.select("query_id", "row_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

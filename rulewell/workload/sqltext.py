@@ -31,7 +31,8 @@ def hash_int_sql(key: str, seed: int) -> str:
 
 
 def dot_sql(a: str, b: str) -> str:
-    return f"round(list_inner_product({a}::double[], {b}::double[]), 6)"
+    """Inner product to the digits that the order of the sum cannot change."""
+    return f"round(list_inner_product({a}::double[], {b}::double[]), 12)"
 
 
 def scrub_sql(expression: str) -> str:
@@ -40,3 +41,13 @@ def scrub_sql(expression: str) -> str:
     for pattern, mask in ((URL_PATTERN, "<URL>"), (EMAIL_PATTERN, "<EMAIL>"), (PHONE_PATTERN, "<PHONE>")):
         out = f"regexp_replace({out}, {quoted(pattern)}, '{mask}', 'g')"
     return out
+
+
+def cells_sql(truth: str, prediction: str) -> str:
+    pairs = (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))
+    return ", ".join(f"count(*) filter (where {truth} = {a} and {prediction} = {b}) as {n}" for n, a, b in pairs)
+
+
+RATIOS = """round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) as accuracy,
+ round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall,
+ round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1"""

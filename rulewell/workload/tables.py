@@ -55,8 +55,13 @@ responses as (
   ' Negative Example 1: ', replace(negative_example_1, chr(10), ' '), chr(10),
   case when row_id % 5 = 0 then '**Test Comment:** bold'
    else concat('  Test Comment: ', replace(test_comment, chr(10), ' ')) end, chr(10),
-  'Example 3: ', replace(negative_example_2, chr(10), ' '), chr(10),
+  'Positive Example 2: ', subreddit, ' one', chr(10), 'Negative Example 2: ', subreddit, ' two', chr(10),
+  'Example 1: first ', rule, chr(10), 'Example 2: second', chr(10),
+  'Example 3: ', replace(negative_example_2, chr(10), ' '), chr(10), 'Example 4:  fourth  ', chr(10),
+  'Formatted Rule Name: name of ', cast(row_id as varchar), chr(10), 'Formatted Rule Description: about ', subreddit, chr(10),
+  'Final Formatted Rule: name: about', chr(10),
   'Clarity Tag: ', case when row_id % 3 = 0 then 'Unclear' else 'Clear' end, chr(10),
+  'Clarity Reason: ', case when row_id % 3 = 0 then 'too broad' else '' end, chr(10),
   'Violates Rule: ', coalesce(violates_rule, ''),
   case when row_id % 11 = 0 then concat(chr(10), 'Violates Rule: No') else '' end) end as response
  from train),
@@ -131,7 +136,7 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = self.scratch(name)
-            spread(build(), like=self.given("documents")).write.parquet(path)
+            spread(build()).write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -228,8 +233,13 @@ class Tables:
             F.lit("\nPositive Example 1: "), flat("positive_example_2"),
             F.lit("\n Negative Example 1: "), flat("negative_example_1"),
             F.lit("\n"), comment,
-            F.lit("\nExample 3: "), flat("negative_example_2"),
+            F.lit("\nPositive Example 2: "), F.col("subreddit"), F.lit(" one\nNegative Example 2: "), F.col("subreddit"),
+            F.lit(" two\nExample 1: first "), F.col("rule"), F.lit("\nExample 2: second"),
+            F.lit("\nExample 3: "), flat("negative_example_2"), F.lit("\nExample 4:  fourth  "),
+            F.lit("\nFormatted Rule Name: name of "), id_.cast("string"),
+            F.lit("\nFormatted Rule Description: about "), F.col("subreddit"), F.lit("\nFinal Formatted Rule: name: about"),
             F.lit("\nClarity Tag: "), F.when(id_ % 3 == 0, F.lit("Unclear")).otherwise(F.lit("Clear")),
+            F.lit("\nClarity Reason: "), F.when(id_ % 3 == 0, F.lit("too broad")).otherwise(F.lit("")),
             F.lit("\nViolates Rule: "), F.coalesce("violates_rule", F.lit("")),
             F.when(id_ % 11 == 0, F.lit("\nViolates Rule: No")).otherwise(F.lit("")),
         )
