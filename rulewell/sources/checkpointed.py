@@ -31,24 +31,27 @@ def pending_rows(df: DataFrame, path: str) -> DataFrame:
 
 
 def process_batches(
-    df: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, slots: int = SLOTS
+    df: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, slots: int = SLOTS, waves: int = 1
 ) -> DataFrame:
     """Process rows by their ``batch_id`` and store the output; returns all recorded output.
 
-    One pass: the pending input is written once, so that what is processed and what is recorded are
-    the same rows; the output goes to a folder of its own run, in ``slots`` hash folders of the batch
-    number; last the numbers of the input's batches are recorded together with the run's name, so a
-    batch without output is done as well. What a broken run left behind has no record and is never
-    read. Any kind of batch number will do, however sparse.
+    The pending input is written once, so that what is processed and what is recorded are the same
+    rows. The output goes to a folder of its own run, in ``slots`` hash folders of the batch number;
+    then the numbers of the input's batches are recorded together with the run's name, so a batch
+    without output is done as well. What a broken run left behind has no record and is never read.
+    Any kind of batch number will do, however sparse. ``waves`` cuts the written input into so many
+    hash slices of batches that are processed and recorded one after the other, for callers whose
+    model calls are too dear to lose a whole run.
     """
     spark = df.sparkSession
     todo = written(pending_rows(df, path), "pending")
-    if not todo.isEmpty():
+    for wave in range(0 if todo.isEmpty() else waves):
+        part = todo.filter(F.pmod(F.xxhash64("batch_id", F.lit(5)), F.lit(waves)) == wave) if waves > 1 else todo
         run = uuid.uuid4().hex
         slot = F.pmod(F.xxhash64("batch_id"), F.lit(slots)).cast("int")
-        out = process(todo).withColumns({"run": F.lit(run), "slot": slot})
+        out = process(part).withColumns({"run": F.lit(run), "slot": slot})
         out.write.mode("append").partitionBy("run", "slot").parquet(f"{path}/rows")
-        ids = todo.select("batch_id").distinct().withColumn("run", F.lit(run))
+        ids = part.select("batch_id").distinct().withColumn("run", F.lit(run))
         ids.write.mode("append").parquet(f"{path}/done")
     rows, done = _read(spark, f"{path}/rows"), _read(spark, f"{path}/done")
     if rows is None or done is None:

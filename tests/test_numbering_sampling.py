@@ -49,7 +49,7 @@ def test_samples(spark, rows, monkeypatch):
     ordered = sorted((r.id for r in rows.collect()), key=lambda i: digest(i, 42))
     want = set(ordered[:500])
     assert {r.id for r in sampling.sample_n(rows, 500, "id").collect()} == want
-    monkeypatch.setattr(sampling, "LIMIT_ROWS", 10)
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 10)
     assert {r.id for r in sampling.sample_n(rows, 500, "id").collect()} == want
     assert sampling.sample_n(rows, 5000, "id").count() == 3000
     part = sampling.sample_fraction(rows.repartition(3), 0.7, "id", 42)
@@ -62,3 +62,28 @@ def test_shuffle_and_top(rows):
     assert ids == sorted(ids, key=lambda i: digest(i, 9))
     top = sampling.n_largest(rows, 3, "id", "id").collect()
     assert [r.id for r in top] == sorted(ids)[::-1][:3]
+
+
+def test_samples_with_repeated_and_null_keys(spark, monkeypatch):
+    keys = [None if i % 30 == 0 else i // 100 for i in range(3000)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, v long").repartition(4)
+    for rows_per_bucket in (200_000, 10):
+        monkeypatch.setattr(sampling, "BUCKET_ROWS", rows_per_bucket)
+        drawn = sampling.sample_n(df, 150, "k").collect()
+        assert len(drawn) == 150 and len({r.v for r in drawn}) == 150
+        assert sampling.sample_fraction(df, 0.05, "k").count() == 150
+        assert {tuple(r) for r in drawn} == {tuple(r) for r in sampling.sample_n(df.repartition(7), 150, "k").collect()}
+    nulls = {sampling.sample_n(df, 1500, "k", seed).filter("k is null").count() > 0 for seed in range(6)}
+    assert nulls == {True, False}
+
+
+def test_pairs_are_spread_whatever_the_sizes(spark):
+    from rulewell.operators.reshape import community_rule_pairs
+
+    communities = spark.range(31).selectExpr("id", "concat('c', id) as subreddit")
+    rules = spark.range(40).selectExpr("id", "concat('r', id) as rule")
+    drawn = community_rule_pairs(communities, rules, 200).collect()
+    assert len({(r.subreddit, r.rule) for r in drawn}) == 200
+    assert len({r.subreddit for r in drawn}) >= 29 and len({r.rule for r in drawn}) >= 37
+    assert community_rule_pairs(communities, rules, None).count() == 31 * 40
+    assert community_rule_pairs(communities.filter("false"), rules, 5).count() == 0

@@ -75,13 +75,31 @@ def test_batches_resume_where_they_stopped(spark, tmp_path):
         )
 
     with pytest.raises(Exception, match="stop"):
-        checkpointed.process_batches(df, breaks, path, wave=2)
-    assert {r.batch_id for r in checkpointed.pending_rows(df, path).select("batch_id").distinct().collect()} == {2, 3, 4}
-    out = checkpointed.process_batches(df, double, path, wave=2)
+        checkpointed.process_batches(df, breaks, path, waves=5)
+    left = {r.batch_id for r in checkpointed.pending_rows(df, path).select("batch_id").distinct().collect()}
+    assert 3 in left and left <= {0, 1, 2, 3, 4}
+    out = checkpointed.process_batches(df, double, path)
     assert sorted(r.twice for r in out.collect()) == [2 * i for i in range(50)]
     assert checkpointed.pending_rows(df, path).count() == 0
 
 
+def test_batches_without_output_are_done_once(spark, tmp_path):
+    path, seen = str(tmp_path / "b"), []
+    ids = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.lit(9_000_000_000_000))
+    df = spark.range(20).select(F.col("id").alias("row_id"), ids.alias("batch_id"))
+
+    def odd_only(rows):
+        seen.append(sorted(r.batch_id for r in rows.select("batch_id").distinct().collect()))
+        return rows.filter("row_id % 2 = 1")
+
+    assert checkpointed.process_batches(df, odd_only, path).count() == 10
+    assert checkpointed.process_batches(df, odd_only, path).count() == 10
+    assert seen == [[7, 9_000_000_000_000]]
+    more = df.withColumn("batch_id", F.lit(8))
+    assert checkpointed.process_batches(more, lambda rows: rows.limit(0), path).count() == 10
+    assert checkpointed.pending_rows(more, path).count() == 0
+
+
 def generation(spark, n, start):
     t = training_rows(spark, n, start)
     values = ["subreddit", "rule", "rule", "positive_example_1", "negative_example_1", "positive_example_2", "negative_example_2", "test_comment", "violates_rule"]
