@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from rulewell.functions.stopwords import ENGLISH
 from rulewell.functions.text import NON_WORD, words
 from rulewell.operators.nearest import nearest
 from rulewell.operators.parallel import spread
+from rulewell.operators.scoring import embed_texts
 from rulewell.session import written
 
 
@@ -48,32 +50,34 @@ def fit_vocabulary(
     )
 
 
-def term_weights(
-    docs: DataFrame, key: str, text: str, vocabulary: DataFrame, stop_words: Sequence[str] = ENGLISH
-) -> DataFrame:
-    """(key, term_id, weight): tf * idf of vocabulary terms, not yet normalised.
-
-    Rows without any vocabulary term keep one row with a null term, so no document is lost. The
-    vocabulary is broadcast: it has at most ``max_features`` rows.
-    """
-    tokens = docs.select(key, F.explode_outer(_terms(text, stop_words)).alias("term"))
-    matched = tokens.join(F.broadcast(vocabulary), "term", "left")
-    counted = matched.groupBy(key, "term_id").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
-    return counted.select(key, "term_id", (F.col("tf") * F.col("idf")).alias("weight"))
+def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
+    """(key, term, tf) of every distinct term, counted inside the row: sorted terms, run lengths."""
+    ordered = docs.select(key, F.array_sort(_terms(text, stop_words)).alias("t"))
+    starts = F.filter(F.transform("t", lambda w, i: F.when((i == 0) | (w != F.get("t", i - 1)), i)), lambda i: i.isNotNull())
+    placed = ordered.select(key, "t", starts.alias("s"))
+    runs = F.transform(
+        "s", lambda at, i: F.struct(F.get("t", at).alias("term"), (F.coalesce(F.get("s", i + 1), F.size("t")) - at).alias("tf"))
+    )
+    return placed.select(key, F.explode(runs).alias("x")).select(key, "x.term", "x.tf")
 
 
 def tfidf_vectors(
     docs: DataFrame, key: str, text: str, vocabulary: DataFrame, stop_words: Sequence[str] = ENGLISH
 ) -> DataFrame:
-    """(key, vector STRUCT<indices, values>) of unit length, empty where no term matched."""
-    weights = term_weights(docs, key, text, vocabulary, stop_words)
-    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "weight"))
-    rows = weights.groupBy(key).agg(
-        F.array_sort(F.collect_list(entry)).alias("e"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("length")
-    )
+    """(key, vector STRUCT<indices, values>) of unit length, empty where no term matched.
+
+    A document's terms are counted where its text is; terms of the vocabulary find their ids in a
+    join, and one exchange by document puts the vector together.
+    """
+    terms = term_counts(docs, key, text, stop_words).join(vocabulary, "term")
+    weighted = terms.select(key, F.struct("term_id", (F.col("tf") * F.col("idf")).alias("weight")).alias("e"))
+    empty = docs.select(key, F.lit(None).cast(weighted.schema["e"].dataType).alias("e"))
+    rows = weighted.unionByName(empty).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    squares = F.aggregate("e", F.lit(0.0), lambda total, x: total + x["weight"] * x["weight"])
+    sized = rows.withColumn("length", F.sqrt(squares))
     values = F.transform("e", lambda x: x["weight"] / F.col("length"))
     indices = F.transform("e", lambda x: x["term_id"])
-    return rows.select(key, F.struct(indices.alias("indices"), values.alias("values")).alias("vector"))
+    return sized.select(key, F.struct(indices.alias("indices"), values.alias("values")).alias("vector"))
 
 
 def best_match(
@@ -106,6 +110,21 @@ def tfidf_best_match(
     return best_match(left, right, key, clean_key, dims=max_features, sizes_from=(rows, clean))
 
 
+def embedding_best_match(
+    rows: DataFrame,
+    clean: DataFrame,
+    key: str,
+    text: str,
+    clean_key: str,
+    clean_text: str,
+    embedder: Callable[[], Callable[[list[str]], np.ndarray]],
+) -> DataFrame:
+    """Best clean match of every row by the cosine of embeddings; each text is embedded once."""
+    left = spread(rows).select(key, embed_texts(text, embedder).alias("vector"))
+    right = spread(clean).select(clean_key, embed_texts(clean_text, embedder).alias("vector"))
+    return best_match(left, right, key, clean_key, sizes_from=(rows, clean))
+
+
 def similar_to_clean(matches: DataFrame, threshold: float) -> DataFrame:
     """Rows whose best similarity reaches the threshold (0.7 for embeddings, 0.3 for term vectors)."""
     return matches.filter(F.col("max_similarity") >= threshold)

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+# Scratch base of local sessions without spark.checkpoint.dir; goes when the interpreter ends.
+_LOCAL_BASE: list[tempfile.TemporaryDirectory] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -54,7 +56,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="rulewell-")
+        if not _LOCAL_BASE:
+            _LOCAL_BASE.append(tempfile.TemporaryDirectory(prefix="rulewell-", ignore_cleanup_errors=True))
+        base = _LOCAL_BASE[0].name
     return f"{base.rstrip('/')}/rulewell-{name}-{uuid.uuid4().hex}"
 
 

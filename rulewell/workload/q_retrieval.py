@@ -11,6 +11,7 @@ from rulewell.functions.stopwords import ENGLISH
 from rulewell.operators import evaluation, retrieval, sampling, similarity
 from rulewell.operators.nearest import nearest
 from rulewell.operators.parallel import spread
+from rulewell.operators.scoring import hashed_word_embedder
 from rulewell.plans.classify import RetrievalSettings, classify, query_prompts, retrieval_corpus
 from rulewell.session import written
 from rulewell.sources import csvfiles
@@ -97,13 +98,35 @@ def best_matches(t: Tables) -> DataFrame:
     return similarity.tfidf_best_match(docs, rules, "doc_id", "text", "item_id", "text")
 
 
+_BEST_EMBEDDED = rf"""{_BEST}, e_slots as (select side, id, cast(concat('0x', substr(md5(w), 1, 4)) as bigint) % 64 as slot,
+  cast(count(*) as double) as n from (select side, id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) as w from all_text) x group by all),
+ e_dense as (select t.side, t.id, list(coalesce(s.n, 0) order by g.slot) as v from all_text t cross join (select unnest(range(64)) as slot) g
+  left join e_slots s on s.side = t.side and s.id = t.id and s.slot = g.slot group by t.side, t.id),
+ e_unit as (select side, id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-300)) as v from e_dense),
+ e_best as (select doc_id, item_id, max_similarity from (select d.id as doc_id, b.id as item_id, {dot_sql('d.v', 'b.v')} as max_similarity,
+  row_number() over (partition by d.id order by {dot_sql('d.v', 'b.v')} desc, b.id) as r
+  from e_unit d join e_unit b on d.side = 'document' and b.side = 'rule') z where r = 1)"""
+
+
 @query(
     "h05_max_similarity_filter",
-    sql("select b.doc_id, b.item_id, round(max_similarity, 6) as max_similarity, k.text as clean_rule from best b join benchmark k using (item_id) where max_similarity >= 0.3", _BEST),
+    sql(
+        """select m.method, m.doc_id, m.item_id, round(m.max_similarity, 6) as max_similarity, k.text as clean_rule from (
+        select 'terms' as method, * from best where max_similarity >= 0.3 union all
+        select 'embeddings', * from e_best where max_similarity >= 0.7) m join benchmark k using (item_id)""",
+        _BEST_EMBEDDED,
+    ),
 )
 def max_similarity_filter(t: Tables) -> DataFrame:
-    kept = similarity.similar_to_clean(best_matches(t), 0.3).withColumn("max_similarity", _shown("max_similarity"))
-    return kept.join(t.given("benchmark").withColumnRenamed("text", "clean_rule"), "item_id")
+    """Both methods with their own thresholds: term vectors (0.3) and embeddings (0.7, the default)."""
+    docs, rules = t.given("documents").select("doc_id", "text"), t.given("benchmark")
+    embedded = similarity.embedding_best_match(
+        docs, rules, "doc_id", "text", "item_id", "text", hashed_word_embedder(64)
+    )
+    by_terms = similarity.similar_to_clean(best_matches(t), 0.3).withColumn("method", F.lit("terms"))
+    by_vectors = similarity.similar_to_clean(embedded, 0.7).withColumn("method", F.lit("embeddings"))
+    kept = by_terms.unionByName(by_vectors).withColumn("max_similarity", _shown("max_similarity"))
+    return kept.join(rules.withColumnRenamed("text", "clean_rule"), "item_id")
 
 
 @query("c05_nlargest", sql("select doc_id, item_id, round(max_similarity, 6) as max_similarity from best order by best. max_similarity desc, doc_id limit 5", _BEST))
