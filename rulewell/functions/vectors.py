@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rulewell.functions.text import column
+from rulewell.functions.text import column, words
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -23,6 +25,38 @@ def _divide(v: Column, scale: Column) -> Column:
     return F.zip_with(v, F.array_repeat(scale, F.size(v)), lambda x, s: x.cast("double") / s)
 
 
+def hashed_words(text: Column | str, dims: int = 64) -> Column:
+    """Sparse unit vector STRUCT<indices, values> of word counts hashed into ``dims`` slots.
+
+    The stand-in for a neural embedder as column functions: slots are sorted inside the row and their
+    runs counted. One-element arrays bind a list once for all its uses.
+    """
+
+    def slot(word: Column) -> Column:
+        return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("int") % dims).cast("int")
+
+    def bound(values: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(values), use), F.lit(0))
+
+    def runs(t: Column) -> Column:
+        first = F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i))
+
+        def counted(s: Column) -> Column:
+            return F.transform(
+                s, lambda at, i: F.struct(F.get(t, at).alias("slot"), (F.coalesce(F.get(s, i + 1), F.size(t)) - at).alias("n"))
+            )
+
+        return bound(F.array_compact(first), counted)
+
+    def unit(pairs: Column) -> Column:
+        length = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x["n"] * x["n"]))
+        values = bound(length, lambda d: F.transform(pairs, lambda x: x["n"] / d))
+        return F.struct(F.transform(pairs, lambda x: x["slot"]).alias("indices"), values.alias("values"))
+
+    slots = F.array_sort(F.transform(words(F.coalesce(column(text), F.lit(""))), slot))
+    return bound(bound(slots, runs), unit)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """Unit length; an all-zero vector stays as it is."""
     length = norm(v)

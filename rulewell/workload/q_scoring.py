@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulewell.functions.prompts import short_prompt
+from rulewell.functions.vectors import hashed_words
 from rulewell.operators import retrieval, scoring
 from rulewell.operators.parallel import spread
 from rulewell.workload.q_retrieval import CANDIDATES, RERANKED, _resolved, documents_by_id
@@ -73,10 +74,10 @@ def generate_batches(t: Tables) -> DataFrame:
     ),
 )
 def embed_texts(t: Tables) -> DataFrame:
-    vector = scoring.embed_texts("text", scoring.hashed_word_embedder(64))
-    docs = spread(t.given("documents")).select("doc_id", vector.alias("v"))
-    slots = docs.select("doc_id", F.posexplode("v").alias("slot", "w")).filter(F.col("w") > 0)
-    return slots.select("doc_id", "slot", F.round("w", 6).alias("weight"))
+    """The built-in embedder, without Python; models plug into ``scoring.embed_texts``."""
+    docs = spread(t.given("documents")).select("doc_id", hashed_words("text", 64).alias("v"))
+    entry = F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")
+    return docs.select("doc_id", entry).select("doc_id", F.col("e.indices").alias("slot"), F.round("e.values", 6).alias("weight"))
 
 
 @query(

@@ -124,3 +124,17 @@ def test_vectors(spark):
     soft = run(spark, [[1000.0, 1000.0 + math.log(3)]], vectors.softmax("v"), "array<double>")[0]
     assert soft == pytest.approx([0.25, 0.75])
     assert run(spark, [[1.0, 1.0]], vectors.argmax("v"), "array<double>") == [0]
+
+
+def test_hashed_words_equal_the_python_embedder(spark):
+    import numpy as np
+
+    from rulewell.operators.scoring import hashed_word_embedder
+
+    values = ["spam spam links and more Spam links", "", None, "one", "Ça va_1 ü bien bien"]
+    got = run(spark, values, vectors.hashed_words("v", 16))
+    want = hashed_word_embedder(16)()([v or "" for v in values])
+    for row, counts in zip(got, want):
+        dense = np.zeros(16)
+        dense[row.indices] = row["values"]
+        assert dense == pytest.approx(counts / (np.linalg.norm(counts) or 1.0))
