@@ -14,8 +14,8 @@ that many texts share last (counted over all texts); that keeps cells small and
 A cell of more than ``CELL_ROWS`` texts is cut into blocks, and pairs of blocks are separate tasks.
 
 Equal sets are one class from the start, so copies are never paired. In a large cell the first round
-pairs each text with one earlier survivor only; the second round pairs all survivors that the links
-of the first have not joined yet. No link between different sets is lost, and large groups of near
+pairs each text with one survivor of each cell, drawn at random; the second round pairs all survivors
+that the links of the first have not joined yet. No link between different sets is lost, and large groups of near
 copies do not make all their pairs. Components are found by star contraction, written to the shared
 folder in each step.
 """
@@ -38,7 +38,10 @@ LEAF_ROWS = 32
 # the prefix order; at most COMMON_LIMIT of them are told apart from the others. This bounds what is
 # broadcast; the order is for speed, any order gives the same rows.
 FEW, MANY, COMMON_LIMIT, COUNT_BATCH = 4, 40, 1_000_000, 2_000_000
-LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 8, 4096, 8
+# About two shingles to a group keep the bound tight; trees read at most TREE_GROUPS of them.
+LEAST_GROUPS, MOST_GROUPS, PER_GROUP, TREE_GROUPS = 8, 1 << 13, 2, 1024
+# Bits of the filter that leaves texts out before their sets are made again; a fixed 2 MB.
+FILTER_BITS = 24
 
 _DRAW = np.random.default_rng(20240601)
 _BYTE = _DRAW.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,14 +132,25 @@ def n_groups(n: int) -> int:
 def count_vector(found: np.ndarray) -> np.ndarray:
     """How many shingles fall in each group; groups are leading bits, so neighbours add up."""
     bits = n_groups(len(found)).bit_length() - 1
-    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.intp), minlength=1 << bits)
-    return counts.astype("<u4") if len(counts) and counts.max() > 65535 else counts.astype("<u2")
+    return np.bincount((found >> np.uint64(64 - bits)).astype(np.intp), minlength=1 << bits)
 
 
-def _vector(packed: bytes, n: int, groups: int) -> np.ndarray:
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in half a byte each where all fit, else in one byte or four."""
+    top = counts.max()
+    if top < 16:
+        pairs = counts.astype(np.uint8)
+        return (pairs[::2] << 4 | pairs[1::2]).tobytes()
+    return counts.astype("<u4" if top > 255 else "<u1").tobytes()
+
+
+def _vector(held: bytes, n: int, groups: int) -> np.ndarray:
+    """The counts of a set of n shingles, added up to ``groups`` groups."""
     own = n_groups(n)
-    kind = "<u2" if len(packed) == 2 * own else "<u4"
-    return np.frombuffer(packed, kind).astype(np.int64).reshape(groups, own // groups).sum(axis=1)
+    counts = np.frombuffer(held, "<u4" if len(held) == 4 * own else "<u1")
+    if 2 * len(held) == own:
+        counts = np.stack([counts >> 4, counts & 15], axis=1).ravel()
+    return counts.reshape(groups, own // groups).sum(axis=1, dtype=np.int32)
 
 
 def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -144,20 +158,18 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _pairs_in(sizes: np.ndarray, points: np.ndarray, percent: int, allowed: Callable, every: bool):
+def _pairs_in(sizes: np.ndarray, points: np.ndarray, percent: int, allowed: Callable, draw: Callable | None):
     """(later, earlier) places of pairs that the bound lets through, in the order of size.
 
-    ``allowed(rows, row)`` tells which of the rows may meet the row. Unless ``every`` is set, each
-    row gets one partner only, its earliest. The tree halves the rows, which are sorted by size,
-    down to leaves; a node's coordinate maxima bound all its rows.
+    ``allowed(rows, row)`` tells which of the rows may meet the row. With ``draw(rows, row)`` each row
+    keeps one partner only, the one with the largest drawn number. The tree halves the rows, which
+    are sorted by size, down to leaves; a node's coordinate maxima bound all its rows.
     """
     found_a, found_b = [], []
-    best = np.full(len(sizes), -1)
+    partner, drawn = np.full(len(sizes), -1), np.zeros(len(sizes), np.uint64)
 
     def visit(lo: int, hi: int, queries: np.ndarray) -> None:
         queries = queries[queries > lo]  # partners come earlier in the order
-        if not every:
-            queries = queries[best[queries] < 0]
         # Rows are sorted by size, so the smallest and largest of the node are at its ends.
         queries = queries[100 * sizes[hi - 1] >= percent * sizes[queries]]
         if not len(queries):
@@ -171,17 +183,22 @@ def _pairs_in(sizes: np.ndarray, points: np.ndarray, percent: int, allowed: Call
             return
         for at in range(lo, hi):
             own = queries[(queries > at) & allowed(queries, at)]
-            if not every:
-                own = own[best[own] < 0]
             own = own[100 * sizes[at] >= percent * sizes[own]]
             if len(own):
                 shared = np.minimum(points[own], points[at]).sum(axis=1)
                 own = own[shared >= needed(sizes[own], sizes[at], percent)]
-                best[own] = at
-                found_a.append(own)
-                found_b.append(np.full(len(own), at))
+                if draw is None:
+                    found_a.append(own)
+                    found_b.append(np.full(len(own), at))
+                elif len(own):
+                    number = draw(own, at)
+                    won = own[number >= drawn[own]]
+                    partner[won], drawn[won] = at, number[number >= drawn[own]]
 
     visit(0, len(sizes), np.arange(len(sizes)))
+    if draw is not None:
+        later = np.flatnonzero(partner >= 0)
+        return later, partner[later]
     if not found_a:
         return np.zeros(0, np.intp), np.zeros(0, np.intp)
     return np.concatenate(found_a), np.concatenate(found_b)
@@ -191,7 +208,7 @@ def _cell_pairs(cell: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
     """Candidate pairs of one block pair of one cell; rows of one block meet only if it is alone."""
     cell = cell.sort_values(["n", "doc_id"], kind="stable")
     sizes, ids = cell["n"].to_numpy(np.int64), cell["doc_id"].to_numpy(np.int64)
-    groups = min(n_groups(int(n)) for n in sizes)
+    groups = min(TREE_GROUPS, *(n_groups(int(n)) for n in sizes))
     points = np.stack([_vector(p, int(n), groups) for p, n in zip(cell["vector"], sizes, strict=True)])
     own, side, apart = cell["own"].to_numpy(bool), cell["side"].to_numpy(), cell["apart"].to_numpy(np.int64)
     cross = bool(cell["cross"].iat[0])
@@ -201,7 +218,13 @@ def _cell_pairs(cell: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
         fits = (own[rows] | own[row]) & (apart[rows] != apart[row])
         return fits & (side[rows] != side[row]) if cross else fits
 
-    later, earlier = _pairs_in(sizes, points, percent, allowed, every)
+    token = _mix(np.array([cell["token"].iat[0]], np.int64).view(np.uint64))
+
+    def draw(rows: np.ndarray, row: int) -> np.ndarray:
+        # Partners differ from cell to cell, so a text tries many members of a large group at once.
+        return _mix(ids[rows].view(np.uint64) * np.uint64(3) ^ _mix(ids[row : row + 1].view(np.uint64) ^ token))
+
+    later, earlier = _pairs_in(sizes, points, percent, allowed, None if every else draw)
     return pd.DataFrame({"a": ids[later], "b": ids[earlier]})
 
 
@@ -275,7 +298,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     prefix = np.concatenate([found[~late], found[late]])[:length]
                 high = int(_mix(found).sum(dtype=np.uint64).view(np.int64)) if n else 0
                 low = int(_mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if n else 0
-                vector = count_vector(found).tobytes() if n else b""
+                vector = packed(count_vector(found)) if n else b""
                 rows.append((doc_id, n, high, low, prefix.view(np.int64), vector))
             yield pd.DataFrame(rows, columns=["id", "n", "high", "low", "prefix", "vector"])
 
@@ -344,15 +367,10 @@ def _large_pairs(large: DataFrame, percent: int, every: bool) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold; only texts that stand in a pair are read again.
-
-    The count vectors of the two are compared first, on their side of the join.
-    """
-    vectors = sketch.select("doc_id", "n", "vector")
-    left = vectors.toDF("a", "n_a", "v_a")
-    right = vectors.toDF("b", "n_b", "v_b")
-    bounded = pairs.join(left, "a").join(right, "b")
+def bounded(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose count vectors, with all their groups, let the threshold be reached; written."""
+    vectors = sketch.select("doc_id", "n", "vector").dropDuplicates(["doc_id", "n", "vector"])
+    both = pairs.join(vectors.toDF("a", "n_a", "v_a"), "a").join(vectors.toDF("b", "n_b", "v_b"), "b")
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -363,19 +381,52 @@ def verified(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, pe
                 keep.append(shared >= -(-percent * (n + m) // (100 + percent)))
             yield batch.loc[keep, ["a", "b"]]
 
-    survivors = written(bounded.mapInPandas(bound, "a long, b long"), "pairs")
-    if survivors.isEmpty():
-        return survivors
-    active = survivors.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(active.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    return written(both.mapInPandas(bound, "a long, b long"), "pairs")
+
+
+def _filter_place(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit per hashed number, of fixed size: at most 2^FILTER_BITS / 64 words reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            place = _filter_place(batch["doc_id"].to_numpy())
+            yield pd.DataFrame({"word": place >> 6, "bit": np.int64(1) << (place & 63)})
+
+    words = ids.mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, found) with the packed whole sets of the documents in ``ids``; written.
+
+    The texts are read again rather than stored as sets or shuffled. A filter of fixed size lets all
+    wanted documents through and few others; an exact join takes those out.
+    """
+    wanted = written(ids.distinct(), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
         for batch in batches:
-            packed = [shingles(t, size).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": packed})
+            place = _filter_place(batch["doc_id"].to_numpy(np.int64))
+            kept = batch[(bits[place >> 6] >> (place & 63) & 1) == 1]
+            found = [shingles(t, size).tobytes() for t in kept["text"]]
+            yield pd.DataFrame({"doc_id": kept["doc_id"], "found": found})
 
-    held = written(texts.mapInPandas(sets, "doc_id long, found binary").dropDuplicates(["doc_id", "found"]), "sets")
-    both = survivors.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
+    numbered = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    made = numbered.mapInPandas(sets, "doc_id long, found binary").join(wanted, "doc_id", "left_semi")
+    return written(made.dropDuplicates(["doc_id", "found"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold; written."""
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -386,7 +437,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, pe
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(verify, "a long, b long")
+    return written(both.mapInPandas(verify, "a long, b long"), "edges")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -444,18 +495,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     on = (F.col("doc_id") == F.col("rep")) & (F.col("high") == F.col("__h")) & (F.col("low") == F.col("__l"))
     reps = linked.join(same, on).select("doc_id", "n", "prefix", "vector").dropDuplicates(["doc_id", "n", "vector"])
     sized = written(_cells(reps, percent), "cells")
-    pairs = _small_pairs(sized, percent)
     large = sized.where(F.col("m") > SMALL_CELL)
-    if large.isEmpty():
-        edges = written(verified(rows, pairs, sketch, size, percent), "edges")
-    else:
-        vectors = reps.select("doc_id", "vector")
-        pointed = written(large.join(vectors, "doc_id").withColumn("apart", F.col("doc_id")), "points")
-        pairs = pairs.union(_large_pairs(pointed, percent, every=False)).distinct()
-        edges = written(verified(rows, pairs, sketch, size, percent), "edges")
+    pointed = written(large.join(reps.select("doc_id", "vector"), "doc_id").withColumn("apart", F.col("doc_id")), "points")
+    first = _small_pairs(sized, percent).union(_large_pairs(pointed, percent, every=False)).distinct()
+    pairs = bounded(first, sketch, percent)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(pointed.select("doc_id"))
+    sets = sets_of(rows, ids, size)
+    edges = verified(pairs, sets, percent)
+    if not pointed.isEmpty():
         again = pointed.drop("apart").join(_labelled(pointed.select("doc_id").distinct(), edges), "doc_id")
         more = _large_pairs(again, percent, every=True).join(pairs, ["a", "b"], "left_anti")
-        edges = edges.union(written(verified(rows, more, sketch, size, percent), "edges"))
+        edges = edges.union(verified(bounded(more, sketch, percent), sets, percent))
     # A class hangs on its representative, and representatives hang together by links.
     hung = linked.join(classes, ["high", "low", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.select("a", "b").union(hung))
@@ -472,3 +522,34 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     chosen = kept.select(F.col("doc_id").alias("__kept")).distinct()
     numbered = docs.join(chosen, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return numbered.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+# The same rows as near_duplicates(size=4, percent=85) in SQL over the given table: all sets joined by
+# shingle, and reachability by recursion.
+SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), shingle as (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end) as g
+  from words
+), size as (
+  select doc_id, count(*) as n from shingle group by doc_id
+), link as (
+  select x, y from (
+    select a.doc_id as x, b.doc_id as y, count(*) as shared
+    from shingle a join shingle b on a.g = b.g and a.doc_id < b.doc_id group by all
+  ) p join size m on m.doc_id = x join size n on n.doc_id = y
+  where 100 * shared >= 85 * (m.n + n.n - shared)
+), edge as (
+  select x as u, y as v from link union all select y, x from link
+), reach as (
+  select doc_id as d, doc_id as c from documents
+  union select e.v, r.c from reach r join edge e on e.u = r.d
+)
+select r.d as doc_id, coalesce(max(s.n), 0)::bigint as n_shingles, min(r.c) as component_id
+from reach r left join size s on s.doc_id = r.d group by r.d
+"""

@@ -53,7 +53,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
-@query("op6_ngram_jaccard_join")
+@query("op6_ngram_jaccard_join", jaccard_join.SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
