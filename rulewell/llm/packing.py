@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 SEQUENCE_TOKENS = 2048
 OPEN_SEQUENCES = 512
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 20
 _TASK_SHIFT = 40
 
 
@@ -82,7 +82,9 @@ class ChunkEncoder:
         self._tokenizer.no_truncation()
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._unsafe = re.compile(r"\s \s").search
+        # Two generations: a full young one becomes the old one, so chunks in use survive.
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = []
@@ -94,15 +96,16 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; memory is that of the batch and a cache of bounded size."""
         if len(self._known) > CACHE_ENTRIES:
-            self._known = {}
+            self._known, self._old = {}, self._known
         known, chunked, whole = self._known, {}, []
         for i, text in enumerate(texts):
             if self._unsafe(text) or any(s in text for s in self._specials):
                 whole.append(i)
             else:
                 chunked[i] = text.split(" ")
-        new = {c for chunks in chunked.values() for c in chunks[1:] if c not in known}
-        new = list(new)
+        missing = {c for chunks in chunked.values() for c in chunks[1:] if c not in known}
+        known.update({c: self._old[c] for c in missing if c in self._old})
+        new = [c for c in missing if c not in known]
         known.update(zip(new, self._ids([" " + c for c in new]), strict=True))
         firsts = self._ids([chunks[0] for chunks in chunked.values()])
         out: dict[int, bytes] = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
