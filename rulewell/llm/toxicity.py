@@ -83,7 +83,8 @@ def _slices(text: str) -> Iterator[str]:
         cut = text.rfind(" ", start + _SLICE // 2, end)
         cut = end if cut < 0 else cut
         yield text[start:cut]
-        start = max(cut - 16 * WINDOW_WORDS, start + 1)
+        back = text.find(" ", max(start + 1, cut - 16 * WINDOW_WORDS), cut)  # whole words overlap
+        start = back if back >= 0 else cut
 
 
 @dataclass(frozen=True)
