@@ -1,8 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with notice templates, in DataFrame
 operations only.
 
-A block (one line of a text) matches a template when it contains at least ``threshold`` of the
-template's distinct words. The join is exact and prefix-filtered:
+A block matches a template when it contains at least ``threshold`` of the template's distinct words.
+Blocks are the lines of a text, and for notices wrapped over lines all runs of up to |words of the
+template| / ``threshold`` words of the whole text, whatever breaks and comment signs stand between
+them; a run must also hold the template's own word (OWN_WORDS). The join is exact and prefix-filtered:
 
 * the words of all templates are ordered by the number of documents that have them, over the whole
   table, rarest first;
@@ -11,7 +13,9 @@ template's distinct words. The join is exact and prefix-filtered:
 * length filter: a block with fewer than ``need`` distinct words cannot match;
 * positional filter: when the first shared prefix word stands at place p of the template's order, at
   most |T| - p words can be shared;
-* what is left is verified by the true intersection.
+* what is left is verified by the true intersection. For runs the filters apply to the text as a
+  whole, which holds all words of its runs; then each run that starts at a word of the template and
+  has as many of its words as are needed is compared.
 
 The templates are a fixed list, so their side of the join is a few dozen rows whatever the input.
 """
@@ -49,6 +53,17 @@ TEMPLATES = {
     "provided that the following conditions are met",
     "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+# The word that tells a template from its neighbours ("released under the bsd license").
+# Asked of runs; lines count by their share of words alone.
+OWN_WORDS = {
+    "gpl-3.0-notice": "gnu",
+    "gpl-notice": "gnu",
+    "apache-2.0-notice": "apache",
+    "cc-by-nc-4.0-notice": "nc",
+    "cc-by-4.0-notice": "commons",
+    "mit-notice": "mit",
+    "mpl-2.0-notice": "mozilla",
+}
 THRESHOLD = 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -104,27 +119,25 @@ def word_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(_vocabulary(templates), key=lambda w: (counts.get(w, 0), w))
 
 
-def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (doc_id, __text, pos, template, containment) of a block that meets the threshold.
-
-    Blocks are the lines of a text; null texts have none. Repeated rows give repeated matches.
-    """
-    templates = TEMPLATES if templates is None else templates
+def prefix_side(docs: DataFrame, templates: dict[str, str], threshold: float) -> tuple[list[str], DataFrame]:
+    """The prefix words, and one row per template and prefix word with what the filters need."""
     place = {w: i for i, w in enumerate(word_order(docs, templates))}
     prefixes, rows = set(), []
     for label, text in templates.items():
         words = sorted(set(text.split()), key=place.__getitem__)
         need = max(1, ceil(threshold * len(words) - 1e-9))
+        span, own = ceil(len(text.split()) / threshold - 1e-9), OWN_WORDS.get(label)
         for p, word in enumerate(words[: len(words) - need + 1]):
             prefixes.add(word)
-            rows.append((word, label, p, need, words))
-    schema = "w string, template string, p int, need int, words array<string>"
-    side = docs.sparkSession.createDataFrame(rows, schema)  # as long as the fixed list of templates
+            rows.append((word, label, p, need, words, span, own))
+    schema = "w string, template string, p int, need int, words array<string>, span int, own string"
+    # As long as the fixed list of templates.
+    return sorted(prefixes), docs.sparkSession.createDataFrame(rows, schema)
 
-    lines = docs.select("doc_id", F.xxhash64("text").alias("__text"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    tokens = F.array_distinct(F.split(F.btrim(spaced_words(F.col("line"))), " "))
-    blocks = lines.select("doc_id", "__text", "pos", tokens.alias("tokens"))
-    hits = F.array_intersect(F.array(*map(F.lit, sorted(prefixes))), "tokens")
+
+def _candidates(blocks: DataFrame, prefixes: list[str], side: DataFrame) -> DataFrame:
+    """Blocks of ``tokens`` with each template of which they hold the needed words; ``shared`` has those."""
+    hits = F.array_intersect(F.array(*map(F.lit, prefixes)), "tokens")
     candidates = blocks.select("*", F.explode(hits).alias("w")).join(F.broadcast(side), "w")
     shared = F.array_intersect("words", "tokens")  # in the template's order
     kept = candidates.where(
@@ -133,24 +146,75 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
         & (F.element_at(shared, 1) == F.col("w"))
         & (F.size(shared) >= F.col("need"))
     )
-    return kept.select("doc_id", "__text", "pos", "template", (F.size(shared) / F.size("words")).alias("containment"))
+    return kept.withColumn("shared", shared)
+
+
+def matches(
+    docs: DataFrame,
+    templates: dict[str, str] | None = None,
+    threshold: float = THRESHOLD,
+    joined: tuple[list[str], DataFrame] | None = None,
+) -> DataFrame:
+    """Every (doc_id, __text, pos, template, containment) of a line that meets the threshold.
+
+    Null texts have no lines. Repeated rows give repeated matches. ``joined`` is prefix_side(), where
+    it is known already.
+    """
+    joined = joined or prefix_side(docs, TEMPLATES if templates is None else templates, threshold)
+    lines = docs.select("doc_id", F.xxhash64("text").alias("__text"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    tokens = F.array_distinct(F.split(F.btrim(spaced_words(F.col("line"))), " "))
+    kept = _candidates(lines.select("doc_id", "__text", "pos", tokens.alias("tokens")), *joined)
+    return kept.select("doc_id", "__text", "pos", "template", (F.size("shared") / F.size("words")).alias("containment"))
+
+
+def run_matches(
+    docs: DataFrame,
+    templates: dict[str, str] | None = None,
+    threshold: float = THRESHOLD,
+    joined: tuple[list[str], DataFrame] | None = None,
+) -> DataFrame:
+    """(doc_id, __text, template, containment) of each text with a run of words that meets the threshold.
+
+    The containment is that of the text's best run. Arguments and repeated rows as in matches().
+    """
+    joined = joined or prefix_side(docs, TEMPLATES if templates is None else templates, threshold)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("__text"), spaced_words(F.col("text")).alias("s"))
+    kept = _candidates(texts.select("doc_id", "__text", F.split(F.btrim("s"), " ").alias("tokens")), *joined)
+    told = kept.where(F.col("own").isNull() | F.array_contains("shared", F.col("own")))
+    places = F.array_compact(F.transform("tokens", lambda w, i: F.when(F.array_contains(F.col("words"), w), i)))
+    placed = told.select("doc_id", "__text", "template", "tokens", "words", "need", "span", "own", places.alias("at"))
+    # A run with ``need`` words of the template has as many places inside its span.
+    n = F.greatest(F.size("at") - F.col("need") + 1, F.lit(0))
+    near = F.zip_with(
+        F.slice("at", 1, n), F.slice("at", F.col("need"), n), lambda a, b: F.when(b - a < F.col("span"), a)
+    )
+
+    def best(start: Column) -> Column:
+        run = F.slice("tokens", start + 1, F.col("span"))
+        own = F.col("own").isNull() | F.array_contains(run, F.col("own"))
+        return F.when(own, F.size(F.array_intersect("words", run))).otherwise(0)
+
+    starts = placed.withColumn("starts", F.array_compact(near)).where(F.size("starts") > 0)
+    found = starts.select("*", F.array_max(F.transform("starts", best)).alias("n")).where(F.col("n") >= F.col("need"))
+    return found.select("doc_id", "__text", "template", (F.col("n") / F.size("words")).alias("containment"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per document.
 
     Null and empty texts have no words, no labels and the score 0. The score is 1 where a phrase of
-    the base rule stands, else the largest containment of a template in a block that meets the
+    the base rule stands, else the largest containment of a template in a line or run that meets the
     threshold, else 0. Rows are told apart by number and text, so repeated rows get equal results.
     """
     rows = docs.select("doc_id", "text")
-    found = matches(rows).groupBy(F.col("doc_id").alias("__d"), F.col("__text").alias("__t")).agg(
+    joined = prefix_side(rows, TEMPLATES, THRESHOLD)
+    both = matches(rows, joined=joined).drop("pos").unionByName(run_matches(rows, joined=joined))
+    found = both.groupBy(F.col("doc_id").alias("__d"), F.col("__text").alias("__t")).agg(
         F.collect_set("template").alias("__found"), F.max("containment").alias("__contained")
     )
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t"))
-    joined = _base(rows).join(found, on, "left")
     empty = F.array().cast("array<string>")
-    return joined.select(
+    return _base(rows).join(found, on, "left").select(
         "doc_id",
         "n_words",
         "n_base",

@@ -120,6 +120,30 @@ def test_every_threshold_finds_all_blocks(docs_of):
         assert collections.Counter((r.doc_id, r.pos, r.template) for r in got) == want
 
 
+WRAPPED = {
+    "gpl-notice": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General "
+    "Public License as published by\n    the Free Software Foundation, either version 3 of the License, or",
+    "mit-permission": " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and "
+    "associated documentation files (the \"Software\"), to deal",
+    "bsd-notice": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided "
+    "that the following conditions are met:",
+    "mpl-2.0-notice": "// This Source Code Form is subject to the terms of the Mozilla Public\r\n//\r\n// License, v. 2.0.",
+}
+
+
+def test_notices_wrapped_over_lines(docs_of):
+    rows = list(enumerate(WRAPPED.values()))
+    rows += [(10 + i, "word\n" * 3000 + t + "\nword" * 3000) for i, t in enumerate(WRAPPED.values())]
+    rows += [(20 + i, "\n".join(f"{w} and other words" for w in t.split())) for i, t in enumerate(WRAPPED.values())]
+    rows += [(30, "Released under\nthe BSD License"), (31, "Released\nunder the MIT\nLicense"), (32, "Licensed under CC\nBY 4.0"),
+             (33, "Released\nunder\nthe\nlicense\n" + "far " * 50 + "mit"), (34, None), (35, "")]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(docs_of(rows)).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert label in got[i] and label in got[10 + i] and label not in got[20 + i]
+    assert got[30] == [""] and got[31] == ["mit", "mit-notice"] and got[32] == ["cc-by"] and got[33] == [""]
+    assert got[34] == [""] and got[35] == [""]
+
+
 def test_twins_on_the_given_tables(spark, data_dir):
     from rulewell.llm import queries
 
