@@ -5,11 +5,18 @@ the same histograms summed over the whole table per language (a handful of rows)
 far from a reference as the Jensen-Shannon distance of the histograms (0 to 1, base 2) says; its
 distance is that to the nearest reference. Texts with fewer characters or words than a histogram
 needs to be telling are not judged by it.
+
+The bound on the word distance comes from the table. By chance alone a text of n words lies about
+1 / sqrt(n) away, so the spread is the median of distance times sqrt(n) over the well-formed documents.
+A text passes within WORD_SPREADS of it, or within NO_COMMON_SHARE of the distance that a text without
+a single common word has; with more than about (WORD_SPREADS * spread / that distance) ** 2 words such
+a text fails.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import log2, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +36,8 @@ OTHER = "other"
 # Largest distances to the nearest reference that still pass, and the sizes from which they count.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.2, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.35, 50
+# The table's own bound on word distances: spreads of chance, and share of the distance without common words.
+WORD_SPREADS, NO_COMMON_SHARE = 2.2, 0.85
 # Fixed values of the base rule: least words, and the share of repeated words in percent.
 LEAST_WORDS, MAX_REPEATED = 50, 50
 
@@ -117,17 +126,20 @@ def _histograms(rows: DataFrame) -> DataFrame:
     return counts.withColumn("common", counted).drop("__place", "__upper", "__digit", "__stop")
 
 
-def references(measures: DataFrame) -> dict[str, dict[str, list[float]]]:
-    """Histogram shares per language over the documents of the whole table that are long enough and
-    not full of symbols; one row per language of COMMON_WORDS, and one for all others, reaches the
-    driver."""
+def well_formed() -> Column:
+    """Long enough for both histograms and not full of symbols."""
     fit = (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
-    fit = fit & (100 * F.col("n_symbols") <= F.col("n_chars"))
+    return fit & (100 * F.col("n_symbols") <= F.col("n_chars"))
+
+
+def references(measures: DataFrame) -> dict[str, dict[str, list[float]]]:
+    """Histogram shares per language over the well-formed documents of the whole table; one row per
+    language of COMMON_WORDS, and one for all others, reaches the driver."""
     language = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise(F.lit(OTHER))
     sizes = {"classes": 6, "common": len(VOCABULARY) + 1}
     sums = [F.sum(F.get(name, F.lit(k))).alias(f"{name}_{k}") for name, size in sizes.items() for k in range(size)]
     found: dict[str, dict[str, list[float]]] = {name: {} for name in sizes}
-    for row in measures.where(fit).groupBy(language.alias("lang")).agg(*sums).collect():
+    for row in measures.where(well_formed()).groupBy(language.alias("lang")).agg(*sums).collect():
         for name, size in sizes.items():
             counts = [row[f"{name}_{k}"] or 0.0 for k in range(size)]
             if sum(counts) > 0:
@@ -149,6 +161,40 @@ def distance(counts: Column, total: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def word_spread(measures: DataFrame) -> float:
+    """Median of word_distance times sqrt(n_words) over the well-formed documents of the whole table.
+
+    Counted in hundredths up to 100, so at most 10,001 rows reach the driver.
+    """
+    scaled = F.round(F.least(F.col("word_distance") * F.sqrt("n_words"), F.lit(100.0)), 2)
+    counts = measures.where(well_formed()).groupBy(scaled.alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()
+    left = sum(r["n"] for r in counts) / 2
+    for row in sorted(counts, key=lambda r: r["x"]):
+        left -= row["n"]
+        if left <= 0:
+            return row["x"]
+    return 0.0
+
+
+def no_common_distance(found: dict[str, list[float]]) -> float:
+    """Distance to the nearest reference of a text whose words are all other words."""
+
+    def one(p: list[float]) -> float:
+        q = p[-1]
+        return sqrt(max(0.0, (sum(p[:-1]) + log2(2 / (1 + q)) + (q * log2(2 * q / (1 + q)) if q > 0 else 0.0)) / 2))
+
+    return min(map(one, found.values()), default=0.0)
+
+
+def word_bound(measures: DataFrame, found: dict[str, list[float]]) -> Column:
+    """Largest word distance that passes; where no reference has common words the distance says nothing."""
+    without = no_common_distance(found)
+    if without == 0.0:
+        return F.lit(MAX_WORD_DISTANCE)
+    by_chance = F.lit(WORD_SPREADS * word_spread(measures)) / F.sqrt("n_words")
+    return F.least(F.lit(MAX_WORD_DISTANCE), F.greatest(F.lit(NO_COMMON_SHARE * without), by_chance))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """All measures per document: the base counts, both distances, base_failed and kept.
 
@@ -171,7 +217,8 @@ def judged(docs: DataFrame) -> DataFrame:
         nearest("common", n, n >= MIN_WORDS).alias("word_distance"),
         ((n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * n)).alias("base_failed"),
     )
-    passes = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE)
+    near = (n < MIN_WORDS) | (F.col("word_distance") <= word_bound(apart, found["common"]))
+    passes = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & near
     return apart.select(
         "doc_id",
         "n_words",

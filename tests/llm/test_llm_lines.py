@@ -199,6 +199,24 @@ def test_divergence_sorts_odd_texts_out(spark, docs_of):
     assert all(0 <= r.class_distance <= 1 and 0 <= r.word_distance <= 1 for r in got.values())
 
 
+def test_long_texts_without_common_words_go(docs_of):
+    draw = random.Random(16)
+    other = ["".join(draw.choices("aeinorstlmd", k=draw.randint(2, 8))) + "x" for _ in range(300)]
+    common = quality_rules.COMMON_WORDS["en"]
+
+    def text(n, share):
+        return " ".join(draw.choice(common) if draw.random() < share else draw.choice(other) for _ in range(n)) + "."
+
+    clean = [(i, text(draw.randint(60, 900), 0.12)) for i in range(80)]
+    odd = [(100 + n, text(n, 0.0)) for n in (150, 400, 3000)]
+    got = {r.doc_id: r for r in quality_rules.judged(docs_of(clean + odd)).collect()}
+    assert all(got[d].kept for d, _ in clean)
+    for d, _ in odd:
+        assert not got[d].kept and not got[d].base_failed and got[d].class_distance <= quality_rules.MAX_CLASS_DISTANCE
+    alone = quality_rules.judged(docs_of([(i, text(300, 0.0)) for i in range(5)])).collect()
+    assert all(r.kept for r in alone)  # no reference has common words
+
+
 def test_distance_is_jensen_shannon(spark):
     from math import log2, sqrt
 
