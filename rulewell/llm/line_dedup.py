@@ -1,11 +1,12 @@
 """Line deduplication that returns keep bitmaps, in DataFrame operations only.
 
-Every document sends each of its line keys once, as a 128-bit hash, with the place of its first
-line. Counts and first occurrences are gathered per hash and salt first, so that a line that a third
-of all documents share arrives as a few rows. Those rows are range-partitioned by hash and sorted by
-hash, document and position; each partition then streams through its hashes, adds up the documents
-and takes the first occurrence. The verdicts go back to the lines, and a document gets its dropped
-lines as a sparse bitmap: 64 lines to a word, words without a dropped line left out.
+Every document sends each of its line keys once, as a 128-bit hash. Counts and first occurrences are
+gathered per hash and salt first, so that a line that a third of all documents share arrives as a few
+rows. Those rows are range-partitioned by hash, and a hash aggregate adds up the documents and takes
+the smallest document number; it stands in for a sorted stream of occurrences (Spark drops the sort
+under it). First positions are found for frequent lines only, and only where first occurrences are
+kept. The verdicts go back to the lines, and a document gets its dropped lines as a sparse bitmap:
+64 lines to a word, words without a dropped line left out.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _first_in_document(docs: DataFrame) -> DataFrame:
-    """(high, low, doc_id, pos) once for each key of a document, at its first line.
+    """(doc_id, high, low) once for each key of a document.
 
     The distinct keys are found inside the row; nothing is shuffled for it.
     """
@@ -57,7 +58,7 @@ def _first_in_document(docs: DataFrame) -> DataFrame:
 def line_counts(docs: DataFrame) -> DataFrame:
     """Per key hash: the number of documents with the line, and the first document with it.
 
-    Hashes are range-partitioned and streamed in the order hash, document.
+    Hashes are range-partitioned and counted by a hash aggregate.
     """
     salted = _first_in_document(docs).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     partial = salted.groupBy("high", "low", "__salt").agg(
