@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewell.llm import bpe, fingerprint, html_extract, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, toxicity
+from rulewell.llm import (
+    bpe,
+    conversation_repair,
+    fingerprint,
+    html_extract,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    minmax_dedup,
+    packing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+)
 from rulewell.llm.common import table
 from rulewell.session import ship_package
 
@@ -76,3 +90,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_conversation_repair", conversation_repair.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(conversation_repair.damaged(rows), every=rows)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"), periodic_runs.repeated_tail)
+
+
+@query("op13_minmax_dedup", minmax_dedup.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
