@@ -100,6 +100,58 @@ def test_batches_without_output_are_done_once(spark, tmp_path):
     assert checkpointed.pending_rows(more, path).count() == 0
 
 
+def batches_of(spark, kind, *numbers):
+    rows = spark.createDataFrame([(i, i % 7) for i in numbers], "batch_id long, x long")
+    return rows.withColumn("batch_id", F.col("batch_id").cast(kind))
+
+
+def test_width_of_numbers_does_not_matter_and_their_kind_does(spark, tmp_path):
+    path = str(tmp_path / "b")
+    same = lambda rows: rows
+    assert checkpointed.process_batches(batches_of(spark, "int", 1, 2), same, path).count() == 2
+    assert checkpointed.process_batches(batches_of(spark, "long", 2, 9_000_000_000_000), same, path).count() == 3
+    out = checkpointed.process_batches(batches_of(spark, "smallint", 3), same, path)
+    assert sorted(r.batch_id for r in out.collect()) == [1, 2, 3, 9_000_000_000_000]
+    before = sorted(str(p) for p in (tmp_path / "b").rglob("*"))
+    with pytest.raises(TypeError, match="numbered by bigint, not string"):
+        checkpointed.process_batches(batches_of(spark, "string", 4), same, path)
+    with pytest.raises(ValueError, match="without a batch_id"):
+        checkpointed.process_batches(batches_of(spark, "long", 5).withColumn("batch_id", F.lit(None).cast("long")), same, path)
+    with pytest.raises(ValueError, match="output of"):
+        checkpointed.process_batches(batches_of(spark, "long", 6), lambda rows: rows.withColumn("x", F.lit("a")), path)
+    assert sorted(str(p) for p in (tmp_path / "b").rglob("*")) == before
+
+
+def test_text_numbers_keep_their_type(spark, tmp_path):
+    path = str(tmp_path / "b")
+    out = checkpointed.process_batches(batches_of(spark, "string", 7, 8), lambda rows: rows, path)
+    assert out.schema["batch_id"].dataType.simpleString() == "string" and out.count() == 2
+    assert checkpointed.pending_rows(batches_of(spark, "string", 8, 9), path).count() == 1
+
+
+def test_two_writers_of_one_batch_do_not_mix(spark, tmp_path):
+    """The second writer begins before the first has committed; its output for the shared batch does not count."""
+    path = str(tmp_path / "b")
+
+    def outer(rows):
+        checkpointed.process_batches(batches_of(spark, "int", 1, 2), lambda r: r.withColumn("who", F.lit("inner")), path)
+        return rows.withColumn("who", F.lit("outer"))
+
+    out = checkpointed.process_batches(batches_of(spark, "long", 2, 3), outer, path)
+    assert sorted((r.batch_id, r.who) for r in out.collect()) == [(1, "inner"), (2, "inner"), (3, "outer")]
+
+
+def test_output_without_a_commit_is_never_read(spark, tmp_path):
+    path = str(tmp_path / "b")
+    checkpointed.process_batches(batches_of(spark, "int", 1), lambda rows: rows, path)
+    left = batches_of(spark, "string", 2)
+    left.write.parquet(f"{path}/rows/run=broken/__slot=0")
+    left.select("batch_id").write.parquet(f"{path}/done/run=broken")
+    assert checkpointed.pending_rows(batches_of(spark, "int", 1, 2), path).count() == 1
+    out = checkpointed.process_batches(batches_of(spark, "int", 1, 3), lambda rows: rows, path)
+    assert sorted(r.batch_id for r in out.collect()) == [1, 3]
+
+
 def generation(spark, n, start):
     t = training_rows(spark, n, start)
     values = ["subreddit", "rule", "rule", "positive_example_1", "negative_example_1", "positive_example_2", "negative_example_2", "test_comment", "violates_rule"]
