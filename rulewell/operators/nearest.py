@@ -28,7 +28,7 @@ _CHUNK_CELLS = 4_000_000
 _CELL = ["__g", "__a", "__b"]
 
 
-def _dense(array: pa.ChunkedArray | pa.Array, dims: int | None) -> np.ndarray:
+def dense_matrix(array: pa.ChunkedArray | pa.Array, dims: int | None) -> np.ndarray:
     """Matrix from a list column, or from a struct<indices, values> column of ``dims`` width."""
     merged = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
     merged = merged.chunk(0) if isinstance(merged, pa.ChunkedArray) else merged
@@ -45,12 +45,12 @@ def _dense(array: pa.ChunkedArray | pa.Array, dims: int | None) -> np.ndarray:
     return out
 
 
-def _round_half_up(x: np.ndarray, digits: int) -> np.ndarray:
+def round_half_up(x: np.ndarray, digits: int) -> np.ndarray:
     scale = 10.0**digits
     return np.copysign(np.floor(np.abs(x) * scale + 0.5), x) / scale + 0.0
 
 
-def _best(similar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_places(similar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's best k, ties by column; -inf cells never count."""
     k = min(k, similar.shape[1])
     floor = np.partition(similar, similar.shape[1] - k, axis=1)[:, similar.shape[1] - k]
@@ -94,19 +94,19 @@ class _CellSearch:
     def _stream(self, corpus: pa.Table) -> None:
         if self.queries is None:
             self.queries = pa.concat_tables(self.held)
-            self.left = _dense(self.queries["__vec"], self.dims)
+            self.left = dense_matrix(self.queries["__vec"], self.dims)
             self.own = self.queries["__self"].to_numpy() if self.exclude else None
-        right = _dense(corpus["__vec"], self.dims)
+        right = dense_matrix(corpus["__vec"], self.dims)
         if right.shape[1] != self.left.shape[1]:
             raise ValueError(f"vectors of unequal length: {self.left.shape[1]} and {right.shape[1]}")
         ids = corpus["__self"].to_numpy() if self.exclude else None
         step = max(1, _CHUNK_CELLS // max(1, len(right)))
         found_rows, found_cols, found_scores = [self.rows], [self.order], [self.scores]
         for at in range(0, len(self.left), step):
-            similar = _round_half_up(self.left[at : at + step] @ right.T, self.digits)
+            similar = round_half_up(self.left[at : at + step] @ right.T, self.digits)
             if self.exclude:
                 similar[self.own[at : at + step, None] == ids[None, :]] = -np.inf
-            rows, cols = _best(similar, self.k)
+            rows, cols = best_places(similar, self.k)
             found_rows.append(rows + at)
             found_cols.append(cols + self.seen)
             found_scores.append(similar[rows, cols])
@@ -128,20 +128,20 @@ class _CellSearch:
         return pa.table(columns, names=names).combine_chunks().to_batches()[0]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
-    """(a new cell begins, rows) for runs of one cell in a stream sorted by cell."""
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, pa.Table]]:
+    """(a new key begins, rows) for runs of one key in a stream sorted by ``keys``."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         change = np.zeros(table.num_rows - 1, bool)
-        for key in _CELL:
-            values = batch.column(key)
+        for name in keys:
+            values = batch.column(name)
             change |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
         bounds = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            key = tuple(batch.column(c)[lo].as_py() for c in _CELL)
+            key = tuple(batch.column(c)[lo].as_py() for c in keys)
             yield key != last, table.slice(lo, hi - lo)
             last = key
 
@@ -211,7 +211,7 @@ def nearest(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = None
-        for new, part in _cells(batches):
+        for new, part in key_runs(batches, _CELL):
             if new:
                 if cell is not None and (done := cell.result(names)) is not None:
                     yield done

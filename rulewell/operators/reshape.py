@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewell.functions.labels import signed
-from rulewell.functions.sampling_keys import hash_int
+from rulewell.functions.sampling_keys import hash_int, permuted
 from rulewell.functions.text import has_text
 from rulewell.operators.cleaning import keep_first
 from rulewell.operators.numbering import number_rows
-from rulewell.operators.sampling import sample_n
 from rulewell.schemas import EXAMPLE_COLUMNS
 
 def stack(*frames: DataFrame) -> DataFrame:
@@ -30,17 +29,16 @@ def community_rule_pairs(
 ) -> DataFrame:
     """``n`` distinct (community, rule) pairs, or every pair when ``n`` is null or too large.
 
-    Pair number p stands for (p div rules, p mod rules). A sample is the ``n`` pair numbers with the
-    smallest seeded digests: every set of pairs is equally likely, whatever the sizes of the tables.
-    Pairs are numbers until they are drawn, so no joined product is built. Both tables carry a unique
-    numeric ``key``.
+    Pair number p stands for (p div rules, p mod rules). A sample is the first ``n`` numbers of a keyed
+    permutation of all pair numbers, so it costs ``n`` digests whatever the sizes of the tables, and
+    neither the product nor its numbers are ever built. Both tables carry a unique numeric ``key``.
     """
     spark = communities.sparkSession
     n_rules = rules.count()
     pairs = communities.count() * n_rules
-    draws = spark.range(pairs)
-    if n is not None:
-        draws = sample_n(draws, n, "id", seed)
+    draws = spark.range(pairs if n is None else min(n, pairs))
+    if n is not None and n < pairs:
+        draws = draws.select(permuted("id", pairs, seed).alias("id"))
     draws = draws.selectExpr("id AS pair_id", f"id div {max(1, n_rules)} AS __c", f"id % {max(1, n_rules)} AS __r")
     left = _numbered(communities, key).withColumnRenamed("__n", "__c").drop(key)
     right = _numbered(rules, key).withColumnRenamed("__n", "__r").drop(key)

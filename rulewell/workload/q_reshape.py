@@ -12,6 +12,7 @@ from rulewell.operators import reshape, sampling
 from rulewell.plans.classify import retrieval_corpus
 from rulewell.schemas import EXAMPLE_COLUMNS
 from rulewell.session import written
+from rulewell.functions.sampling_keys import ROUNDS, WALK
 from rulewell.workload.registry import query
 from rulewell.workload.sqltext import hash_int_sql, hash_sql, render_sql, scrub_sql
 from rulewell.workload.tables import Tables, sql
@@ -60,10 +61,15 @@ def head_slice(t: Tables) -> DataFrame:
 
 
 def drawn_pairs_sql(n: int, seed: int) -> str:
-    """Pair numbers with the smallest digests, as (pair_id, ci, ri)."""
-    return f"""select p as pair_id, p // nr as ci, p % nr as ri from (select unnest(range(
-      (select count(*) from communities) * (select count(*) from rules))) as p) d, (select count(*) as nr from rules) s
-      order by {hash_sql('p', seed)} limit {n}"""
+    """The first ``n`` pair numbers of the keyed permutation, as (pair_id, ci, ri)."""
+    mixed = "cast(concat('0x', substr(md5(concat(cast({x} as varchar), '|" + str(seed) + "|', cast(r as varchar))), 1, 15)) as bigint)"
+    odd, even = mixed.format(x="(acc % b)"), mixed.format(x="(acc // b)")
+    once = f"""list_reduce([{{x}}] || range(1, {ROUNDS + 1}), lambda acc, r: case when r % 2 = 1 then ((acc // b + {odd}) % a) * b + acc % b
+      else (acc // b) * b + (acc % b + {even}) % b end)"""
+    walk = f"list_reduce([{once.format(x='i')}] || range({WALK}), lambda x, step: case when x < pairs then x else {once.format(x='x')} end)"
+    return f"""select p as pair_id, p // nr as ci, p % nr as ri from (select nr, case when {n} >= pairs then i else {walk} end as p
+      from (select *, (pairs + a - 1) // a as b, unnest(range(least({n}, pairs))) as i from (select *, cast(ceil(sqrt(pairs)) as bigint) as a
+      from (select nc * nr as pairs, nr from (select count(*) as nc from communities) c, (select count(*) as nr from rules) q) s) t) u) d"""
 
 
 _NUMBERED = "cn as (select subreddit, row_number() over (order by id) - 1 as cnum from communities)"

@@ -207,8 +207,9 @@ def documents_by_id(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _reranked(t: Tables) -> DataFrame:
-    queries, texts = documents_by_id(t)
-    return retrieval.rerank(_candidates(t), queries, texts, 4)
+    words = spread(t.given("documents")).select("doc_id", retrieval.word_keys("text").alias("words"))
+    queries, rows = (words.withColumnRenamed("doc_id", name) for name in ("query_id", "row_id"))
+    return retrieval.rerank_by_overlap(_candidates(t), queries, rows, 4)
 
 
 @query("h08_rule_topk", sql("select query_id, row_id, value, round(similarity, 6) as similarity, rank from candidates where rank <= 10", CANDIDATES))

@@ -208,3 +208,50 @@ def test_classify_on_a_retrieval_corpus_equals_brute_force(spark):
     doubled = corpus.withColumn("row_id", F.col("source_row"))
     with pytest.raises(ValueError, match="unique"):
         classify(queries, doubled)
+
+
+def test_overlap_bound_and_late_words_give_the_same_rows(spark, monkeypatch):
+    """Reranking with words for few candidates equals reranking with words for all, ties and empty sets included."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(2**62), 2**62, 90).tolist()
+
+    def some(n):
+        return [int(x) for x in rng.choice(pool, n, replace=False)]
+
+    docs = [(i, some(int(rng.integers(0, 60)))) for i in range(80)] + [(80, []), (81, None)]
+    asked = [(i, some(int(rng.integers(0, 40)))) for i in range(25)] + [(25, []), (26, None)]
+    listed = [(q, d, float(rng.integers(0, 5)) / 4) for q, _ in asked for d, _ in docs if rng.random() < 0.5]
+    corpus = spark.createDataFrame(docs, "row_id long, words array<long>")
+    queries = spark.createDataFrame(asked, "query_id long, words array<long>")
+    found = spark.createDataFrame(listed, "query_id long, row_id long, similarity double").withColumn("value", F.lit(1))
+    plain = retrieval.rerank(
+        found, queries.select("query_id", F.coalesce("words", F.array().cast("array<long>")).alias("query_text")),
+        corpus.select("row_id", F.coalesce("words", F.array().cast("array<long>")).alias("doc_text")), 4,
+    )
+    want = sorted((r.query_id, r.final_rank, r.row_id, r.rerank_score) for r in plain.collect())
+    for bits in (64, 1024):
+        monkeypatch.setattr(retrieval, "SIGNATURE_BITS", bits)
+        late = retrieval.rerank_by_overlap(found, queries, corpus, 4)
+        assert sorted((r.query_id, r.final_rank, r.row_id, r.rerank_score) for r in late.collect()) == want
+    monkeypatch.setattr(retrieval, "SIGNATURE_BITS", 1024)
+    both = found.join(corpus.withColumnRenamed("words", "d"), "row_id").join(queries.withColumnRenamed("words", "q"), "query_id")
+    empty = F.array().cast("array<long>")
+    q, d = F.coalesce("q", empty), F.coalesce("d", empty)
+    bound = both.select(retrieval.overlap_bound(retrieval.word_sketch(q), retrieval.word_sketch(d)).alias("b"), retrieval.token_overlap(q, d).alias("s"))
+    rows = bound.collect()
+    assert all(r.b >= r.s for r in rows) and sum(r.b - r.s < 0.1 for r in rows) > 0.8 * len(rows)
+
+
+def test_sweep_by_running_sums(spark):
+    rows = [(q, r, (q * r) % 7 / 7, 1 if (q + r) % 3 else -1) for q in range(12) for r in range(1, 4 + 2 * q) if not (q == 3 and r < 4)]
+    near = spark.createDataFrame(rows, "query_id long, rank int, similarity double, value int")
+    want = []
+    for q in range(12):
+        for k in (1, 3, 5, 20):
+            own = [s * v for x, r, s, v in rows if x == q and r <= k]
+            if own:
+                total = round(sum(own), 9)
+                want.append((q, k, total, int(total >= 0)))
+    got = retrieval.sweep_votes(near, [5, 1, 3, 20, 5])
+    assert "Generate" in got._jdf.queryExecution().executedPlan().toString()  # of the sums, after the aggregate
+    assert sorted((r.query_id, r.top_k, round(r.rule_violation, 9) + 0.0, r.decision) for r in got.collect()) == sorted(want)

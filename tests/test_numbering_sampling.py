@@ -87,3 +87,25 @@ def test_pairs_are_spread_whatever_the_sizes(spark):
     assert len({r.subreddit for r in drawn}) >= 29 and len({r.rule for r in drawn}) >= 37
     assert community_rule_pairs(communities, rules, None).count() == 31 * 40
     assert community_rule_pairs(communities.filter("false"), rules, 5).count() == 0
+
+
+def test_keyed_permutation_is_one_to_one(spark):
+    from rulewell.functions.sampling_keys import halves, permuted
+
+    for size in (1, 2, 3, 7, 50, 997, 1024):
+        a, b = halves(size)
+        assert size <= a * b < size + a
+        got = [r.p for r in spark.range(size).select(permuted("id", size, 5).alias("p")).collect()]
+        assert sorted(got) == list(range(size))
+    large = 10**12 + 39
+    got = [r.p for r in spark.range(3000).select(permuted("id", large, 5).alias("p")).collect()]
+    assert len(set(got)) == 3000 and 0 <= min(got) < large / 500 and large > max(got) > large - large / 500
+    other = [r.p for r in spark.range(50).select(permuted("id", 1024, 6).alias("p")).collect()]
+    assert other != [r.p for r in spark.range(50).select(permuted("id", 1024, 5).alias("p")).collect()]
+
+
+def test_samples_of_a_huge_product_cost_what_they_draw(spark):
+    from rulewell.functions.sampling_keys import permuted
+
+    draws = spark.range(200).select(permuted("id", 10**11, 21).alias("p"))
+    assert draws.distinct().count() == 200  # 10^11 pair numbers, 200 digests
