@@ -15,7 +15,7 @@ from rulewell.workload.q_retrieval import (
     _BEST,
     CANDIDATES,
     _candidates,
-    best_matches,
+    matches_above,
     not_found,
 )
 from rulewell.workload.registry import SQL, query
@@ -146,7 +146,8 @@ def retrieval_profile(t: Tables) -> DataFrame:
     ),
 )
 def similarity_reduction(t: Tables) -> DataFrame:
-    report = profiling.reduction_report(best_matches(t), "max_similarity", 0.3)
+    every = t.given("documents").select("doc_id").join(matches_above(t, 0.3), "doc_id", "left")
+    report = profiling.reduction_report(every, "max_similarity", 0.3)
     return report.withColumn("reduction_percent", F.round("reduction_percent", 6))
 
 

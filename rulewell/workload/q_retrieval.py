@@ -93,9 +93,12 @@ _BEST = f"""{_TFIDF}, best as (select doc_id, item_id, max_similarity from (sele
   on s.doc_id = d.doc_id and s.item_id = b.item_id) z where r = 1)"""
 
 
-def best_matches(t: Tables) -> DataFrame:
+_SIDES = ("doc_id", "text", "item_id", "text")
+
+
+def matches_above(t: Tables, threshold: float = 0.3) -> DataFrame:
     docs, rules = t.given("documents").select("doc_id", "text"), t.given("benchmark")
-    return similarity.tfidf_best_match(docs, rules, "doc_id", "text", "item_id", "text")
+    return similarity.tfidf_matches(docs, rules, *_SIDES, threshold)
 
 
 _BEST_EMBEDDED = rf"""{_BEST}, e_slots as (select side, id, cast(concat('0x', substr(md5(w), 1, 4)) as bigint) % 64 as slot,
@@ -123,7 +126,7 @@ def max_similarity_filter(t: Tables) -> DataFrame:
     embedded = similarity.embedding_best_match(
         docs, rules, "doc_id", "text", "item_id", "text", hashed_word_embedder(64)
     )
-    by_terms = similarity.similar_to_clean(best_matches(t), 0.3).withColumn("method", F.lit("terms"))
+    by_terms = matches_above(t).withColumn("method", F.lit("terms"))
     by_vectors = similarity.similar_to_clean(embedded, 0.7).withColumn("method", F.lit("embeddings"))
     kept = by_terms.unionByName(by_vectors).withColumn("max_similarity", _shown("max_similarity"))
     return kept.join(rules.withColumnRenamed("text", "clean_rule"), "item_id")
@@ -131,7 +134,8 @@ def max_similarity_filter(t: Tables) -> DataFrame:
 
 @query("c05_nlargest", sql("select doc_id, item_id, round(max_similarity, 6) as max_similarity from best order by best. max_similarity desc, doc_id limit 5", _BEST))
 def nlargest(t: Tables) -> DataFrame:
-    top = sampling.n_largest(best_matches(t), 5, "max_similarity", "doc_id")
+    docs, rules = t.given("documents").select("doc_id", "text"), t.given("benchmark")
+    top = similarity.tfidf_most_similar(docs, rules, 5, *_SIDES)
     return top.withColumn("max_similarity", _shown("max_similarity"))
 
 
