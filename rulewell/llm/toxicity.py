@@ -40,7 +40,10 @@ _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 def _letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text with a space for everything but letters and digits."""
-    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    return _letters_of(np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4"))
+
+
+def _letters_of(code: np.ndarray) -> np.ndarray:
     # ASCII by its classes; beyond ASCII only punctuation blocks and spaces are no letters.
     ascii_word = ((code >= 97) & (code <= 122)) | ((code >= 48) & (code <= 57))
     beyond = (code >= 0xC0) & ~((code >= 0x2000) & (code <= 0x206F)) & (code != 0x3000)
@@ -72,19 +75,28 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets), np.concatenate(words), n_words
 
 
+def _word_starts(text: str) -> np.ndarray:
+    """Where the words of ``subwords`` begin in a text that begins at a word's start or outside words."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    upper = (code >= 65) & (code <= 90)
+    gap = (_letters_of(code) == 32) & ~upper
+    return np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+
+
 def _slices(text: str) -> Iterator[str]:
-    """The text in pieces of bounded size that begin with the words that ended the piece before."""
-    start = 0
-    while True:
-        end = start + _SLICE
-        if end >= len(text):
-            yield text[start:]
-            return
-        cut = text.rfind(" ", start + _SLICE // 2, end)
-        cut = end if cut < 0 else cut
-        yield text[start:cut]
-        back = text.find(" ", max(start + 1, cut - 16 * WINDOW_WORDS), cut)  # whole words overlap
-        start = back if back >= 0 else cut
+    """The text in pieces of whole words; a piece begins with the WINDOW_WORDS - 1 words that ended the one before.
+
+    So every window of words is in one piece. Pieces are longer than _SLICE only where so few words are.
+    """
+    start, reach = 0, _SLICE
+    while start + reach < len(text):
+        begins = _word_starts(text[start : start + reach])
+        if len(begins) <= WINDOW_WORDS:
+            reach *= 2
+            continue
+        yield text[start : start + int(begins[-1])]
+        start, reach = start + int(begins[-WINDOW_WORDS]), _SLICE
+    yield text[start:]
 
 
 @dataclass(frozen=True)

@@ -43,6 +43,20 @@ def test_toxicity_learns_words_and_their_misspellings():
     assert 0 <= model.score("") < 0.7 and 0 <= model.score("​ ... 漢字") <= 1
 
 
+@pytest.mark.parametrize("between", [" ", "\n", "\t", ". ", "\u2003", " \n"])
+def test_windows_over_the_cuts_of_a_long_text(monkeypatch, between):
+    """Every place of an insult gives the margin of the text in one piece, whatever separates its words."""
+    model = toxicity.fit(*map(list, zip(*toxic_rows(200, 7), strict=True)))
+    calm = words(random.Random(8), 60)
+    for at in range(0, 60, 3):
+        text = between.join([*calm[:at], "You", "pathetic", "worthless", "idiot", *calm[at:], "x" * 90, *calm])
+        monkeypatch.setattr(toxicity, "_SLICE", 1 << 19)
+        whole = model.margin(text)
+        monkeypatch.setattr(toxicity, "_SLICE", 70)
+        assert len(list(toxicity._slices(text))) > 3 and model.margin(text) == pytest.approx(whole, abs=1e-9)
+    assert list(toxicity._slices("y" * 500)) == ["y" * 500] and list(toxicity._slices("")) == [""]
+
+
 def test_subwords_stay_inside_words():
     bucket, word, n = toxicity.subwords("Ab, cde\n\nf")
     assert n == 3 and len(bucket) == len(word)
