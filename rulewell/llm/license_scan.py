@@ -4,7 +4,7 @@ operations only.
 A block matches a template when it contains at least ``threshold`` of the template's distinct words.
 Blocks are the lines of a text, and for notices wrapped over lines all runs of up to |words of the
 template| / ``threshold`` words of the whole text, whatever breaks and comment signs stand between
-them; a run must also hold the template's own word (OWN_WORDS). The join is exact and prefix-filtered:
+them. A block must also hold the template's own word (OWN_WORDS), if it has one. The join is exact and prefix-filtered:
 
 * the words of all templates are ordered by the number of documents that have them, over the whole
   table, rarest first;
@@ -54,7 +54,6 @@ TEMPLATES = {
     "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 # The word that tells a template from its neighbours ("released under the bsd license").
-# Asked of runs; lines count by their share of words alone.
 OWN_WORDS = {
     "gpl-3.0-notice": "gnu",
     "gpl-notice": "gnu",
@@ -145,6 +144,7 @@ def _candidates(blocks: DataFrame, prefixes: list[str], side: DataFrame) -> Data
         & (F.size("words") - F.col("p") >= F.col("need"))
         & (F.element_at(shared, 1) == F.col("w"))
         & (F.size(shared) >= F.col("need"))
+        & (F.col("own").isNull() | F.array_contains("tokens", F.col("own")))
     )
     return kept.withColumn("shared", shared)
 
@@ -180,9 +180,8 @@ def run_matches(
     joined = joined or prefix_side(docs, TEMPLATES if templates is None else templates, threshold)
     texts = docs.select("doc_id", F.xxhash64("text").alias("__text"), spaced_words(F.col("text")).alias("s"))
     kept = _candidates(texts.select("doc_id", "__text", F.split(F.btrim("s"), " ").alias("tokens")), *joined)
-    told = kept.where(F.col("own").isNull() | F.array_contains("shared", F.col("own")))
     places = F.array_compact(F.transform("tokens", lambda w, i: F.when(F.array_contains(F.col("words"), w), i)))
-    placed = told.select("doc_id", "__text", "template", "tokens", "words", "need", "span", "own", places.alias("at"))
+    placed = kept.select("doc_id", "__text", "template", "tokens", "words", "need", "span", "own", places.alias("at"))
     # A run with ``need`` words of the template has as many places inside its span.
     n = F.greatest(F.size("at") - F.col("need") + 1, F.lit(0))
     near = F.zip_with(
@@ -227,10 +226,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def twin() -> str:
-    """The same rows in SQL over the given table: no filters, every line against every template."""
+    """The same rows in SQL over the given table: every line and every run of words against every template."""
     lower = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
-    templates = ", ".join(f"('{k}', {sorted(set(v.split()))})" for k, v in TEMPLATES.items())
+    templates = ", ".join(
+        f"('{k}', {sorted(set(v.split()))}, '{OWN_WORDS.get(k, '')}', {ceil(len(v.split()) / THRESHOLD - 1e-9)})" for k, v in TEMPLATES.items()
+    )
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     return rf"""
 with doc as (
@@ -243,14 +244,20 @@ with doc as (
 ), base as (
   select doc_id, count(*) as n_base, min(spot) as first_word, max(spot) as last_word,
          list(distinct label) as found from place group by doc_id
-), template(template, tw) as (values {templates}), line as (
+), template(template, tw, own, span) as (values {templates}), line as (
   select doc_id, unnest(string_split(text, chr(10))) as line from documents
 ), block as (
   select doc_id, list_distinct({words.format(lower.format("line"))}) as b from line
+), long as (
+  select doc_id, w, template, tw, own, span from doc, template
+  where len(list_intersect(list_distinct(w), tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)
+), run as (
+  select doc_id, template, tw, own, list_distinct(w[i : i + span - 1]) as b
+  from (select *, unnest(range(1, len(w) + 1)) as i from long) p where list_contains(tw, w[i])
 ), hit as (
   select doc_id, list(distinct template) as found, max(len(list_intersect(b, tw)) / len(tw)) as contained
-  from block, template
-  where len(list_intersect(b, tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)
+  from (select doc_id, template, tw, own, b from block, template union all select * from run) q
+  where len(list_intersect(b, tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9) and (own = '' or list_contains(b, own))
   group by doc_id
 )
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(b.n_base, 0)::bigint as n_base,

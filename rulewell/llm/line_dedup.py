@@ -1,17 +1,16 @@
 """Line deduplication that returns keep bitmaps, in DataFrame operations only.
 
-Every document sends each of its line keys once, as a 128-bit hash. Counts and first occurrences are
-gathered per hash and salt first, so that a line that a third of all documents share arrives as a few
-rows. Those rows are range-partitioned by hash, and a hash aggregate adds up the documents and takes
-the smallest document number; it stands in for a sorted stream of occurrences (Spark drops the sort
-under it). First positions are found for frequent lines only, and only where first occurrences are
-kept. The verdicts go back to the lines, and a document gets its dropped lines as a sparse bitmap:
-64 lines to a word, words without a dropped line left out.
+Every line with a key becomes a 128-bit hash with its document and position. Hashes are range-partitioned and
+sorted by document and position; salts by document cut a line that a third of all documents share into
+many groups. That one stream is read twice: a row whose predecessor is of another document is the
+document's first occurrence, and their number over all salts is the number of documents with the line; then the rows
+of the lines that are frequent enough become the bitmaps of dropped lines. A bitmap is compressed: 64 lines to a
+word, words without a dropped line left out. Texts are joined with their bitmaps in the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewell.llm.common import lower_ascii
@@ -36,38 +35,34 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("__text"), "text")
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, __text, pos, high, low): every line with a non-empty key."""
+def _stream(docs: DataFrame) -> DataFrame:
+    """(high, low, salt, doc_id, __text, pos, first): every line with a non-empty key, in the order of hash, salt,
+    document and position; ``first`` marks the first line with the key in its document.
+
+    A document is a number; rows without a number are told apart by their texts.
+    """
     lines = _identified(docs).select(*_ID, F.posexplode(lines_of("text")).alias("pos", "line"))
     keyed = lines.select(*_ID, "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= 1)
-    return keyed.select(*_ID, "pos", F.xxhash64("key").alias("high"), F.xxhash64(F.lit(1), "key").alias("low"))
-
+    salt = F.pmod(F.xxhash64(F.coalesce("doc_id", "__text")), F.lit(SALTS)).cast("int")
+    hashed = keyed.select(F.xxhash64("key").alias("high"), F.xxhash64(F.lit(1), "key").alias("low"), salt.alias("salt"), *_ID, "pos")
+    group, order = ["high", "low", "salt"], [*_ID, "pos"]
+    ranged = hashed.repartitionByRange(*group).sortWithinPartitions(*group, *order)
+    before = F.lag(F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("__text")).alias("t"))).over(Window.partitionBy(*group).orderBy(*order))
+    own = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("__text")).alias("t"))
+    return ranged.withColumn("first", ~own.eqNullSafe(before))
 
-def _first_in_document(docs: DataFrame) -> DataFrame:
-    """(doc_id, high, low) once for each key of a document.
 
-    The distinct keys are found inside the row; nothing is shuffled for it.
-    """
-    keys = F.transform(lines_of("text"), line_key)
-    pair = lambda k: F.struct(F.xxhash64(k).alias("high"), F.xxhash64(F.lit(1), k).alias("low"))
-    hashed = F.transform(keys, lambda k: F.when(k != "", pair(k)))
-    distinct = F.array_compact(F.array_distinct(hashed))
-    return _identified(docs).select("doc_id", F.explode(distinct).alias("h")).select("doc_id", "h.high", "h.low")
+def _counts(stream: DataFrame) -> DataFrame:
+    """Per key hash: how many numbered documents have the line, and the first one."""
+    numbered = F.col("first") & F.col("doc_id").isNotNull()
+    # The groups of the stream are whole in their partitions: this needs no shuffle. Salts are few rows a line.
+    salted = stream.groupBy("high", "low", "salt").agg(F.count_if(numbered).alias("documents"), F.min("doc_id").alias("first_doc"))
+    return salted.groupBy("high", "low").agg(F.sum("documents").alias("documents"), F.min("first_doc").alias("first_doc"))
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
-    """Per key hash: the number of documents with the line, and the first document with it.
-
-    Hashes are range-partitioned and counted by a hash aggregate.
-    """
-    salted = _first_in_document(docs).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    partial = salted.groupBy("high", "low", "__salt").agg(
-        F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")
-    )
-    ranged = partial.repartitionByRange("high", "low").sortWithinPartitions("high", "low", "first_doc")
-    return ranged.groupBy("high", "low").agg(
-        F.sum("documents").alias("documents"), F.min("first_doc").alias("first_doc")
-    )
+    """Per key hash: high, low, documents, first_doc."""
+    return _counts(_stream(docs))
 
 
 def drop_bitmaps(docs: DataFrame, min_documents: int = 2, keep_first: bool = True) -> DataFrame:
@@ -76,19 +71,17 @@ def drop_bitmaps(docs: DataFrame, min_documents: int = 2, keep_first: bool = Tru
     A line is dropped when its key is found in at least ``min_documents`` documents; with
     ``keep_first`` the first line of the first document that has it stays. ``words`` maps the number
     of a 64-line word to the bits of its dropped lines. Keys are lines stripped of ASCII white space
-    at both ends with A-Z lower-cased; empty keys are never dropped. Null texts are one empty line;
-    each repeated row counts as a document; rows without a number take part like any other (they
-    never hold a first occurrence that a numbered document could hold).
+    at both ends with A-Z lower-cased; empty keys are never dropped. Null texts are one empty line.
+    Rows that share a number are one document to the count, each with its own bitmap. Rows
+    without a number do not count as documents; they lose frequent lines like others, and with
+    ``keep_first`` never hold a first occurrence.
     """
-    frequent = line_counts(docs).where(F.col("documents") >= min_documents)
+    stream = _stream(docs)
+    frequent = _counts(stream).where(F.col("documents") >= min_documents)
     # Plain equi-join: the planner broadcasts few frequent lines, or splits a hot hash's partition.
-    hit = _occurrences(docs).join(frequent, ["high", "low"])
+    hit = stream.join(frequent, ["high", "low"])
     if keep_first:
-        repeated = hit.groupBy(*_ID, "high", "low").agg(F.min("pos").alias("__first_pos"))
-        hit = hit.join(repeated.withColumnsRenamed({"doc_id": "__d", "__text": "__t", "high": "__h", "low": "__l"}),
-                       F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t"))
-                       & (F.col("high") == F.col("__h")) & (F.col("low") == F.col("__l")))
-        hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("__first_pos"))))
+        hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("first")))
     bits = hit.groupBy(*_ID, (F.col("pos") / WORD_BITS).cast("int").alias("word")).agg(
         F.expr(f"bit_or(shiftleft(1L, cast(pos % {WORD_BITS} as int)))").alias("bits")
     )
@@ -99,24 +92,34 @@ def drop_bitmaps(docs: DataFrame, min_documents: int = 2, keep_first: bool = Tru
 
 
 def with_kept_text(docs: DataFrame, bitmaps: DataFrame, into: str = "kept_text") -> DataFrame:
-    """All columns of ``docs``, the text without its dropped lines, n_lines and n_dropped (long)."""
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    found = bitmaps.withColumnsRenamed({"doc_id": "__bitmap_doc", "__text": "__bitmap_text"}).hint("shuffle_hash")
-    on = F.col("doc_id").eqNullSafe(F.col("__bitmap_doc")) & (F.col("__text") == F.col("__bitmap_text"))
-    joined = marked.join(found.withColumnsRenamed({"n_dropped": "__n", "words": "__words"}), on, "left")
+    """All columns of ``docs``, the text without its dropped lines, n_lines and n_dropped (long).
+
+    Columns of ``docs`` that are called like the three new ones are replaced; all others come back as they are.
+    """
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    key, doc, dropped, words = (free(n) for n in ("__key", "__bitmap_doc", "__dropped", "__words"))
+    found = bitmaps.select(F.col("doc_id").alias(doc), F.col("__text").alias(f"{key}_b"), F.col("n_dropped").alias(dropped), F.col("words").alias(words))
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(f"{key}_b")), "left")
 
     def kept(_: Column, i: Column) -> Column:
-        word = F.try_element_at("__words", (i / WORD_BITS).cast("int"))
+        word = F.try_element_at(F.col(words), (i / WORD_BITS).cast("int"))
         return word.isNull() | (F.getbit(word, (i % WORD_BITS).cast("int")) == 0)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = F.when(F.col("__n").isNull(), text).otherwise(F.array_join(F.filter(lines_of("text"), kept), "\n"))
+    cut = F.when(F.col(dropped).isNull(), text).otherwise(F.array_join(F.filter(lines_of("text"), kept), "\n"))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return joined.select(
-        *[F.col(c) for c in docs.columns if c not in (into, "n_lines", "n_dropped")],
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (into.lower(), "n_lines", "n_dropped")],
         cut.alias(into),
         n_lines.alias("n_lines"),
-        F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rulewell.llm import license_scan, line_dedup, quality_rules
 
@@ -21,7 +22,7 @@ def key(line):
 
 
 def brute_lines(rows, least):
-    documents = collections.Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    documents = collections.Counter(k for _, k in {(d, key(x)) for d, t in rows if d is not None for x in (t or "").split("\n")} if k)
     out = []
     for d, t in rows:
         all_lines = (t or "").split("\n")
@@ -54,6 +55,31 @@ def test_line_dedup_keeps_the_first(docs_of):
     assert "host" in kept.columns
 
 
+def test_rows_of_one_number_are_one_document(docs_of):
+    """Ten rows of one number with a line are one document with it, as in the SQL twin."""
+    rows = [(1, f"the line\n{i}") for i in range(10)] + [(None, f"the line\n{i}") for i in range(9)] + [(2, "the line")]
+    got = line_dedup.digests(docs_of(rows), 3).collect()
+    assert {r.n_dropped for r in got} == {0}
+    counts = {r.documents for r in line_dedup.line_counts(docs_of(rows)).collect()}
+    assert counts == {2, 1, 0} or counts == {2, 1}
+
+
+def test_bitmaps_come_from_one_sorted_stream(docs_of):
+    """Lines are range-partitioned and sorted once; counts and bitmaps both read that exchange."""
+    frame = line_dedup.drop_bitmaps(docs_of(line_rows()), 2, keep_first=False)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(high") >= 1 and "Window" in plan and "lag(" in plan
+
+
+def test_columns_of_the_caller_come_back(docs_of):
+    names = ["__text", "__n", "__words", "__key", "__bitmap_doc", "__dropped", "words", "high", "first"]
+    frame = docs_of(line_rows()).select("doc_id", "text", *[F.concat(F.lit(f"{n} of "), F.coalesce("text", F.lit("-"))).alias(n) for n in names])
+    kept = line_dedup.with_kept_text(frame, line_dedup.drop_bitmaps(frame, 2, keep_first=False)).collect()
+    assert len(kept) == len(line_rows())
+    assert all(r[n] == f"{n} of {'-' if r.text is None else r.text}" for r in kept for n in names)
+
+
 def test_line_dedup_of_nothing(docs_of):
     assert line_dedup.digests(docs_of([])).collect() == []
 
@@ -71,12 +97,14 @@ def brute_scan(rows):
         words = split.findall((t or "").translate(LOWER))
         at = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         base, found, best = {x for _, x in at}, set(), 0.0
-        for line in (t or "").split("\n"):
-            block = set(split.findall(line.translate(LOWER)))
-            for label, template in license_scan.TEMPLATES.items():
-                wanted = set(template.split())
+        lines = [set(split.findall(line.translate(LOWER))) for line in (t or "").split("\n")]
+        for label, template in license_scan.TEMPLATES.items():
+            wanted, own = set(template.split()), license_scan.OWN_WORDS.get(label)
+            span = -(-len(template.split()) * 5 // 4)  # words / 0.8, rounded up
+            runs = [set(words[i : i + span]) for i in range(len(words))] if len(wanted & set(words)) >= 0.8 * len(wanted) else []
+            for block in lines + runs:
                 share = len(block & wanted) / len(wanted)
-                if share >= license_scan.THRESHOLD:
+                if share >= license_scan.THRESHOLD and (own is None or own in block):
                     found.add(label)
                     best = max(best, share)
         places = [i for i, _ in at]
@@ -93,7 +121,7 @@ def scan_rows():
         draw.shuffle(words)
         rows.append((50 + i, "before\n" + ", ".join(words).upper() + "\nafter"))
     rows += [(900, None), (901, ""), (902, "..."), (903, "cc by cc by CC-BY. mit license mit"), (904, "xcc by, cc byx"), (905, "MIT\nLicense"),
-             (906, "word " * 5000 + "Apache License"), (903, "cc by"), (None, "mit license"), (907, "GNU  General-Public License"), (908, "éCC BY")]
+             (906, "word " * 5000 + "Apache License"), (909, "Released under the BSD License"), (910, "Released under\nthe MIT"), (903, "cc by"), (None, "mit license"), (907, "GNU  General-Public License"), (908, "éCC BY")]
     return rows
 
 
@@ -101,6 +129,7 @@ def test_scan_equals_brute_force(docs_of):
     rows = scan_rows()
     got = [tuple(r) for r in license_scan.scan(docs_of(rows)).collect()]
     assert sorted(got, key=str) == brute_scan(rows)
+    assert {r[0]: r[6] for r in got}[909] == ""
     assert license_scan.scan(docs_of([])).collect() == []
 
 
@@ -113,8 +142,8 @@ def test_every_threshold_finds_all_blocks(docs_of):
             for pos, line in enumerate((t or "").split("\n")):
                 block = set(split.findall(line.translate(LOWER)))
                 for label, template in license_scan.TEMPLATES.items():
-                    wanted = set(template.split())
-                    if len(block & wanted) >= threshold * len(wanted):
+                    wanted, own = set(template.split()), license_scan.OWN_WORDS.get(label)
+                    if len(block & wanted) >= threshold * len(wanted) and (own is None or own in block):
                         want[d, pos, label] += 1
         got = license_scan.matches(docs_of(rows), threshold=threshold).collect()
         assert collections.Counter((r.doc_id, r.pos, r.template) for r in got) == want
@@ -148,7 +177,7 @@ def test_twins_on_the_given_tables(spark, data_dir):
     from rulewell.llm import queries
 
     db = duckdb.connect()
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "conversations"):
         db.execute(f"create view {name} as select * from '{data_dir}/{name}.parquet'")
     for name, sql in queries.SQL.items():
         want = db.execute(sql)
