@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from rulewell.session import written
 
-# Queries held by one task, and corpus rows below which a part is not cut further.
-BLOCK_ROWS, LEAST_PART = 32_768, 4096
+# What the queries held by one task may weigh as doubles, and corpus rows below which a part is not cut further.
+BLOCK_BYTES, LEAST_PART = 64 << 20, 4096
 # Decimal digits that the order of a sum cannot change; similarities are ranked on them.
 DIGITS = 12
 _CHUNK_CELLS = 4_000_000
@@ -159,7 +159,7 @@ def nearest(
     exclude_self: bool | tuple[str, str] = False,
     dims: int | None = None,
     digits: int = DIGITS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     sizes_from: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, corpus_id, *carry, similarity, rank): each query's ``k`` best corpus rows.
@@ -170,7 +170,8 @@ def nearest(
     id, or with the same value in the named (query, corpus) columns. Vectors are ARRAY columns, or
     STRUCT<indices, values> with ``dims`` given; rows without a vector or a group take no part, and
     vectors of unequal length raise. ``sizes_from`` are cheaper tables with the same rows (and group
-    columns) to count instead of the inputs.
+    columns) to count instead of the inputs. A task holds ``block_rows`` queries, by default as
+    many as weigh BLOCK_BYTES.
     """
     own = exclude_self if isinstance(exclude_self, tuple) else (query_id, corpus_id)
     q = queries.select(
@@ -187,6 +188,9 @@ def nearest(
         *carry,
     ).filter(F.col("__g").isNotNull() & F.col("__vec").isNotNull())
     q_rows, c_rows = sizes_from or (queries, corpus)
+    if block_rows is None:
+        first = None if dims else q.select(F.size("__vec")).first()
+        block_rows = max(1, BLOCK_BYTES // (8 * max(1, dims or (first[0] if first else 1))))
     grid = _grid(q_rows, c_rows, within, block_rows)
 
     def placed(df: DataFrame, id_column: str, mine: str, theirs: str, side: int) -> DataFrame:

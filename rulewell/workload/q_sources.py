@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from rulewell.functions.text import word_count
 from rulewell.operators.numbering import number_rows
 from rulewell.operators.reshape import stack
-from rulewell.operators.retrieval import rule_candidates
 from rulewell.schemas import GENERATION_COLUMNS, GENERATION_RENAMED, TRAINING, TRAINING_COLUMNS
-from rulewell.sources import checkpointed, corpus, csvfiles
+from rulewell.sources import checkpointed, corpus, csvfiles, vector_index
+from rulewell.sources.splitcsv import split_csv_scan
 from rulewell.streaming.ingest import ingest_available
 from rulewell.workload.registry import query
 from rulewell.workload.sqltext import dot_sql
@@ -25,7 +25,7 @@ _KEYED = T.StructType([T.StructField("row_id", T.LongType()), *TRAINING.fields])
 def csv_scan(t: Tables) -> DataFrame:
     path = t.scratch("csv")
     csvfiles.write_csv(t.train.select("row_id", *TRAINING_COLUMNS), path)
-    return csvfiles.csv_scan(t.spark, path, _KEYED)
+    return split_csv_scan(t.spark, path, _KEYED)
 
 
 @query(
@@ -86,21 +86,21 @@ def submission_sink(t: Tables) -> DataFrame:
 @query(
     "a07_corpus_store",
     sql(
-        f"""select query_id, row_id, round(s, 6) as similarity from (select a.row_id as query_id, b.row_id, {dot_sql('a.embedding', 'b.embedding')} as s,
-        row_number() over (partition by a.row_id order by {dot_sql('a.embedding', 'b.embedding')} desc, b.row_id) as r
-        from corpus a join corpus b on a.rule = b.rule where a.rule in ('rule 1', 'rule 4')) z where r <= 5"""
+        f"""select query_id, row_id, rule, value, round(s, 6) as similarity, r as rank from (
+        select a.row_id as query_id, b.row_id, b.rule, b.value, {dot_sql('a.embedding', 'b.embedding')} as s,
+        cast(row_number() over (partition by a.row_id order by {dot_sql('a.embedding', 'b.embedding')} desc, b.row_id) as int) as r
+        from corpus a join corpus b on a.rule = b.rule where a.row_id % 50 = 0) z where r <= 5"""
     ),
 )
 def corpus_store(t: Tables) -> DataFrame:
+    """Fresh questions, every fiftieth vector, to the whole stored corpus and its stored index."""
     path = t.scratch("corpus")
-    corpus.save_corpus(t.corpus, path)
-    # Fresh questions about two rules: only those rules' buckets of the stored corpus are read.
-    rules = ["rule 1", "rule 4"]
-    stored = corpus.load_corpus(t.spark, path, rules)
-    asked = t.corpus.filter(F.col("rule").isin(rules))
-    queries = asked.select(F.col("row_id").alias("query_id"), F.col("rule").alias("matched_rule"), "embedding")
-    found = rule_candidates(queries, stored, 5)
-    return found.select("query_id", "row_id", F.round("similarity", 6).alias("similarity"))
+    corpus.save_corpus(t.corpus, f"{path}/rows")
+    vector_index.build_index(corpus.load_corpus(t.spark, f"{path}/rows"), f"{path}/index", group="rule", carry=("value",))
+    asked = t.corpus.filter("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("rule").alias("matched_rule"), "embedding")
+    found = vector_index.open_index(t.spark, f"{path}/index").search(asked, 5, query_group="matched_rule")
+    rules = asked.select("query_id", F.col("matched_rule").alias("rule"))
+    return found.join(rules, "query_id").select("query_id", "row_id", "rule", "value", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(
