@@ -9,15 +9,21 @@ verified on the whole sets.
 On a cluster. In many dimensions no tree over all texts prunes well, so trees are built per cell: the
 texts of one size band that share a shingle of their prefixes. With n shingles and the threshold t a
 prefix holds the first n - ceil(t n) + 1 shingles of an order that is the same for all texts, and two
-texts that reach t always share a prefix shingle; so cells lose nothing. The order puts the shingles
-that many texts share last (counted over all texts); that keeps cells small and decides nothing else.
-A cell of more than ``CELL_ROWS`` texts is cut into blocks, and pairs of blocks are separate tasks.
-
-Equal sets are one class from the start, so copies are never paired. In a large cell the first round
-pairs each text with one survivor of each cell, drawn at random; the second round pairs all survivors
-that the links of the first have not joined yet. No link between different sets is lost, and large groups of near
-copies do not make all their pairs. Components are found by star contraction, written to the shared
-folder in each step.
+texts that reach t always share a prefix shingle; so cells lose nothing. The order goes by how many texts hold
+a shingle, rarest first, as counted over all shingles of all texts in a sketch of ``SKETCH`` counters; that
+keeps cells small and decides nothing else.
+
+Equal sets are one class from the start, so copies are never paired. Links are found in three steps, and after each
+one only cells whose texts are still of several components go on:
+
+1. each text meets one other, the one that most of its cells name as their smallest number;
+2. in the ``DRAWN_CELLS`` cells of a text with the smallest hashes, its tree finds the text a partner drawn at random;
+3. all pairs of different components in the cells that are left, through their trees.
+
+Count vectors travel in the last two steps only, so they are sent for texts that are still apart. A cell of
+more than ``CELL_ROWS`` texts is cut into blocks, and pairs of blocks are separate tasks. No link between
+different sets is lost, and large groups of near copies do not make all their pairs. Components are
+found by star contraction, written to the shared folder in each step.
 """
 
 from __future__ import annotations
@@ -34,10 +40,11 @@ from rulewell.session import written
 CELL_ROWS = 2048
 SMALL_CELL = 8
 LEAF_ROWS = 32
-# Shingles that at least FEW of some 2 million shingles' texts share, and MANY of all, come last in
-# the prefix order; at most COMMON_LIMIT of them are told apart from the others. This bounds what is
-# broadcast; the order is for speed, any order gives the same rows.
-FEW, MANY, COMMON_LIMIT, COUNT_BATCH = 4, 40, 1_000_000, 2_000_000
+# Counters of the sketch that orders prefixes, a byte each, and the blocks they are added up in. This bounds what a
+# task sends and what is broadcast; the order is for speed, any order gives the same rows.
+SKETCH, SKETCH_BLOCKS, COUNT_BATCH = 1 << 22, 64, 2_000_000
+# Cells in which a text looks for a drawn partner.
+DRAWN_CELLS = 4
 # About two shingles to a group keep the bound tight; trees read at most TREE_GROUPS of them.
 LEAST_GROUPS, MOST_GROUPS, PER_GROUP, TREE_GROUPS = 8, 1 << 13, 2, 1024
 # Bits of the filter that leaves texts out before their sets are made again; a fixed 2 MB.
@@ -162,26 +169,28 @@ def _pairs_in(sizes: np.ndarray, points: np.ndarray, percent: int, allowed: Call
     """(later, earlier) places of pairs that the bound lets through, in the order of size.
 
     ``allowed(rows, row)`` tells which of the rows may meet the row. With ``draw(rows, row)`` each row
-    keeps one partner only, the one with the largest drawn number. The tree halves the rows, which
-    are sorted by size, down to leaves; a node's coordinate maxima bound all its rows.
+    keeps one partner only, the one with the largest drawn number. A node is cut in two at the median of its
+    widest coordinate, so that its halves hold like points; coordinate maxima and the smallest and largest size
+    of a node bound all its rows.
     """
     found_a, found_b = [], []
     partner, drawn = np.full(len(sizes), -1), np.zeros(len(sizes), np.uint64)
 
-    def visit(lo: int, hi: int, queries: np.ndarray) -> None:
-        queries = queries[queries > lo]  # partners come earlier in the order
-        # Rows are sorted by size, so the smallest and largest of the node are at its ends.
-        queries = queries[100 * sizes[hi - 1] >= percent * sizes[queries]]
+    def visit(rows: np.ndarray, queries: np.ndarray) -> None:
+        smallest, largest = sizes[rows].min(), sizes[rows].max()
+        queries = queries[queries > rows.min()]  # partners come earlier in the order
+        queries = queries[100 * largest >= percent * sizes[queries]]
         if not len(queries):
             return
-        if hi - lo > LEAF_ROWS:
-            shared = np.minimum(points[queries], points[lo:hi].max(axis=0)).sum(axis=1)
-            queries = queries[shared >= needed(sizes[queries], sizes[lo], percent)]
-            middle = (lo + hi) // 2
-            visit(lo, middle, queries)
-            visit(middle, hi, queries)
+        if len(rows) > LEAF_ROWS:
+            shared = np.minimum(points[queries], points[rows].max(axis=0)).sum(axis=1)
+            queries = queries[shared >= needed(sizes[queries], smallest, percent)]
+            widest = np.ptp(points[rows], axis=0).argmax()
+            order = rows[np.argsort(points[rows, widest], kind="stable")]
+            for half in np.array_split(order, 2):
+                visit(np.sort(half), queries)
             return
-        for at in range(lo, hi):
+        for at in rows.tolist():
             own = queries[(queries > at) & allowed(queries, at)]
             own = own[100 * sizes[at] >= percent * sizes[own]]
             if len(own):
@@ -195,7 +204,7 @@ def _pairs_in(sizes: np.ndarray, points: np.ndarray, percent: int, allowed: Call
                     won = own[number >= drawn[own]]
                     partner[won], drawn[won] = at, number[number >= drawn[own]]
 
-    visit(0, len(sizes), np.arange(len(sizes)))
+    visit(np.arange(len(sizes)), np.arange(len(sizes)))
     if draw is not None:
         later = np.flatnonzero(partner >= 0)
         return later, partner[later]
@@ -245,57 +254,73 @@ def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
         yield rest
 
 
-def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the shingles that most texts share, at most COMMON_LIMIT of them.
+def _slot(found: np.ndarray, counters: int) -> np.ndarray:
+    return (found >> np.uint64(8)) & np.uint64(counters - 1)
+
+
+def shingle_ranks(docs: DataFrame, size: int) -> np.ndarray:
+    """A byte per counter of the sketch: how many texts hold its shingles, on a scale of logarithms.
 
-    Tasks count batches of about COUNT_BATCH shingles and send on those in FEW texts or more.
+    Every task counts all shingles of its texts, up to 255 a counter; tasks are added up block by block.
     """
+    width = SKETCH // SKETCH_BLOCKS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counters = np.zeros(SKETCH, np.uint8)
         held, total, seen = [], 0, set()
 
-        def counted() -> pd.DataFrame:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= FEW
-            return pd.DataFrame({"token": token[often].view(np.int64), "n": count[often]})
+        def add() -> None:
+            more = np.bincount(np.concatenate(held).astype(np.intp), minlength=SKETCH)
+            counters[:] = np.minimum(counters + more, 255)
 
         for batch in batches:
             for text in batch["text"]:
                 found = shingles(text, size)
                 mark = hash(found.tobytes())
-                if mark in seen:  # a copy of a set in this batch adds nothing to the order
+                if mark in seen:  # a copy of a set in this stretch adds nothing to the order
                     continue
                 seen.add(mark)
-                held.append(found)
+                held.append(_slot(found, SKETCH))
                 total += len(found)
                 if total >= COUNT_BATCH:
-                    yield counted()
+                    add()
                     held, total, seen = [], 0, set()
         if held:
-            yield counted()
+            add()
+        parts = counters.reshape(SKETCH_BLOCKS, width)
+        some = [i for i in range(SKETCH_BLOCKS) if parts[i].any()]
+        yield pd.DataFrame({"block": np.array(some, np.int32), "counts": [parts[i].tobytes() for i in some]})
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch["block"].tolist(), batch["counts"], strict=True):
+                own = sums.setdefault(block, np.zeros(width, np.int64))
+                own += np.frombuffer(counts, np.uint8)
+        ranks = [np.minimum(255, np.round(12 * np.log2(1 + own))).astype(np.uint8).tobytes() for own in sums.values()]
+        yield pd.DataFrame({"block": np.array(list(sums), np.int32), "ranks": ranks})
 
-    often = docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = often.where(F.col("n") >= MANY).orderBy(F.desc("n"), "token").limit(COMMON_LIMIT).select("token")
-    return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    counted = docs.select("text").mapInPandas(count, "block int, counts binary").repartition("block")
+    out = np.zeros((SKETCH_BLOCKS, width), np.uint8)
+    for row in counted.mapInPandas(total, "block int, ranks binary").collect():  # SKETCH bytes
+        out[row["block"]] = np.frombuffer(row["ranks"], np.uint8)
+    return out.ravel()
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row: doc_id, n, two set hashes, the prefix shingles and the count vector."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = shared.value
+        ranks = shared.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 found = shingles(text, size)
                 n = len(found)
                 length = n + percent * n // -100 + 1 if n else 0
-                prefix = found[:length]
-                if n and len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    late = common[at] == found
-                    prefix = np.concatenate([found[~late], found[late]])[:length]
+                # The sort is stable, so shingles of one rank stay in the order of their hashes.
+                prefix = found[np.argsort(ranks[_slot(found, len(ranks))], kind="stable")[:length]]
                 high = int(_mix(found).sum(dtype=np.uint64).view(np.int64)) if n else 0
                 low = int(_mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if n else 0
                 vector = packed(count_vector(found)) if n else b""
@@ -314,7 +339,7 @@ def _band(n: Column, percent: int) -> Column:
 
 
 def _cells(reps: DataFrame, percent: int) -> DataFrame:
-    """(token, band, doc_id, n, own, m) of every cell that can hold a pair; m is its row count.
+    """(token, band, doc_id, n, own, m, hub) of every cell that can hold a pair; m is its row count, hub its smallest number.
 
     A text stands in the cells of its own band and, as the smaller partner, of the next one. One
     shuffle by token serves all three windows.
@@ -327,23 +352,56 @@ def _cells(reps: DataFrame, percent: int) -> DataFrame:
     own, lower = F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))
     spread = near.where(reach).select("token", "doc_id", "n", F.explode(F.array(own, lower)).alias("s"))
     cell = Window.partitionBy("token", "s.band")
-    counted = spread.withColumns({"m": F.count(F.lit(1)).over(cell), "any": F.max("s.own").over(cell)})
-    return counted.where((F.col("m") > 1) & F.col("any")).select("token", "s.band", "doc_id", "n", "s.own", "m")
+    hub = F.min(F.struct("doc_id", "n", "s.own")).over(cell)
+    counted = spread.withColumns({"m": F.count(F.lit(1)).over(cell), "any": F.max("s.own").over(cell), "hub": hub})
+    return counted.where((F.col("m") > 1) & F.col("any")).select("token", "s.band", "doc_id", "n", "s.own", "m", "hub")
+
+
+def _fits(x: Column, y: Column, percent: int) -> Column:
+    """Whether two rows of a cell may be a pair: one is in its own band, and sizes allow the threshold."""
+    sizes = (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (x["doc_id"] != y["doc_id"])
+    return (x["own"] | y["own"]) & sizes
 
 
-def _small_pairs(sized: DataFrame, percent: int) -> DataFrame:
-    """Pairs of cells with at most SMALL_CELL rows, by sorted neighbours at distance 1, 2, ..."""
+def _hub_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a > b: each text with the hub that most of its cells name, the smallest of several."""
+    fits = _fits(F.struct("doc_id", "n", "own"), F.col("hub"), percent)
+    named = cells.where(fits).groupBy("doc_id", F.col("hub.doc_id").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
+    best = named.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("hub")).alias("less"))).alias("best"))
+    return best.select(F.col("doc_id").alias("a"), (-F.col("best.less")).alias("b"))
+
+
+def _open_cells(cells: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of the cells that hold several components, with ``apart``, the component so far; written.
+
+    ``joined`` has the component of every text with a link.
+    """
+    known = joined.select(F.col("node").alias("doc_id"), F.col("component"))
+    labelled = cells.drop("apart").join(known, "doc_id", "left").withColumn("apart", F.coalesce("component", "doc_id")).drop("component")
+    ends = labelled.groupBy("token", "band").agg(F.min("apart").alias("x"), F.max("apart").alias("y")).where("x <> y")
+    return written(labelled.join(ends.select("token", "band"), ["token", "band"], "left_semi"), "open")
+
+
+def _small_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in cells with at most SMALL_CELL rows, by sorted neighbours at distance 1, 2, ..."""
     order = Window.partitionBy("token", "band").orderBy("n", "doc_id")
-    columns = {f"x{k}": F.lag(F.struct("doc_id", "n", "own"), k).over(order) for k in range(1, SMALL_CELL)}
-    rows = sized.where(F.col("m") <= SMALL_CELL).withColumns(columns)
+    row = F.struct("doc_id", "n", "own", "apart")
+    columns = {f"x{k}": F.lag(row, k).over(order) for k in range(1, SMALL_CELL)}
+    rows = cells.where(F.col("m") <= SMALL_CELL).withColumns(columns)
     partners = F.array_compact(F.array(*columns))
-    fits = F.filter(
-        partners, lambda x: (x.own | F.col("own")) & (100 * x.n >= percent * F.col("n")) & (x.doc_id != F.col("doc_id"))
-    )
+    fits = F.filter(partners, lambda x: _fits(x, row, percent) & (x["apart"] != F.col("apart")))
     found = rows.select(F.col("doc_id").alias("a"), F.explode(fits).alias("x")).select("a", F.col("x.doc_id").alias("b"))
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _drawn_cells(cells: DataFrame) -> DataFrame:
+    """The rows of each text in its DRAWN_CELLS open large cells with the smallest hashes, which near copies share."""
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("token"), "token", "band")
+    few = cells.where(F.col("m") > SMALL_CELL).withColumn("place", F.row_number().over(order)).where(F.col("place") <= DRAWN_CELLS)
+    counts = few.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return few.drop("place", "m").join(counts, ["token", "band"])
+
+
 def _large_pairs(large: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of cells with more rows, through their trees, block pair by block pair."""
     blocks = F.ceil(F.col("m") / CELL_ROWS).cast("int")
@@ -472,13 +530,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("star contraction did not settle")
 
 
-def _labelled(reps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, apart): the component so far of every representative, itself without a link."""
-    found = components(edges)
-    joined = reps.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", F.coalesce("component", "doc_id").alias("apart"))
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -494,18 +545,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = classes.withColumnsRenamed({"high": "__h", "low": "__l", "n": "__n"})
     on = (F.col("doc_id") == F.col("rep")) & (F.col("high") == F.col("__h")) & (F.col("low") == F.col("__l"))
     reps = linked.join(same, on).select("doc_id", "n", "prefix", "vector").dropDuplicates(["doc_id", "n", "vector"])
-    sized = written(_cells(reps, percent), "cells")
-    large = sized.where(F.col("m") > SMALL_CELL)
-    pointed = written(large.join(reps.select("doc_id", "vector"), "doc_id").withColumn("apart", F.col("doc_id")), "points")
-    first = _small_pairs(sized, percent).union(_large_pairs(pointed, percent, every=False)).distinct()
-    pairs = bounded(first, sketch, percent)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(pointed.select("doc_id"))
-    sets = sets_of(rows, ids, size)
+    cells = written(_cells(reps, percent), "cells")
+    pairs = bounded(_hub_pairs(cells, percent), sketch, percent)
+    sets = sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
     edges = verified(pairs, sets, percent)
-    if not pointed.isEmpty():
-        again = pointed.drop("apart").join(_labelled(pointed.select("doc_id").distinct(), edges), "doc_id")
-        more = _large_pairs(again, percent, every=True).join(pairs, ["a", "b"], "left_anti")
-        edges = edges.union(verified(bounded(more, sketch, percent), sets, percent))
+    left = _open_cells(cells.drop("hub"), components(edges))
+    if not left.isEmpty():
+        vectors = reps.select("doc_id", "vector")
+        known = sets.select("doc_id").distinct()
+        sets = sets.union(sets_of(rows, left.select("doc_id").distinct().join(known, "doc_id", "left_anti"), size))
+        drawn = _large_pairs(_drawn_cells(left).join(vectors, "doc_id"), percent, every=False)
+        drawn = bounded(drawn.join(pairs, ["a", "b"], "left_anti"), sketch, percent)
+        pairs, edges = pairs.union(drawn), edges.union(verified(drawn, sets, percent))
+        left = _open_cells(left, components(edges))
+        large = left.where(F.col("m") > SMALL_CELL).join(vectors, "doc_id")
+        rest = _small_pairs(left, percent).union(_large_pairs(large, percent, every=True)).distinct()
+        rest = bounded(rest.join(pairs, ["a", "b"], "left_anti"), sketch, percent)
+        edges = edges.union(verified(rest, sets, percent))
     # A class hangs on its representative, and representatives hang together by links.
     hung = linked.join(classes, ["high", "low", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.select("a", "b").union(hung))
@@ -516,11 +572,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group.
 
-    Rows without a number stay; of rows that share a number one stays.
+    Rows without a number stay. Of rows that share a number, those with equal texts are one row; those
+    with different texts all stay, as none of them is known to be the other's copy.
     """
     kept = near_duplicates(docs, size, percent).where(F.col("doc_id") == F.col("component_id"))
     chosen = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    numbered = docs.join(chosen, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    numbered = docs.join(chosen, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id", "text"])
     return numbered.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -151,18 +151,30 @@ def test_default_cells_give_the_same(docs_of):
 
 
 def test_order_of_the_prefix_decides_nothing(docs_of, monkeypatch):
-    monkeypatch.setattr(jj, "MANY", 3)
-    monkeypatch.setattr(jj, "COMMON_LIMIT", 50)
+    monkeypatch.setattr(jj, "SKETCH", 64)
+    monkeypatch.setattr(jj, "SKETCH_BLOCKS", 4)
+    monkeypatch.setattr(jj, "COUNT_BATCH", 500)
     rows = near_rows()
     got = jj.near_duplicates(docs_of(rows, 1), 4, 85).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute_components(rows, 4, 85)
 
 
+def test_ranks_grow_with_the_number_of_texts(docs_of, monkeypatch):
+    monkeypatch.setattr(jj, "COUNT_BATCH", 300)
+    rows = [(i, "the same words here " + prose(i, 20)) for i in range(60)] + [(100, None), (101, "the same words here")]
+    ranks = jj.shingle_ranks(docs_of(rows, 5), 4)
+    common, rare = jj.shingles("the same words here", 4), jj.shingles(prose(3, 20), 4)
+    assert len(ranks) == jj.SKETCH and ranks[jj._slot(common, jj.SKETCH)].min() > 60 and ranks[jj._slot(rare, jj.SKETCH)].max() <= 24
+
+
 def test_one_of_each_group(docs_of):
     rows = near_rows()
     kept = [r.doc_id for r in jj.one_of_each(docs_of(rows), 4, 85).collect()]
     want = {c for d, _, c in brute_components(rows, 4, 85) if d is not None}
     assert sorted(d for d in kept if d is not None) == sorted(want) and kept.count(None) == 1
+    shared = [(7, prose(1, 40)), (7, prose(2, 40)), (7, prose(1, 40)), (8, prose(3, 40))]
+    texts = sorted((r.doc_id, r.text) for r in jj.one_of_each(docs_of(shared), 4, 85).collect())
+    assert texts == sorted(set(shared))
     assert jj.near_duplicates(docs_of([])).collect() == []
     assert [tuple(r) for r in jj.near_duplicates(docs_of([(1, "a"), (2, "b")])).orderBy("doc_id").collect()] == [(1, 1, 1), (2, 1, 2)]
 
