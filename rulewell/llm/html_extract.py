@@ -1,16 +1,21 @@
-"""Main text of web pages: markup roles first, a host suffix array for what markup leaves open.
-
-Every page is cut into blocks of text. A block inside a menu, header, footer, sidebar, notice,
-advert, form or comment section (by element, ARIA role or class name) is page furniture; one inside
-the article is article text and stays whole, also where several pages quote the same passage. The
-token streams of all blocks outside articles are concatenated per host, and their suffixes are
-sorted: neighbours that begin with the same ``RUN_TOKENS`` tokens on pages of different content mark
-repeated substrings, and every longer repeat is a union of such runs. On pages without article
-markup the tokens that repeats cover are boilerplate, and the unique runs between them are kept.
-
-Suffixes are compared to a depth of RUN_TOKENS as 128-bit hashes. They are gathered per host, suffix
-and salt first, so neither a host with a third of all pages nor a footer on all of them meets in one
-task; then they are range-partitioned and streamed in suffix order.
+"""Main text of web pages: markup roles, and a host's repeated substrings where markup leaves furniture standing.
+
+Every page is cut into blocks of text. A block inside a menu, header, footer, sidebar, notice, advert, form or
+comment section (by element, ARIA role or class name) is page furniture and goes. The tokens of all other blocks, in
+page order, are the page's stream. The streams of a host are concatenated and their suffixes sorted; neighbours in
+that order that begin with the same ``RUN_TOKENS`` tokens are one repeated substring, and the different pages it
+stands on are counted. What enough pages of a host share is boilerplate: outside article markup
+``LOOSE_PAGES`` pages and a share of ``LOOSE_SHARE`` of the host, inside it, as markup's vote for it, ``ARTICLE_PAGES``
+and ``ARTICLE_SHARE``. Covered tokens are removed and the unique runs between them kept; a covered
+stretch of more than ``LONGEST`` tokens stays, as a passage or a copied article and not boilerplate.
+
+Copies of a page count once. Inside articles near copies count once as well: pages are told apart there by the
+smallest hash of five consecutive tokens, which near copies share.
+
+On a cluster. Pages go to their host, in chunks by content where a host is large, and a chunk's suffixes are sorted
+in one task. A substring that a share of the host holds is held by at least half that share in nearly every chunk;
+chunks report those, and reports are added up, so no text goes for less than its share. Pages are parsed
+again for the result rather than stored or shuffled a second time.
 """
 
 from __future__ import annotations
@@ -18,16 +23,27 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewell.session import written
 
-RUN_TOKENS = 6
-SALTS = 32
+RUN_TOKENS, LONGEST = 6, 50
+LOOSE_PAGES, LOOSE_SHARE = 3, 0.2
+ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.6
+# Characters of html whose streams one task sorts at a time.
+CHUNK_CHARS = 4_000_000
+# So many boilerplate substrings are given to all tasks; beyond, they are joined to the pages of their host.
+SHARED_RUNS = 500_000
+NEAR_TOKENS = 5
+# A quoted attribute value is looked for in so many characters; bounds the cost of broken markup.
+TAG_CHARS = 65_536
 
 # Element names and attribute words of HTML by what they hold.
 HIDDEN = frozenset("script style noscript template iframe object canvas svg math head title select textarea option audio video".split())
@@ -48,13 +64,8 @@ WORDS = frozenset(
     "pagination pager toolbar widget".split()
 )
 
-_MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN_FLAG = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -82,6 +93,50 @@ def _role(name: str, attributes: str, inside: str) -> str:
     return ARTICLE if name in ("article", "main") else inside
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the ``>`` of a tag stands whose name ends at ``at``; one inside quotes only if none stands outside. -1 without one."""
+    place, limit = at, min(len(page), at + TAG_CHARS)
+    while True:
+        stop = _STOP.search(page, place, limit)
+        if not stop:
+            return page.find(">", at)
+        if stop[0] == ">":
+            return stop.start()
+        close = page.find(stop[0], stop.end(), limit)
+        if close < 0:
+            return page.find(">", at)
+        place = close + 1
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, closing slash, name, attributes) of markup in order; comments and declarations have no name.
+
+    The caller may send the place where to go on. A ``<`` that begins nothing is text. The cost is
+    proportional to the page: without any ``>`` ahead no tag is looked for.
+    """
+    at, last = 0, page.rfind(">")
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            found = (start, len(page) if end < 0 else end + 3, "", "", "")
+        elif start > last:
+            return
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            found = (start, page.find(">", start) + 1, "", "", "")
+        else:
+            name = _NAME.match(page, start + 1)
+            end = _tag_end(page, name.end()) if name else -1
+            if end < 0:
+                at = start + 1
+                continue
+            found = (start, end + 1, name[1], name[2], page[name.end() : end])
+        sent = yield found
+        at = max(found[1], sent or 0)
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(role, text) of the blocks of a page in page order; white space is one space, references decoded.
 
@@ -90,7 +145,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
     found: list[tuple[str, str]] = []
     held: list[str] = []
     stack: list[tuple[str, str]] = []
-    role, at, size = LOOSE, 0, len(page)
+    open_names: Counter[str] = Counter()
+    role, at, skip = LOOSE, 0, None
 
     def close_block() -> None:
         text = " ".join("".join(held).split())
@@ -98,24 +154,30 @@ def blocks(page: str) -> list[tuple[str, str]]:
             found.append((role, text))
         held.clear()
 
-    while at < size:
-        tag = _MARKUP.search(page, at)
-        text = page[at : tag.start()] if tag else page[at:]
+    def hold(text: str) -> None:
         if text:
             held.append(html.unescape(text) if "&" in text else text)
-        if not tag:
+
+    markup = tags(page)
+    while True:
+        try:
+            tag = markup.send(skip)
+        except StopIteration:
             break
-        at = tag.end()
-        closing, name, attributes = (tag[1], tag[2], tag[3]) if tag[2] else (tag[4], tag[5], tag[6])
+        skip = None
+        start, end, closing, name, attributes = tag
+        hold(page[at:start])
+        at = end
         if not name:
             continue
         name = name.lower()
         if name not in INLINE:
             close_block()
         if closing:
-            if any(name == open_name for open_name, _ in stack):
+            if open_names[name]:
                 while stack:
                     open_name, before = stack.pop()
+                    open_names[open_name] -= 1
                     if before != role:
                         close_block()
                         role = before
@@ -123,82 +185,183 @@ def blocks(page: str) -> list[tuple[str, str]]:
                         break
             continue
         if name in RAW:
-            end = _CLOSE[name].search(page, at)
-            at = end.end() if end else size
+            close = _CLOSE[name].search(page, at)
+            at = skip = close.end() if close else len(page)
             continue
         if name in VOID or attributes.endswith("/"):
             continue
         if name not in INLINE:
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p") and any(n == "p" for n, _ in stack):
+            while open_names["p"] and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
                 open_name, before = stack.pop()
+                open_names[open_name] -= 1
                 role = before
                 if open_name == "p":
                     break
         new = _role(name, attributes, role)
         stack.append((name, role))
+        open_names[name] += 1
         if new != role:
             close_block()
             role = new
+    hold(page[at:])
     close_block()
     return found
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """One pass over the html: the article's text, or the loose blocks, and all tokens outside articles.
+def stream(page: str) -> tuple[list[str], np.ndarray]:
+    """The tokens of all blocks that markup does not call furniture, and which of them stand in an article."""
+    tokens: list[str] = []
+    inside: list[bool] = []
+    for role, text in blocks(page):
+        if role != OTHER:
+            own = text.split(" ")
+            tokens += own
+            inside += [role == ARTICLE] * len(own)
+    return tokens, np.array(inside, bool)
 
-    ``content`` is a hash of the page's blocks: pages that are copies of each other count as one.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                cut = blocks(page or "")
-                article = " ".join(t for r, t in cut if r == ARTICLE)
-                loose = [] if article else [t for r, t in cut if r == LOOSE]
-                outside = [t for r, t in cut if r == OTHER or (r == LOOSE and article)]
-                digest = hashlib.blake2b(repr(cut).encode("utf-8", "replace"), digest_size=8).digest()
-                content = int.from_bytes(digest, "little", signed=True)
-                rows.append((page_id, url, article, loose, outside, content))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "article", "loose", "outside", "content"])
+def _long(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
-    schema = "page_id string, url string, article string, loose array<string>, outside array<string>, content long"
-    return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(run, schema)
 
+def run_key(tokens: list[str]) -> int:
+    return _long(" ".join(tokens).encode("utf-8", "replace"))
 
-def _host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
+def near_key(tokens: list[str], inside: np.ndarray, content: int) -> int:
+    """The smallest hash of NEAR_TOKENS consecutive article tokens; the content's own without that many."""
+    own = [t for t, i in zip(tokens, inside.tolist(), strict=True) if i]
+    if len(own) < NEAR_TOKENS:
+        return content
+    one = np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) for t in own), np.uint64, len(own))
+    total = np.zeros(len(own) - NEAR_TOKENS + 1, np.uint64)
+    for k in range(NEAR_TOKENS):
+        total = (total ^ one[k : k + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return int((total >> np.uint64(2)).min())
 
-def _suffixes(stream: DataFrame) -> DataFrame:
-    """(host, content, at, high, low): each position of a token stream with its first RUN_TOKENS tokens."""
-    last = F.size("tokens") - RUN_TOKENS
-    starts = stream.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    head = F.array_join(F.slice("tokens", F.col("at") + 1, RUN_TOKENS), " ")
-    keyed = starts.select("host", "content", "at", head.alias("head"))
-    return keyed.select("host", "content", "at", F.xxhash64("head").alias("high"), F.xxhash64(F.lit(1), "head").alias("low"))
 
+def repeats(streams: list[list[str]], contents: list[int], nears: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(key, pages, pages but for near copies) of the runs of RUN_TOKENS tokens on ``least`` contents or more.
 
-def _repeated(suffixes: DataFrame) -> DataFrame:
-    """(host, high, low) of the suffixes that stand on pages of different content."""
-    salt = F.pmod(F.xxhash64("content"), F.lit(SALTS))
-    ends = [F.min("content").alias("least"), F.max("content").alias("most")]
-    partial = suffixes.groupBy("host", "high", "low", salt.alias("salt")).agg(*ends)
-    ranged = partial.repartitionByRange("host", "high", "low").sortWithinPartitions("host", "high", "low", "least")
-    merged = ranged.groupBy("host", "high", "low").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    return merged.where("least <> most").select("host", "high", "low")
+    Suffixes of all streams are sorted by doubling: ranks of one token, then of two, four, ..., each from the
+    ranks of half the length. Every stream ends with a token of its own, so no run goes over its end.
+    """
+    number: dict[str, int] = {}
+    parts, owner = [], []
+    for at, tokens in enumerate(streams):
+        parts.append(np.array([number.setdefault(t, len(number)) for t in tokens] + [-1 - at], np.int64))
+        owner.append(np.full(len(tokens) + 1, at))
+    if not parts:
+        return
+    text, owner = np.concatenate(parts), np.concatenate(owner)
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    length = 1
+    while length < RUN_TOKENS:
+        ahead = min(length, RUN_TOKENS - length)
+        second = np.concatenate([rank[ahead:], np.full(ahead, -1)])
+        pair = rank * (len(rank) + 1) + second + 1
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)  # the order of suffixes to this depth
+        length += ahead
+    order = np.argsort(rank, kind="stable")
+    group, page = rank[order], owner[order]
+    content = np.unique(np.array(contents, np.int64), return_inverse=True)[1][page]
+    near = np.unique(np.array(nears, np.int64), return_inverse=True)[1][page]
+
+    def distinct(of: np.ndarray) -> np.ndarray:
+        return np.bincount(np.unique(group * (len(streams) + 1) + of) // (len(streams) + 1), minlength=int(group[-1]) + 1)
+
+    pages, apart = distinct(content), distinct(near)
+    first = order[np.searchsorted(group, np.arange(len(pages)))]
+    starts = np.cumsum([0] + [len(s) + 1 for s in streams])
+    for run in np.flatnonzero(pages >= least).tolist():
+        at = int(first[run])
+        place = at - int(starts[owner[at]])
+        found = streams[owner[at]][place : place + RUN_TOKENS]
+        if len(found) == RUN_TOKENS:
+            yield run_key(found), int(pages[run]), int(apart[run])
 
 
-def _unique_runs(loose: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(host, content, text): the tokens that no repeated run covers, for pages without an article."""
-    hit = _suffixes(loose).join(repeated, ["host", "high", "low"])
-    covered = hit.select("host", "content", F.explode(F.sequence(F.col("at"), F.col("at") + RUN_TOKENS - 1)).alias("at"))
-    dropped = covered.distinct()
-    # Tokens are told apart by their place; a page is no larger than its text.
-    tokens = loose.select("host", "content", F.posexplode("tokens").alias("at", "token"))
-    kept = tokens.join(dropped, ["host", "content", "at"], "left_anti")
-    runs = kept.groupBy("host", "content").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("run"))
-    return runs.select("host", "content", F.array_join(F.col("run.token"), " ").alias("unique"))
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def _chunked(pages: DataFrame) -> DataFrame:
+    """(host, chunk, content, near, text): the streams of all pages that have enough tokens for a run."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, chunks, page in zip(batch["host"], batch["chunks"].tolist(), batch["html"], strict=True):
+                tokens, inside = stream(page or "")
+                if len(tokens) >= RUN_TOKENS:
+                    text = " ".join(tokens)
+                    content = _long(text.encode("utf-8", "replace"))
+                    rows.append((host, content % chunks, content, near_key(tokens, inside, content), text))
+            yield pd.DataFrame(rows, columns=["host", "chunk", "content", "near", "text"])
+
+    hosted = pages.select(_host(F.col("url")).alias("host"), "html")
+    sizes = hosted.groupBy("host").agg(F.ceil(F.sum(F.length("html") + 1) / CHUNK_CHARS).cast("int").alias("chunks"))
+    sized = hosted.join(sizes, "host").select("host", F.greatest(F.lit(1), F.coalesce("chunks", F.lit(1))).alias("chunks"), "html")
+    return sized.mapInPandas(run, "host string, chunk int, content long, near long, text string")
+
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """(host, run, article): keys of the runs that are boilerplate, ``article`` if inside articles too; written."""
+    keys = ["host", "chunk"]
+
+    def found(host: str, chunk: int, streams: dict[int, tuple[int, str]]) -> list[tuple]:
+        contents, nears = list(streams), [n for n, _ in streams.values()]
+        least = max(2, int(len(contents) * LOOSE_SHARE / 2)) if len(contents) >= LOOSE_PAGES else len(contents) + 1
+        texts = [t.split(" ") for _, t in streams.values()]
+        rows = [(host, k, p, n) for k, p, n in repeats(texts, contents, nears, least)]
+        return [*rows, (host, None, len(contents), len(set(nears)))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, {}
+        for batch in batches:
+            out = []
+            for host, chunk, content, near, text in zip(*(batch[c].tolist() for c in (*keys, "content", "near", "text")), strict=True):
+                if (host, chunk) != last:
+                    if last is not None:
+                        out += found(*last, held)
+                    last, held = (host, chunk), {}
+                held.setdefault(content, (near, text))
+            yield _frame(out)
+        if last is not None:
+            yield _frame(found(*last, held))
+
+    ordered = _chunked(pages).repartition(*keys).sortWithinPartitions(*keys)
+    counted = written(ordered.mapInPandas(run, "host string, run string, pages long, apart long"), "runs")
+    sums = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("apart").alias("apart"))
+    hosts = sums.where(F.col("run").isNull()).select("host", F.col("pages").alias("all"), F.col("apart").alias("all_apart"))
+    judged = sums.where(F.col("run").isNotNull()).join(hosts, "host")
+    loose = (F.col("pages") >= LOOSE_PAGES) & (F.col("pages") >= LOOSE_SHARE * F.col("all"))
+    article = (F.col("apart") >= ARTICLE_PAGES) & (F.col("apart") >= ARTICLE_SHARE * F.col("all_apart"))
+    return written(judged.where(loose).select("host", F.col("run").cast("long").alias("run"), article.alias("article")), "boilerplate")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    # Keys travel as text: a null among long numbers would make them floats.
+    named = [(h, None if k is None else str(k), p, a) for h, k, p, a in rows]
+    return pd.DataFrame(named, columns=["host", "run", "pages", "apart"])
+
+
+def main_text(page: str, known: dict[int, bool]) -> str:
+    """The page's stream without boilerplate; ``known`` has the host's runs, True for those that count inside articles."""
+    tokens, inside = stream(page)
+    if known and len(tokens) >= RUN_TOKENS:
+        covered = np.zeros(len(tokens), bool)
+        for at in range(len(tokens) - RUN_TOKENS + 1):
+            article = known.get(run_key(tokens[at : at + RUN_TOKENS]))
+            if article or article is not None and not inside[at : at + RUN_TOKENS].any():
+                covered[at : at + RUN_TOKENS] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).view(np.int8)))
+        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if hi - lo > LONGEST:
+                covered[lo:hi] = False
+        tokens = [t for t, c in zip(tokens, covered.tolist(), strict=True) if not c]
+    return " ".join(tokens)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -207,16 +370,29 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty html give empty text; a null url belongs to the host without a name; repeated
     rows give repeated results; columns other than page_id, url and html are left out.
     """
-    parsed = written(_parsed(pages).withColumn("host", _host(F.col("url"))), "pages")
-    stream = F.flatten(F.transform(F.concat("loose", "outside"), lambda t: F.split(t, " ")))
-    pages_tokens = parsed.select("host", "content", stream.alias("tokens"))
-    loose_tokens = parsed.where(F.size("loose") > 0).select(
-        "host", "content", F.flatten(F.transform("loose", lambda t: F.split(t, " "))).alias("tokens")
-    )
-    repeated = _repeated(_suffixes(pages_tokens))
-    unique = _unique_runs(loose_tokens.dropDuplicates(["host", "content"]), repeated)
-    with_article = parsed.where(F.size("loose") == 0).select("page_id", "url", F.col("article").alias("text"))
-    without = parsed.where(F.size("loose") > 0).join(unique, ["host", "content"], "left")
-    rest = without.select("page_id", "url", F.coalesce("unique", F.lit("")).alias("text"))
-    both = with_article.unionByName(rest)
-    return both.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    runs = boilerplate(rows)
+    hosted = rows.withColumn("host", _host(F.col("url")))
+    few = runs.limit(SHARED_RUNS + 1).count() <= SHARED_RUNS
+    if few:
+        listed: dict[str, dict[int, bool]] = {}
+        for r in runs.collect():  # at most SHARED_RUNS
+            listed.setdefault(r["host"], {})[r["run"]] = r["article"]
+        shared = pages.sparkSession.sparkContext.broadcast(listed)
+        given = hosted.withColumns({"runs": F.lit(None).cast("array<long>"), "articles": F.lit(None).cast("array<boolean>")})
+    else:
+        shared = None
+        pair = F.array_sort(F.collect_list(F.struct("run", "article")))
+        per_host = runs.groupBy("host").agg(pair.alias("r")).select("host", F.col("r.run").alias("runs"), F.col("r.article").alias("articles"))
+        given = hosted.join(per_host, "host", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for host, page, runs, articles in zip(batch["host"], batch["html"], batch["runs"], batch["articles"], strict=True):
+                known = shared.value.get(host) if shared else None if runs is None else dict(zip(runs, articles, strict=True))
+                texts.append(main_text(page or "", known or {}))
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
+
+    made = given.select("page_id", "url", "host", "html", "runs", "articles").mapInPandas(run, "page_id string, url string, text string")
+    return made.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
