@@ -14,7 +14,7 @@ from rulewell.operators.parallel import spread
 from rulewell.operators.scoring import hashed_word_embedder
 from rulewell.plans.classify import RetrievalSettings, classify, query_prompts, retrieval_corpus
 from rulewell.session import written
-from rulewell.sources import csvfiles
+from rulewell.sources import csvfiles, vector_index
 from rulewell.workload.q_reshape import corpus_sql
 from rulewell.workload.registry import query
 from rulewell.workload.sqltext import RATIOS, cells_sql, dot_sql, scrub_sql
@@ -169,7 +169,11 @@ def global_topk(t: Tables) -> DataFrame:
     ),
 )
 def mean_vote(t: Tables) -> DataFrame:
-    return retrieval.mean_vote(_global(t)).withColumn("rule_violation", F.round("rule_violation", 6))
+    """The vote over the global neighbours, here from an index of the corpus that skips cells."""
+    flagged = t.corpus.withColumn("value", (F.col("value") == 1).cast("int"))
+    index = vector_index.build_index(flagged, t.scratch("index"), carry=("value",))
+    near = index.search(t.asked, 20, exclude_own="query_id")
+    return retrieval.mean_vote(near).withColumn("rule_violation", F.round("rule_violation", 6))
 
 
 RESOLVED = f"""resolved as (select q.rule as query_rule, q.rule as matched_rule, 'exact' as rule_match_type
