@@ -12,10 +12,11 @@ from math import ceil, log, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulewell.functions.sampling_keys import hash_key
 
-_BUCKET, _LEVEL, _OFFSET, _HASH = "__bucket", "__level", "__offset", "__hash"
+_BUCKET, _LEVEL, _FINE, _OFFSET, _HASH = "__bucket", "__level", "__fine", "__offset", "__hash"
 
 # Sampled keys per bucket when the bucket bounds are estimated.
 SAMPLE_PER_BUCKET = 200
@@ -49,8 +50,11 @@ def _quantile_bucketed(df: DataFrame, key: str, side: int | None) -> DataFrame:
         return F.size(F.filter(values, lambda b: b < F.col(key)))
 
     leveled = df.withColumn(_LEVEL, below(coarse))
-    fine = F.slice(F.array(*map(F.lit, bounds)), F.col(_LEVEL) * side + 1, side - 1)
-    return leveled.withColumn(_BUCKET, F.col(_LEVEL) * side + below(fine)).drop(_LEVEL)
+    # A row a level, of side - 1 bounds: at most MOST_SIDE squared numbers, kept out of the plan's expressions.
+    kind = T.StructType([T.StructField(_LEVEL, T.IntegerType()), T.StructField(_FINE, T.ArrayType(df.schema[key].dataType))])
+    fine = df.sparkSession.createDataFrame([(i, bounds[i * side : (i + 1) * side - 1]) for i in range(side)], kind)
+    placed = leveled.join(F.broadcast(fine), _LEVEL)
+    return placed.withColumn(_BUCKET, F.col(_LEVEL) * side + below(F.col(_FINE))).drop(_LEVEL, _FINE)
 
 
 def number_rows(

@@ -1,4 +1,7 @@
-"""Table schemas. Labels are always read as text: their spelling is cleaned later."""
+"""Table schemas. Labels are always read as text: their spelling is cleaned later.
+
+Fixed values: all column names and their order in this file are those of the input and output files.
+"""
 
 from __future__ import annotations
 

@@ -47,11 +47,7 @@ def build_session(app: str = "rulewell", master: str | None = None, **conf: str)
     return spark
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared directory named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only in local mode, where driver and executors share a disk.
-    """
+def _scratch_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -59,7 +55,25 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         if not _LOCAL_BASE:
             _LOCAL_BASE.append(tempfile.TemporaryDirectory(prefix="rulewell-", ignore_cleanup_errors=True))
         base = _LOCAL_BASE[0].name
-    return f"{base.rstrip('/')}/rulewell-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/rulewell-{spark.sparkContext.applicationId}"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared directory named by ``spark.checkpoint.dir``.
+
+    A machine-local folder is used only in local mode, where driver and executors share a disk.
+    """
+    return f"{_scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove all that this application has written as scratch; whether there was anything.
+
+    Results read scratch tables when they are computed, so this belongs after the last of them has been
+    stored. Other applications' folders under the same directory stay.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_base(spark))
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -109,3 +109,25 @@ def test_samples_of_a_huge_product_cost_what_they_draw(spark):
 
     draws = spark.range(200).select(permuted("id", 10**11, 21).alias("p"))
     assert draws.distinct().count() == 200  # 10^11 pair numbers, 200 digests
+
+
+def test_bounds_are_a_table_of_levels(spark):
+    from rulewell.operators.numbering import number_rows
+
+    frame = spark.range(0, 3000, 3).selectExpr("id as k")
+    numbered = number_rows(frame, "k", side=40)
+    assert [r.rn for r in numbered.orderBy("k").collect()] == list(range(1000))
+    assert len(numbered._jdf.queryExecution().analyzed().toString()) < 60_000
+
+
+def test_scratch_of_the_application_can_be_removed(spark, tmp_path, monkeypatch):
+    from rulewell import session
+
+    own = f"{tmp_path}/rulewell-{spark.sparkContext.applicationId}"
+    assert session._scratch_base(spark).endswith(f"rulewell-{spark.sparkContext.applicationId}")
+    monkeypatch.setattr(session, "_scratch_base", lambda spark: own)
+    (tmp_path / "rulewell-other").mkdir()
+    assert session.written(spark.range(5), "five").count() == 5
+    assert session.scratch_folder(spark, "x").startswith(f"{own}/x-")
+    assert session.clear_scratch(spark) and not session.clear_scratch(spark)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["rulewell-other"]
