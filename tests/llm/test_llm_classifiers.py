@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rulewell.llm import quality_classifier, queries, toxicity
@@ -152,3 +154,32 @@ def test_pipeline_stage_by_stage(spark, data_dir):
         kept, held = now, out
     assert corpus_pipeline.run(spark, data_dir).count() == out.count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_on_odd_rows(spark, data_dir, docs_of):
+    """Nulls, empty texts, repeated rows, shared and missing numbers, and columns that clash with the stages' own."""
+    draw = random.Random(12)
+    prose = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").orderBy("doc_id").limit(30).collect()]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(3, prose[3]), (4, prose[5] + " tail"), (None, prose[6]), (None, prose[6]), (90, None), (91, ""), (92, "\n")]
+    rows += [(200 + i, f"{prose[i]}\nThe shared footer\n" + " ".join(words(draw, 30))) for i in range(12)]
+    names = ["score", "kept", "kept_text", "n_lines", "n_dropped", "__kept", "component_id", "words", "__text_b"]
+    held = docs_of(rows).select("doc_id", "text", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    columns = held.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text) for r in held.collect()]
+        held = stage(spark, held, data_dir)
+        after = held.collect()
+        assert held.columns == columns
+        assert all(r[n] == (None if r.doc_id is None else f"{n}:{r.doc_id}") for r in after for n in names)
+        if name == "line dedup":
+            want = {(d, h) for d, _, _, h in brute_lines(before, 10)}
+            assert {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in after} == want and len(after) == len(before)
+        if name == "n-gram Jaccard join":
+            kept = {c for d, _, c in brute_components(before, 5, 80) if d is not None}
+            wanted = {(d, t) for d, t in before if d in kept}
+            assert sorted((r.doc_id, r.text) for r in after if r.doc_id is not None) == sorted(wanted)
+            assert sum(r.doc_id is None for r in after) == sum(d is None for d, _ in before)
+    packed = corpus_pipeline.STAGES[-1][1](spark, held, data_dir)
+    assert packed.select("doc_id").distinct().count() == held.select("doc_id").distinct().count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs_of([]), data_dir).collect() == []
