@@ -228,7 +228,8 @@ def learned(sequences: DataFrame) -> Grammar:
             for batch in batches:
                 for symbols in batch["symbols"]:
                     pair_counts(held.compressed(symbols), counts)
-            yield pd.DataFrame({"pair": list(counts.keys()), "n": list(counts.values())})
+            if counts:
+                yield pd.DataFrame({"pair": list(counts.keys()), "n": list(counts.values())})
 
         found = sequences.select("symbols").mapInPandas(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         room = min(RULES_A_PASS, MAX_RULES - len(rules))

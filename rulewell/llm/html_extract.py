@@ -327,7 +327,8 @@ def boilerplate(pages: DataFrame) -> DataFrame:
                         out += found(*last, held)
                     last, held = (host, chunk), {}
                 held.setdefault(content, (near, text))
-            yield _frame(out)
+            if out:
+                yield _frame(out)
         if last is not None:
             yield _frame(found(*last, held))
 

@@ -289,7 +289,8 @@ def shingle_ranks(docs: DataFrame, size: int) -> np.ndarray:
             add()
         parts = counters.reshape(SKETCH_BLOCKS, width)
         some = [i for i in range(SKETCH_BLOCKS) if parts[i].any()]
-        yield pd.DataFrame({"block": np.array(some, np.int32), "counts": [parts[i].tobytes() for i in some]})
+        if some:
+            yield pd.DataFrame({"block": np.array(some, np.int32), "counts": [parts[i].tobytes() for i in some]})
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -298,7 +299,8 @@ def shingle_ranks(docs: DataFrame, size: int) -> np.ndarray:
                 own = sums.setdefault(block, np.zeros(width, np.int64))
                 own += np.frombuffer(counts, np.uint8)
         ranks = [np.minimum(255, np.round(12 * np.log2(1 + own))).astype(np.uint8).tobytes() for own in sums.values()]
-        yield pd.DataFrame({"block": np.array(list(sums), np.int32), "ranks": ranks})
+        if ranks:
+            yield pd.DataFrame({"block": np.array(list(sums), np.int32), "ranks": ranks})
 
     counted = docs.select("text").mapInPandas(count, "block int, counts binary").repartition("block")
     out = np.zeros((SKETCH_BLOCKS, width), np.uint8)
