@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from rulewell.functions import vectors
 from rulewell.functions.stopwords import ENGLISH
-from rulewell.operators import evaluation, retrieval, sampling, similarity
+from rulewell.operators import evaluation, retrieval, similarity
 from rulewell.operators.nearest import nearest
 from rulewell.operators.parallel import spread
 from rulewell.operators.scoring import hashed_word_embedder
