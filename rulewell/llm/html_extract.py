@@ -301,8 +301,10 @@ def _chunked(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "chunk", "content", "near", "text"])
 
     hosted = pages.select(_host(F.col("url")).alias("host"), "html")
-    sizes = hosted.groupBy("host").agg(F.ceil(F.sum(F.length("html") + 1) / CHUNK_CHARS).cast("int").alias("chunks"))
-    sized = hosted.join(sizes, "host").select("host", F.greatest(F.lit(1), F.coalesce("chunks", F.lit(1))).alias("chunks"), "html")
+    chunks = F.ceil(F.sum(F.length("html") + 1) / CHUNK_CHARS).cast("int")
+    # Hosts of one chunk are not listed. A table of known size: where it is small, pages are not shuffled for it.
+    large = written(hosted.groupBy("host").agg(chunks.alias("chunks")).where("chunks > 1"), "hosts")
+    sized = hosted.join(large, "host", "left").select("host", F.coalesce("chunks", F.lit(1)).alias("chunks"), "html")
     return sized.mapInPandas(run, "host string, chunk int, content long, near long, text string")
 
 
