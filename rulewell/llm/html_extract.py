@@ -26,6 +26,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -247,11 +248,12 @@ def repeats(streams: list[list[str]], contents: list[int], nears: list[int], lea
     Suffixes of all streams are sorted by doubling: ranks of one token, then of two, four, ..., each from the
     ranks of half the length. Every stream ends with a token of its own, so no run goes over its end.
     """
-    number: dict[str, int] = {}
-    parts, owner = [], []
+    number: dict[str, int] = {}  # each token as the place where it first stands
+    parts, owner, size = [], [], 0
     for at, tokens in enumerate(streams):
-        parts.append(np.array([number.setdefault(t, len(number)) for t in tokens] + [-1 - at], np.int64))
+        parts += [np.fromiter(map(number.setdefault, tokens, count(size)), np.int64, len(tokens)), np.array([-1 - at])]
         owner.append(np.full(len(tokens) + 1, at))
+        size += len(tokens)
     if not parts:
         return
     text, owner = np.concatenate(parts), np.concatenate(owner)
@@ -269,7 +271,9 @@ def repeats(streams: list[list[str]], contents: list[int], nears: list[int], lea
     near = np.unique(np.array(nears, np.int64), return_inverse=True)[1][page]
 
     def distinct(of: np.ndarray) -> np.ndarray:
-        return np.bincount(np.unique(group * (len(streams) + 1) + of) // (len(streams) + 1), minlength=int(group[-1]) + 1)
+        pair = np.sort(group * (len(streams) + 1) + of)
+        first = np.concatenate([[True], pair[1:] != pair[:-1]])
+        return np.bincount(pair[first] // (len(streams) + 1), minlength=int(group[-1]) + 1)
 
     pages, apart = distinct(content), distinct(near)
     first = order[np.searchsorted(group, np.arange(len(pages)))]
