@@ -12,8 +12,10 @@ as Parquet and read again:
 5. best-fit packing: one row per piece of a document, with its place in a sequence.
 
 Both classifiers learn from the labelled rows of the given documents outside their held-out folds.
-The stages handle nulls, empty texts, ties and repeated rows as their operators do; all but the last
-return the columns of their input.
+The stages handle ties as their operators do; all but the last return the columns of their input, whatever
+their names. Null texts are scored as empty ones; a kept one leaves the third stage as an empty text and is nobody's
+near duplicate. Repeated rows are judged alike and become one row in the fourth stage; rows that share a number but
+not their text, and rows without a number, all stay there. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,27 +35,35 @@ MIN_DOCUMENTS = 10
 ORACLE_SQL = None
 
 
+def _shielded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` on documents whose other columns have names that none of its own can clash with."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    hidden = {c: f"column {i}" for i, c in enumerate(others)}
+    done = stage(docs.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns]))
+    return done.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, model, "__score")
-    return scored.where(F.col("__score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    return _shielded(docs, lambda rows: quality_classifier.score(rows, model, "score").where(F.col("score") >= quality_classifier.THRESHOLD))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, "__score")
-    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    return _shielded(docs, lambda rows: toxicity.score(rows, model, "score").where(F.col("score") < toxicity.THRESHOLD))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bitmaps = line_dedup.drop_bitmaps(docs, MIN_DOCUMENTS, keep_first=False)
-    kept = line_dedup.with_kept_text(docs, bitmaps, "__kept")
-    renewed = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
-    return kept.select(*[renewed[c].alias(c) if c in renewed else F.col(c) for c in docs.columns])
+    def stage(rows: DataFrame) -> DataFrame:
+        bitmaps = line_dedup.drop_bitmaps(rows, MIN_DOCUMENTS, keep_first=False)
+        kept = line_dedup.with_kept_text(rows, bitmaps, "kept").withColumn("text", F.col("kept"))
+        return kept.withColumn("n_chars", F.length("kept").cast("long")) if "n_chars" in rows.columns else kept
+
+    return _shielded(docs, stage)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs, size=5, percent=80).select(*docs.columns)
+    return _shielded(docs, lambda rows: jaccard_join.one_of_each(rows, size=5, percent=80))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
