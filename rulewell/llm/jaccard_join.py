@@ -266,13 +266,7 @@ def shingle_ranks(docs: DataFrame, size: int) -> np.ndarray:
     width = SKETCH // SKETCH_BLOCKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters = np.zeros(SKETCH, np.uint8)
-        held, total, seen = [], 0, set()
-
-        def add() -> None:
-            more = np.bincount(np.concatenate(held).astype(np.intp), minlength=SKETCH)
-            counters[:] = np.minimum(counters + more, 255)
-
+        counters, seen, total = np.zeros(SKETCH, np.uint16), set(), 0
         for batch in batches:
             for text in batch["text"]:
                 found = shingles(text, size)
@@ -280,14 +274,12 @@ def shingle_ranks(docs: DataFrame, size: int) -> np.ndarray:
                 if mark in seen:  # a copy of a set in this stretch adds nothing to the order
                     continue
                 seen.add(mark)
-                held.append(_slot(found, SKETCH))
+                np.add.at(counters, _slot(found, SKETCH).astype(np.intp), 1)
                 total += len(found)
                 if total >= COUNT_BATCH:
-                    add()
-                    held, total, seen = [], 0, set()
-        if held:
-            add()
-        parts = counters.reshape(SKETCH_BLOCKS, width)
+                    np.minimum(counters, 255, out=counters)
+                    seen, total = set(), 0
+        parts = np.minimum(counters, 255).astype(np.uint8).reshape(SKETCH_BLOCKS, width)
         some = [i for i in range(SKETCH_BLOCKS) if parts[i].any()]
         if some:
             yield pd.DataFrame({"block": np.array(some, np.int32), "counts": [parts[i].tobytes() for i in some]})
