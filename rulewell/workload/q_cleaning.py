@@ -30,7 +30,7 @@ def drop_incomplete(t: Tables) -> DataFrame:
 
 @query("b02_drop_null_subset", sql("select row_id, violates_rule, positive_example_1 from wide where violates_rule is not null"))
 def drop_null_subset(t: Tables) -> DataFrame:
-    return cleaning.drop_missing(t.wide, ["violates_rule"]).select("row_id", "violates_rule", "positive_example_1")
+    return cleaning.drop_missing(t.wide_with("positive_example_1"), ["violates_rule"]).select("row_id", "violates_rule", "positive_example_1")
 
 
 @query(
@@ -48,7 +48,7 @@ def null_audit(t: Tables) -> DataFrame:
 
 
 def _labelled(t: Tables, column) -> DataFrame:
-    return t.wide.select("row_id", column.alias("label"))
+    return t.wide_with().select("row_id", column.alias("label"))
 
 
 @query(
@@ -116,7 +116,7 @@ def norm_bool(t: Tables) -> DataFrame:
 
 @query("b10_norm_truefalse", sql("select row_id, violates_rule from wide where violates_rule in ('True', 'False')"))
 def norm_truefalse(t: Tables) -> DataFrame:
-    return t.wide.filter(labels.is_true_false("violates_rule")).select("row_id", "violates_rule")
+    return t.wide_with().filter(labels.is_true_false("violates_rule")).select("row_id", "violates_rule")
 
 
 @query(
@@ -128,7 +128,7 @@ def norm_truefalse(t: Tables) -> DataFrame:
     ),
 )
 def label_to_int(t: Tables) -> DataFrame:
-    return t.wide.select(
+    return t.wide_with().select(
         "row_id",
         labels.yes_no_to_int("violates_rule").alias("as_int"),
         labels.int_to_yes_no("rule_violation").alias("as_yes_no"),
@@ -144,7 +144,7 @@ def label_to_int(t: Tables) -> DataFrame:
     ),
 )
 def signed_value(t: Tables) -> DataFrame:
-    marked = t.wide.select("row_id", F.coalesce("rule_violation", F.lit(100)).alias("rule_violation"))
+    marked = t.wide_with().select("row_id", F.coalesce("rule_violation", F.lit(100)).alias("rule_violation"))
     return signed_values(marked)
 
 
@@ -180,7 +180,7 @@ def min_words(t: Tables) -> DataFrame:
 
 @query("b16_blank_filter", sql(r"select row_id, positive_example_1 from wide where regexp_matches(positive_example_1, '\S')"))
 def blank_filter(t: Tables) -> DataFrame:
-    return cleaning.drop_blank(t.wide, "positive_example_1").select("row_id", "positive_example_1")
+    return cleaning.drop_blank(t.wide_with("positive_example_1"), "positive_example_1").select("row_id", "positive_example_1")
 
 
 @query(
@@ -207,7 +207,7 @@ def scrub(t: Tables) -> DataFrame:
 )
 def concat_collapse(t: Tables) -> DataFrame:
     joined = text.concat_collapse("violates_rule", "positive_example_1", "test_comment")
-    return t.wide.select("row_id", joined.alias("combined"))
+    return t.wide_with("positive_example_1").select("row_id", joined.alias("combined"))
 
 
 @query(
@@ -235,7 +235,7 @@ def seen_once(t: Tables) -> DataFrame:
 
 @query("b21_distinct_values", sql("select distinct violates_rule from wide"))
 def distinct_values(t: Tables) -> DataFrame:
-    return cleaning.distinct_values(t.wide, "violates_rule")
+    return cleaning.distinct_values(t.wide_with(), "violates_rule")
 
 
 _BOOL = r"""case when lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')) in ('true', '1', 'yes', 'y') then true

@@ -26,7 +26,7 @@ from rulewell.workload.tables import Tables, sql
 
 @query("i01_value_counts", sql("select violates_rule, count(*) as count from wide where violates_rule is not null group by 1"))
 def value_counts(t: Tables) -> DataFrame:
-    return profiling.value_counts(t.wide, "violates_rule")
+    return profiling.value_counts(t.wide_with(), "violates_rule")
 
 
 @query(
@@ -49,7 +49,7 @@ _COUNTED = ("subreddit", "rule", "violates_rule", "positive_example_1")
     sql(" union all ".join(f"select '{c}' as column_name, count(distinct {c}) as distinct_values from wide" for c in _COUNTED)),
 )
 def distinct_count(t: Tables) -> DataFrame:
-    return profiling.distinct_counts(t.wide, _COUNTED)
+    return profiling.distinct_counts(t.wide_with("positive_example_1"), _COUNTED)
 
 
 @query(
@@ -80,7 +80,7 @@ def histogram(t: Tables) -> DataFrame:
 )
 def generation_summary(t: Tables) -> DataFrame:
     rows = result_rows(t).select("row_id", "formatted_rule", "positive_example_1", "error")
-    summary = profiling.generation_summary(rows.join(t.train.select("row_id", "subreddit", "rule"), "row_id"))
+    summary = profiling.generation_summary(rows.join(t.train_with().select("row_id", "subreddit", "rule"), "row_id"))
     return summary.withColumns({c: F.round(c, 6) for c in ("success_percent", "error_percent")})
 
 
@@ -108,7 +108,7 @@ def clarity_counts(t: Tables) -> DataFrame:
     ),
 )
 def class_balance(t: Tables) -> DataFrame:
-    return profiling.class_balance(t.wide)
+    return profiling.class_balance(t.wide_with())
 
 
 @query(

@@ -19,7 +19,7 @@ _SCORED = """numbered as (select row_id, (row_number() over (order by row_id) -
 
 
 def _scores(t: Tables) -> DataFrame:
-    return scoring.predict_batches(t.wide, DigestModel, "row_id", ["test_comment"])
+    return scoring.predict_batches(t.wide_with(), DigestModel, "row_id", ["test_comment"])
 
 
 @query(
@@ -60,7 +60,7 @@ def failed_batches(t: Tables) -> DataFrame:
     ),
 )
 def generate_batches(t: Tables) -> DataFrame:
-    prompts = t.wide.select("row_id", short_prompt("test_comment").alias("prompt"))
+    prompts = t.wide_with().select("row_id", short_prompt("test_comment").alias("prompt"))
     return scoring.generate_batches(prompts, length_generator, "row_id", "prompt")
 
 

@@ -37,8 +37,8 @@ def csv_scan(t: Tables) -> DataFrame:
 )
 def glob_union(t: Tables) -> DataFrame:
     base = t.scratch("batches")
-    csvfiles.write_csv(t.train.select("row_id", "rule", "test_comment", "violates_rule"), f"{base}/train_1")
-    csvfiles.write_csv(t.test.select("row_id", "rule", "test_comment"), f"{base}/more_1")
+    csvfiles.write_csv(t.train_with().select("row_id", "rule", "test_comment", "violates_rule"), f"{base}/train_1")
+    csvfiles.write_csv(t.test_with().select("row_id", "rule", "test_comment"), f"{base}/more_1")
     both = csvfiles.glob_union(t.spark, [f"{base}/*train*/*.csv", f"{base}/*more*/*.csv"])
     return both.withColumn("row_id", F.col("row_id").cast("long"))
 
@@ -79,7 +79,7 @@ def file_provenance(t: Tables) -> DataFrame:
 @query("a06_submission_sink", sql("select row_id, rule_violation from train"))
 def submission_sink(t: Tables) -> DataFrame:
     path = t.scratch("submission")
-    csvfiles.write_submission(t.train, path)
+    csvfiles.write_submission(t.train_with(), path)
     return csvfiles.csv_scan(t.spark, path, T.StructType.fromDDL("row_id long, rule_violation int"))
 
 
@@ -111,7 +111,7 @@ def corpus_store(t: Tables) -> DataFrame:
     ),
 )
 def batch_checkpoint_sink(t: Tables) -> DataFrame:
-    batches = number_rows(t.wide.select("row_id", "test_comment"), "row_id").selectExpr(
+    batches = number_rows(t.wide_with().select("row_id", "test_comment"), "row_id").selectExpr(
         "row_id", "test_comment", "rn div 200 AS batch_id"
     )
     path = t.scratch("processed")
@@ -148,8 +148,8 @@ def batch_ingest_stream(t: Tables) -> DataFrame:
 )
 def derived_lists(t: Tables) -> DataFrame:
     base = t.scratch("lists")
-    csvfiles.write_csv(csvfiles.rule_list(t.wide.select("row_id", "rule"), "rule", ["row_id"]), f"{base}/rules")
-    communities = csvfiles.community_list(t.wide.select("row_id", "rule", "subreddit"), "rule", "subreddit", ["row_id"])
+    csvfiles.write_csv(csvfiles.rule_list(t.wide_with().select("row_id", "rule"), "rule", ["row_id"]), f"{base}/rules")
+    communities = csvfiles.community_list(t.wide_with().select("row_id", "rule", "subreddit"), "rule", "subreddit", ["row_id"])
     csvfiles.write_csv(communities, f"{base}/communities")
     rules = csvfiles.csv_scan(t.spark, f"{base}/rules").select(F.lit("rule").alias("kind"), F.col("rule").alias("value"))
     names = csvfiles.csv_scan(t.spark, f"{base}/communities")
