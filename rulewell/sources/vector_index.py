@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewell.operators.nearest import DIGITS, best_places, dense_matrix, key_runs, round_half_up
+from rulewell.operators.nearest import DIGITS, best_cells, dense_matrix, key_runs
 from rulewell.session import written
 
 MAX_CELLS, K_MEANS_ROUNDS = 1024, 8
 # What the sample, a held chunk of a cell, and one product of a chunk with queries may weigh.
-SAMPLE_BYTES, CHUNK_BYTES, PRODUCT_CELLS = 32 << 20, 16 << 20, 4_000_000
+SAMPLE_BYTES, CHUNK_BYTES, PRODUCT_CELLS = 32 << 20, 16 << 20, 1 << 20
 # Queries of one group that look at the list of its cells in one task.
 QUERY_ROWS = 65_536
 # Angles and lengths are rounded sums; the bound gives way by this much.
@@ -235,8 +235,8 @@ class VectorIndex:
         ordered = both.select("g", "salt", "side", "qid", "vec", "floor", *names).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "side")
         return ordered.mapInArrow(choose, schema)
 
-    def _read(self, asked: DataFrame, visits: DataFrame, k: int, exclude: bool) -> DataFrame:
-        """(qid, id, carry, similarity): each query's best k of every chunk it asked for."""
+    def _read(self, asked: DataFrame, visits: DataFrame, k: int, exclude: bool, floors: DataFrame | None = None) -> DataFrame:
+        """(qid, id, carry, similarity): each query's best k of every chunk it asked for, with floors only those that reach its own."""
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         loads = visits.groupBy("g", "cell", "n", "chunks").agg(F.count(F.lit(1)).alias("nq"))
         loads = written(loads, "loads")
@@ -252,6 +252,7 @@ class VectorIndex:
             {"block": F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(1)}
         )
         stream = placed.select("g", "cell", "chunk", "block", "side", "qid").join(asked.select("qid", "vec", "own"), "qid")
+        stream = stream.join(floors, "qid", "left") if floors is not None else stream.withColumn("floor", F.lit(None).cast("double"))
         both = held.unionByName(stream, allowMissingColumns=True)
         kinds = both.schema
         schema = T.StructType([kinds["qid"], kinds["id"], kinds["carry"], T.StructField("similarity", T.DoubleType())])
@@ -273,18 +274,18 @@ class VectorIndex:
                 queries = part.slice(n)
                 left = dense_matrix(queries["vec"], None)
                 theirs = np.array(queries["own"].to_pylist(), object) if exclude else None
+                floor = queries["floor"].to_numpy().astype(np.float64)
+                floor = np.where(np.isnan(floor), -np.inf, floor)
                 step = max(1, PRODUCT_CELLS // max(1, right.shape[1]))
                 for at in range(0, len(left), step):
-                    similar = round_half_up(left[at : at + step] @ right, DIGITS)
-                    if exclude:
-                        similar[theirs[at : at + step, None] == mine[None, :]] = -np.inf
-                    rows, cols = best_places(similar, k)
+                    own = theirs[at : at + step] if exclude else None
+                    rows, cols, scores = best_cells(left[at : at + step] @ right, floor[at : at + step], k, DIGITS, own, mine)
                     if len(rows):
                         picked, found = pa.array(cols), pa.array(rows + at)
-                        columns = [queries["qid"].take(found), corpus["id"].take(picked), corpus["carry"].take(picked), pa.array(similar[rows, cols])]
+                        columns = [queries["qid"].take(found), corpus["id"].take(picked), corpus["carry"].take(picked), pa.array(scores)]
                         yield from pa.table(columns, names=["qid", "id", "carry", "similarity"]).combine_chunks().to_batches()
 
-        ordered = both.select(*_VISIT, "side", "qid", "id", "own", "vec", "carry").repartition(*_VISIT).sortWithinPartitions(*_VISIT, "side", "id")
+        ordered = both.select(*_VISIT, "side", "qid", "id", "own", "vec", "carry", "floor").repartition(*_VISIT).sortWithinPartitions(*_VISIT, "side", "id")
         return ordered.mapInArrow(search, schema)
 
     def search(
@@ -329,4 +330,4 @@ class VectorIndex:
         first = written(best(self._read(asked, near, k, exclude)), "first")
         floors = first.filter(F.col("rank") == k).select("qid", F.col("similarity").alias("floor"))
         far = written(self._visits(asked, least, floors), "visits")
-        return best(first.drop("rank").unionByName(self._read(asked, far, k, exclude))), near.unionByName(far)
+        return best(first.drop("rank").unionByName(self._read(asked, far, k, exclude, floors))), near.unionByName(far)
