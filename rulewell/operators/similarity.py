@@ -32,6 +32,16 @@ def _terms(text: str, stop_words: Sequence[str]) -> Column:
 SUMMARY, CANDIDATE_LIMIT = 16, 1 << 18
 
 
+# Rows of an Arrow batch whose tokens are held as arrays at a time.
+PIECE_ROWS = 512
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
 def _flat(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(row, token) of a list column; null lists have none."""
     sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
@@ -48,7 +58,7 @@ def term_summaries(tokens: DataFrame, kept: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, error = pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), 0
-        for batch in batches:
+        for batch in _pieces(batches):
             counts = _flat(batch.column(0))[1].value_counts()
             new = pa.table({"term": counts.field("values").cast(pa.string()), "n": counts.field("counts")})
             held = pa.concat_tables([held, new]).group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"])
@@ -88,7 +98,7 @@ def frequent_terms(tokens: DataFrame, wanted: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = shared.value
         total, df = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             rows, flat = _flat(batch.column(0))
             place = pc.fill_null(pc.index_in(flat, value_set=listed.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
             rows, place = rows[place >= 0], place[place >= 0].astype(np.int64)
@@ -128,7 +138,7 @@ def tfidf_vectors(
     vector = T.StructType([T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows, flat = _flat(batch.column(1))
             place = pc.fill_null(pc.index_in(flat, value_set=terms.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
             pair, tf = np.unique(rows[place >= 0] * max(1, len(terms)) + place[place >= 0], return_counts=True)

@@ -23,7 +23,7 @@ from rulewell.session import written
 
 # The held side may weigh so many bytes in a task; one block of at most this size is given to all tasks, several are dealt out.
 BLOCK_BYTES, ENTRY_BYTES = 32 << 20, 16
-# Candidate entries compared at a time.
+# Entries of inverted lists read, and candidate entries compared, at a time.
 PIECE = 1 << 20
 SLACK = 1e-9
 
@@ -79,6 +79,15 @@ class Postings:
         bound = np.bincount(rows, np.abs(weights) * self.top[terms], minlength=len(vectors))
         open_rows = bound[rows] >= self.threshold - SLACK
         rows, terms, weights = rows[open_rows], terms[open_rows], weights[open_rows]
+        # Whole rows together, as many as their lists allow.
+        read = self.start[terms + 1] - self.start[terms]
+        piece = ((np.cumsum(read) - read) // PIECE)[np.searchsorted(rows, rows)]
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(rows)]
+        parts = [self._best(rows[lo:hi], terms[lo:hi], weights[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        left, right, similar = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return left, right, similar
+
+    def _best(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right = self._candidates(rows, terms, weights)
         first, sizes = np.searchsorted(rows, left), np.searchsorted(rows, left, "right") - np.searchsorted(rows, left)
         similar = np.zeros(len(left))
