@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from rulewell.operators import nearest as search
-from rulewell.operators import sampling, similarity, sparse_join
+from rulewell.operators import retrieval, sampling, similarity, sparse_join
 
 
 @pytest.mark.parametrize("own", [False, True])
@@ -61,3 +61,19 @@ def test_lists_are_read_piece_by_piece(monkeypatch):
     monkeypatch.setattr(sparse_join, "PIECE", 200)
     assert [x.tolist() for x in postings.best(asked)] == whole and len(whole[0]) > 40
     assert max(sizes) < 20 and sum(sizes) <= 80
+
+
+def test_overlap_beside_the_group_words_equals_the_bounded_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(retrieval, "HELD_ROWS", 7)
+    words = [[int(w) for w in rng.choice(40, rng.integers(0, 12), replace=False)] for _ in range(90)]
+    words[3], words[50] = None, []
+    group = [i % 3 for i in range(90)]
+    docs = spark.createDataFrame([(i, words[i], group[i]) for i in range(30, 90)], "row_id long, words array<long>, group long")
+    asked = spark.createDataFrame([(i, words[i], group[i]) for i in range(30)], "query_id long, words array<long>, group long")
+    pairs = [(q, c, float(rng.integers(0, 3)), int(c)) for q in range(29) for c in range(30, 90) if group[q] == group[c] and rng.random() < 0.6]
+    found = spark.createDataFrame(pairs, "query_id long, row_id long, similarity double, value int")
+    plain = retrieval.rerank_by_overlap(found, asked.drop("group"), docs.drop("group"), 4)
+    beside = retrieval.rerank_by_overlap(found, asked, docs, 4, group="group")
+    assert sorted(map(tuple, beside.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert plain.count() > 100 and len({r[0] for r in pairs}) == 29
