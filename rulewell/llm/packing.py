@@ -12,6 +12,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 
 SEQUENCE_TOKENS = 2048
 OPEN_SEQUENCES = 512
-CACHE_ENTRIES = 1 << 20
+# A generation of the cache: so many chunks, or so many characters of them. A task holds two, and lets them go at its end.
+CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 1 << 22
 _TASK_SHIFT = 40
 
 
@@ -80,37 +82,58 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
+        # Byte-level names write a space as this letter.
+        self._opens = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._opens[[i for name, i in self._tokenizer.get_vocab().items() if name[0] == "\u0120"]] = True
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._unsafe = re.compile(r"\s \s").search
         # Two generations: a full young one becomes the old one, so chunks in use survive.
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._chars = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = []
         for i in range(0, len(texts), 256):
             encoded = self._tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)
-            found += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+            found += [array("I", e.ids).tobytes() for e in encoded]
         return found
 
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks behind a space. Many go to the tokenizer as one text, whose ids are cut where a space opens one."""
+        found: dict[str, bytes] = {}
+        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
+        runs = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for run, packed in zip(runs, self._ids([" " + " ".join(r) for r in runs]), strict=True):
+            starts = (4 * np.flatnonzero(self._opens[np.frombuffer(packed, "<u4")])).tolist()
+            if len(starts) == len(run):
+                found.update((c, packed[i:j]) for c, i, j in zip(run, starts, [*starts[1:], len(packed)], strict=True))
+        alone = [c for c in chunks if c not in found]
+        found.update(zip(alone, self._ids([" " + c for c in alone]), strict=True))
+        return [found[c] for c in chunks]
+
+    def forget(self) -> None:
+        self._known, self._old, self._chars = {}, {}, 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; memory is that of the batch and a cache of bounded size."""
-        if len(self._known) > CACHE_ENTRIES:
-            self._known, self._old = {}, self._known
-        known, chunked, whole = self._known, {}, []
+        if len(self._known) > CACHE_ENTRIES or self._chars > CACHE_CHARS:
+            self._known, self._old, self._chars = {}, self._known, 0
+        known, firsts, chunked, whole = self._known, [], {}, []
         for i, text in enumerate(texts):
             if self._unsafe(text) or any(s in text for s in self._specials):
                 whole.append(i)
             else:
-                chunked[i] = text.split(" ")
-        missing = {c for chunks in chunked.values() for c in chunks[1:] if c not in known}
+                first, *chunked[i] = text.split(" ")
+                firsts.append(first)
+        missing = set().union(*chunked.values()).difference(known)
         known.update({c: self._old[c] for c in missing if c in self._old})
-        new = [c for c in missing if c not in known]
-        known.update(zip(new, self._ids([" " + c for c in new]), strict=True))
-        firsts = self._ids([chunks[0] for chunks in chunked.values()])
+        new = list(missing.difference(known))
+        known.update(zip(new, self._chunk_ids(new), strict=True))
+        self._chars += sum(map(len, missing))
         out: dict[int, bytes] = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
-        for first, (i, chunks) in zip(firsts, chunked.items(), strict=True):
-            out[i] = first + b"".join(map(known.__getitem__, chunks[1:]))
+        for first, (i, chunks) in zip(self._ids(firsts), chunked.items(), strict=True):
+            out[i] = first + b"".join(map(known.__getitem__, chunks))
         return [out[i] for i in range(len(texts))]
 
 
@@ -143,6 +166,7 @@ def _packed(
                     pieces.append(ids)
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pd.DataFrame(rows, columns=names), pieces
+    encoder.forget()  # the worker process outlives its tasks
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -82,6 +83,24 @@ def test_chunk_encoder_equals_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_are_cut_from_one_text_and_let_go(monkeypatch, library):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 60)
+    monkeypatch.setattr(packing, "CACHE_CHARS", 500)
+    texts = [" ".join(f"{w}{i + k}\n{w}" if k % 9 == 0 else f"{w}{i * k}" for k, w in enumerate("an ünder 漢 \u2028x it's y\t".split(" ") * 6)) for i in range(80)]
+    encoder = packing._encoder(PATH)
+    asked = []
+    monkeypatch.setattr(encoder, "_ids", lambda part, own=encoder._ids: asked.append(len(part)) or own(part))
+    got = []
+    for i in range(0, len(texts), 8):
+        got += encoder.encode(texts[i : i + 8])
+        assert len(encoder._known) < 60 + 8 * 36
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(asked) < 1000  # chunks alone would be more
+    list(packing._packed(iter([pd.DataFrame({"doc_id": range(80), "text": texts})]), PATH, 0, 2048, 8))
+    assert not encoder._known and not encoder._old
+
+
 @pytest.mark.parametrize("n,want", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (4096, [(0, 2048), (2048, 2048)]), (0, [])])
 def test_cut(n, want):
     assert packing.cut(n) == want
