@@ -206,3 +206,21 @@ def test_bound_is_never_below_the_overlap():
         groups = min(jj.n_groups(len(a)), jj.n_groups(len(b)))
         p, q = (jj._vector(jj.packed(jj.count_vector(x)), len(x), groups) for x in (a, b))
         assert np.minimum(p, q).sum() >= len(np.intersect1d(a, b))
+
+
+def test_cells_need_an_early_shingle(spark):
+    # 100 shingles, 80 %: a prefix of 21, and an overlap of 89 at least, so that a pair meets in the first 12 of one set.
+    def rep(doc_id, n, length, **shared):
+        prefix = [1000 * doc_id + i for i in range(length)]
+        for token, place in shared.items():
+            prefix[place] = -int(token[1:])
+        return doc_id, n, prefix
+
+    rows = [
+        rep(1, 100, 21, t1=20, t2=11, t3=12, t5=19),
+        rep(2, 100, 21, t1=18, t2=19, t3=20),
+        rep(3, 90, 19, t5=9),  # early in the smaller set only
+    ]
+    reps = spark.createDataFrame(rows, "doc_id long, n long, prefix array<long>")
+    cells = {(r.token, r.doc_id) for r in jj._cells(reps, 80).collect()}
+    assert cells == {(-2, 1), (-2, 2), (-5, 1), (-5, 3)}
