@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
 from rulewell.schemas import EXAMPLE_COLUMNS
@@ -70,3 +73,40 @@ def test_stored_wide_table_is_used(spark, given):
     kept = t.wide_with("positive_example_2")
     assert "wide-" in kept.inputFiles()[0] and sorted(map(tuple, kept.collect()), key=str) == before
     del tables._STORED[t._key("wide")]
+
+
+def _dealt_with_comment(df):
+    """How many exchanges of the plan carry the rows' texts."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*test_comment", plan))
+
+
+def test_rows_are_dealt_once_for_all_examples(spark, given):
+    t = tables.Tables(spark, given)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bare, whole = _dealt_with_comment(t.wide_with()), _dealt_with_comment(t.wide)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert whole == bare + 1
+
+
+@pytest.mark.parametrize(("toxic_share", "block", "turns"), [(0.1, 4, 2), (0.9, 3, 1), (0.5, 32, 32)])
+def test_examples_of_sparse_numbers(spark, tmp_path, monkeypatch, toxic_share, block, turns):
+    monkeypatch.setattr(tables, "BLOCK", block)
+    monkeypatch.setattr(tables, "TURNS", turns)
+    draw = random.Random(block)
+    ids = sorted(draw.sample(range(3000), 120) + list(range(3000, 3100)) + [10**15, 10**15 + 1])
+    docs = [(d, None if d % 17 == 0 else f"text {d}", "c") for d in ids]
+    flags = {d: int(draw.random() < toxic_share) for d in ids if d % 3}
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(flags.items()), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "r")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pos, neg = ([t for d, t, _ in docs if flags.get(d) == label] for label in (1, 0))
+    want = [
+        (d, None if d % 31 == 3 else pos[d % len(pos)], pos[(d + 1) % len(pos)], neg[d % len(neg)], neg[(d + 1) % len(neg)], text)
+        for d, text, _ in docs
+    ]
+    got = tables.Tables(spark, str(tmp_path)).wide.select("row_id", *EXAMPLE_COLUMNS, "test_comment")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
