@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewell.llm.common import fit_sigmoid, fold, labelled_sample, sigmoid
+from rulewell.llm.common import fit_sigmoid, fold, give_back_memory, labelled_sample, sigmoid
 
 FEATURE_BITS = 18
 THRESHOLD = 0.7
@@ -158,7 +158,10 @@ def train(
 ) -> QualityModel:
     drawn = labelled_sample(docs, labels, "quality", parts, held_out, sample_rows, sample_chars)
     marks = np.zeros(1 << FEATURE_BITS, bool)
-    return fit([features(text, marks) for text, _ in drawn], [label for _, label in drawn])
+    model = fit([features(text, marks) for text, _ in drawn], [label for _, label in drawn])
+    del drawn
+    give_back_memory()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewell.llm.common import fit_sigmoid, fold, labelled_sample, sigmoid
+from rulewell.llm.common import fit_sigmoid, fold, give_back_memory, labelled_sample, sigmoid
 
 BUCKET_BITS = 17
 DIMENSIONS = 12
@@ -268,7 +268,10 @@ def train(
     sample_chars: int = SAMPLE_CHARS,
 ) -> ToxicityModel:
     drawn = labelled_sample(docs, labels, "toxic", parts, held_out, sample_rows, sample_chars)
-    return fit([text for text, _ in drawn], [label for _, label in drawn])
+    model = fit([text for text, _ in drawn], [label for _, label in drawn])
+    del drawn
+    give_back_memory()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFrame:

@@ -224,3 +224,16 @@ def test_cells_need_an_early_shingle(spark):
     reps = spark.createDataFrame(rows, "doc_id long, n long, prefix array<long>")
     cells = {(r.token, r.doc_id) for r in jj._cells(reps, 80).collect()}
     assert cells == {(-2, 1), (-2, 2), (-5, 1), (-5, 3)}
+
+
+def test_star_contraction_makes_no_broadcasts(spark, monkeypatch):
+    plans, written = [], jj.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(jj, "written", kept)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 9)], "a long, b long")
+    assert sorted(map(tuple, jj.components(edges).collect())) == [(2, 1), (3, 1), (4, 1), (9, 7)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
