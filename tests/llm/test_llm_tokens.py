@@ -101,6 +101,45 @@ def test_chunks_are_cut_from_one_text_and_let_go(monkeypatch, library):
     assert not encoder._known and not encoder._old
 
 
+def test_a_piece_is_merged_once_whatever_ends_its_chunk(monkeypatch, library):
+    words = [f"{a}{b}" for a in ("grün", "слово", "plain", "漢字") for b in ("ing", "ä", "xyzzy")]
+    texts = ["the " + " ".join(f"{begin}{w}{end}" for w in words) for begin, end in (("", ""), ("", ","), ("(", ").\nIt's"), ("", "12"))]
+    encoder = packing.ChunkEncoder(PATH)
+    asked, merged = [], []
+    monkeypatch.setattr(encoder, "_ids", lambda part, own=encoder._ids: asked.extend(part) or own(part))
+    monkeypatch.setattr(encoder, "_merged", lambda piece, own=getattr(encoder, "_merged", None): merged.append(piece) or own(piece), raising=False)
+    got = encoder.encode(texts[:2]) + encoder.encode(texts[2:])
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == ["the"] * 4  # chunks went to the whole tokenizer, one with each ending
+    assert len(merged) == len(set(merged)) == 2 * len(words) + 7  # each word with and without its space; and , ( ). line break, It 's 12
+
+
+def test_letters_and_signs_are_cut_as_the_library_does(library):
+    letters = [chr(c) for c in range(0xD800) if packing._is_word(chr(c))]
+    assert len(letters) > 30_000
+    signs = [chr(c) for c in range(33, 127)] + ["\n", "\n\n", "é", "'re", "²", "\u0301", "\t"]
+    draw = random.Random(7)
+    texts = [" ".join(f"{c}.{c}1" for c in letters[i : i + 2000]) for i in range(0, len(letters), 2000)]
+    texts += [" ".join("".join(draw.choices(signs, k=draw.randint(0, 6))) for _ in range(40)) for _ in range(600)]
+    for text, ids in zip(texts, packing.ChunkEncoder(PATH).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_stretches_do_not_change_places(monkeypatch):
+    draw = random.Random(2)
+    texts = [None if k % 50 == 9 else " ".join(draw.choice(["ab", "c,", "dé\nf", "", "x" * 9]) for _ in range(draw.randint(0, 60))) for k in range(100)]
+    frame = pd.DataFrame({"doc_id": range(100), "text": texts})
+    found = []
+    for small, chars, gathered in ((8, 1, 1), (8, 700, 7), (8, 1 << 22, 1 << 18)):
+        for name, value in (("SMALL_BATCH", small), ("ENCODED_CHARS", chars), ("GATHERED", gathered)):
+            monkeypatch.setattr(packing, name, value)
+        parts = list(packing._packed(iter([frame, frame[:0]]), PATH, 0, 16, 4))
+        assert [len(p) for _, p in parts] == [len(rows) for rows, _ in parts] and len(parts) == 13
+        found.append((pd.concat([rows for rows, _ in parts]).to_csv(), [p for _, pieces in parts for p in pieces]))
+    assert found[0] == found[1] == found[2]
+
+
 @pytest.mark.parametrize("n,want", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (4096, [(0, 2048), (2048, 2048)]), (0, [])])
 def test_cut(n, want):
     assert packing.cut(n) == want
