@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rulewell.operators import reshape
+from rulewell.operators import reshape, retrieval
 from rulewell.operators.numbering import number_rows
+from rulewell.plans.classify import retrieval_corpus
 from rulewell.schemas import EXAMPLE_COLUMNS
 
 
@@ -45,3 +47,23 @@ def test_rows_are_moved_once_for_their_numbers(spark):
         keys = sorted((r.id for r in rows.collect() if r.g == g), key=lambda i: (i is not None, i))
         want |= {(g, key): (len(keys), at) for at, key in enumerate(keys)}
     assert {(r.g, r.id): (r.n, r.rn) for r in numbered.collect()} == want and numbered.count() == 102
+
+
+def test_words_travel_short_and_whole(spark):
+    sets = [[3, 5, -9, 2**62], [], [70], [-(2**63), 6]]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(sets)], "id long, words array<long>").coalesce(1)
+    for known in (np.array([-9, 3, 70], np.int64), np.zeros(0, np.int64)):
+        got = df.select("id", retrieval.pack_words(F.col("words"), known).alias("p")).collect()
+        assert {r.id: sorted(retrieval.unpack_words(bytes(r.p), known).tolist()) for r in got} == {i: sorted(w) for i, w in enumerate(sets)}
+        assert sum(len(r.p) for r in got) == 4 * 4 + sum(2 if w in known else 8 for s in sets for w in s)
+
+
+def test_only_drawn_rows_get_examples(spark):
+    train, attach = _wide(spark, range(20))
+    test, _ = _wide(spark, range(50, 90))
+    train, test = (df.withColumns({"subreddit": F.lit("s"), "body": F.lit("b"), "rule_violation": F.lit(1)}) for df in (train, test))
+    asked = []
+    some = retrieval_corpus(train, test, 0.5, examples=lambda df: asked.append(df) or attach(df))
+    whole = retrieval_corpus(attach(train), attach(test), 0.5)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect())) and some.count() == 20 * 5 + 20 * 4
+    assert [df.count() for df in asked] == [20, 20]
