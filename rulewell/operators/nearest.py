@@ -63,11 +63,11 @@ def best_places(similar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(rows: np.ndarray, order: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The entries (rows, order) that are among the k best of their row."""
-    kept = _cut_places(rows, order, scores, k)
+    kept = cut_places(rows, order, scores, k)
     return rows[kept], order[kept]
 
 
-def _cut_places(rows: np.ndarray, order: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+def cut_places(rows: np.ndarray, order: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     place = np.lexsort((order, -scores, rows))
     sorted_rows = rows[place]
     starts = np.searchsorted(sorted_rows, sorted_rows)
@@ -99,7 +99,7 @@ def best_cells(
         if own is not None:
             fits &= own[rows] != theirs[cols]
         rows, cols, scores = rows[fits], cols[fits], scores[fits]
-        kept = _cut_places(rows, cols, scores, k)
+        kept = cut_places(rows, cols, scores, k)
         parts.append((rows[kept], cols[kept], scores[kept]))
     rows, cols, scores = (np.concatenate(x) for x in zip(*parts))
     return rows, cols, scores
@@ -159,7 +159,7 @@ class _CellSearch:
         rows, order, scores = (
             np.concatenate([have[old], new]) for have, new in ((self.rows, rows), (self.order, order), (self.scores, scores))
         )
-        kept = _cut_places(rows, order, scores, self.k)
+        kept = cut_places(rows, order, scores, self.k)
         last = kept[np.r_[rows[kept][1:] != rows[kept][:-1], True]]  # each query's least
         full = np.bincount(rows[kept], minlength=len(self.left))[rows[last]] == self.k
         self.floor[rows[last[full]]] = scores[last[full]]

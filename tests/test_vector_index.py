@@ -99,3 +99,20 @@ def test_edges(spark, tmp_path, corpus):
     short = asked.withColumn("embedding", F.slice("embedding", 1, 3))
     with pytest.raises(Exception, match="unequal length"):
         found.search(short, 3).collect()
+
+
+def test_a_query_goes_to_a_part_once(spark, tmp_path, monkeypatch, corpus):
+    monkeypatch.setattr(vi, "PART_BYTES", 4000)
+    monkeypatch.setattr(vi, "WAITING_ROWS", 50)
+    found = vi.build_index(corpus, str(tmp_path / "i"), carry=("value",), n_cells=40)
+    asked = corpus.withColumnRenamed("row_id", "query_id").filter("query_id % 3 = 0")
+    sent = []
+    sweep = vi.VectorIndex._sweep
+    monkeypatch.setattr(vi.VectorIndex, "_sweep", lambda self, a, visits, *rest: sent.append(visits) or sweep(self, a, visits, *rest))
+    got = found.search(asked, 60, exclude_own="query_id")
+    flat = corpus.filter("embedding is not null")
+    assert listed(got) == listed(nearest(asked, flat, 60, carry=("value",), exclude_self=True))
+    parts = found._parts().select("part").distinct().count()
+    visits = sent[0].groupBy("qid").count().agg(F.max("count"), F.avg("count")).first()
+    far = found._visits(found._asked(asked, "query_id", "embedding", None, None), 61, found._first(found._asked(asked, "query_id", "embedding", None, "query_id"), 60, True)[2])
+    assert 3 <= parts < 12 and visits[0] <= parts and far.count() > 2 * sent[0].count()
