@@ -67,3 +67,26 @@ def test_only_drawn_rows_get_examples(spark):
     whole = retrieval_corpus(attach(train), attach(test), 0.5)
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect())) and some.count() == 20 * 5 + 20 * 4
     assert [df.count() for df in asked] == [20, 20]
+
+
+def test_all_rows_of_a_group_are_reranked(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    for name, value in (("HELD_QUERIES", 9), ("DENSE_WORDS", 5), ("STREAM_ROWS", 4), ("SHORT_WORDS", 12)):
+        monkeypatch.setattr(retrieval, name, value)
+    monkeypatch.setattr("rulewell.operators.nearest.LEAST_PART", 6)
+    n = 70
+    words = [[int(w) for w in rng.choice(25, rng.integers(0, 9), replace=False)] for _ in range(n)]
+    words[4] = None
+    vectors = np.round(rng.normal(size=(n, 3)), 1)
+    group = [None if i == 11 else f"g{i % 2}" for i in range(n)]
+    rows = [(i, group[i], [float(x) for x in vectors[i]], i % 3) for i in range(n)]
+    corpus = spark.createDataFrame(rows, "row_id long, rule string, embedding array<double>, value int")
+    asked = corpus.select(F.col("row_id").alias("query_id"), F.col("rule").alias("matched_rule"), "embedding")
+    texts = spark.createDataFrame([(i, words[i]) for i in range(n - 3)], "row_id long, words array<long>")
+    got = retrieval.best_by_overlap(asked, corpus, texts.withColumnRenamed("row_id", "query_id"), texts, 4, exclude_self=True)
+    pairs = retrieval.rule_candidates(asked, corpus, n, exclude_self=True)
+    want = retrieval.rerank_by_overlap(pairs, texts.withColumnRenamed("row_id", "query_id"), texts, 4).select(*got.columns)
+    listed = [sorted((*r[:3], round(r.similarity, 9), round(r.rerank_score, 9), r.final_rank) for r in df.collect()) for df in (got, want)]
+    assert listed[0] == listed[1] and len(listed[0]) == 66 * 4
+    few = retrieval.rerank_by_overlap(pairs.filter("rank <= 10"), texts.withColumnRenamed("row_id", "query_id"), texts, 4)
+    assert {(r.query_id, r.row_id) for r in few.collect()} != {x[:2] for x in listed[0]}
